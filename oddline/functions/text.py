@@ -42,19 +42,26 @@ def _without_first(text: Column, pattern: str, flags: str = "Us") -> Column:
     return strip(F.regexp_replace(text, rf"(?{flags})\A(.*?)(?:{pattern})(.*)\z", "$1$2"))
 
 
+def _if_found(match: Column, parsed: Column) -> Column:
+    """Parse only real matches: a failed parse costs an exception inside."""
+    return F.when(match != "", parsed)
+
+
 def _iso_time(match: Column) -> Column:
     # Position 11 is "T" or any white space; zone and fraction are cut off.
     plain = F.concat(F.substring(match, 1, 10), F.lit(" "), F.substring(match, 12, 8))
-    return F.try_to_timestamp(plain, F.lit("yyyy-MM-dd HH:mm:ss"))
+    return _if_found(match, F.try_to_timestamp(plain, F.lit("yyyy-MM-dd HH:mm:ss")))
 
 
 def _apache_time(match: Column) -> Column:
     # 19 of the 20 characters are kept, so the second has one digit.
-    return F.try_to_timestamp(F.substring(match, 1, 19), F.lit("dd/MMM/yyyy:HH:mm:s"))
+    return _if_found(
+        match, F.try_to_timestamp(F.substring(match, 1, 19), F.lit("dd/MMM/yyyy:HH:mm:s"))
+    )
 
 
 def _epoch_time(match: Column) -> Column:
-    number = match.try_cast("bigint")
+    number = _if_found(match, match.try_cast("bigint"))
     last_second = 253402300799  # 9999-12-31 23:59:59
     return F.when(number > 10**12, F.timestamp_millis(number)).when(
         number <= last_second, F.timestamp_seconds(number)

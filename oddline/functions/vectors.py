@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from oddline import fixed_values as fv
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    An expression used inside a lambda would otherwise be evaluated anew for
+    every element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def as_double(v: Column) -> Column:
     return v.cast("array<double>")
 
@@ -38,8 +49,12 @@ def cosine(a: Column, b: Column, normalized: bool = True) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """Unit length; a zero vector stays zero."""
-    length = norm(v)
-    return F.transform(as_double(v), lambda x: F.coalesce(F.try_divide(x, length), F.lit(0.0)))
+
+    def divide(x: Column) -> Column:
+        by = lambda n: F.transform(x, lambda e: F.coalesce(F.try_divide(e, n), F.lit(0.0)))
+        return bind(norm(x), by)
+
+    return bind(as_double(v), divide)
 
 
 def scale(v: Column, factor: float | Column) -> Column:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from oddline import fixed_values as fv
-from oddline.functions.vectors import l2_normalize
+from oddline.functions.vectors import bind, l2_normalize
 from oddline.operators.skew import salted_lookup
 
 
@@ -29,15 +29,19 @@ class TokenHashEncoder:
         words = F.filter(F.split(F.lower(F.col(text_col)), r"\s+"), lambda w: w != "")
         number = lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint")
         buckets = F.transform(words, lambda w: F.pmod(number(w), F.lit(self.dim).cast("bigint")))
-        # array_remove is a tight loop over the words; a lambda per word and
-        # bucket would be much slower.
-        counts = F.transform(
-            F.sequence(F.lit(0).cast("bigint"), F.lit(self.dim - 1).cast("bigint")),
-            lambda d: (F.size("_b") - F.size(F.array_remove("_b", d))).cast("double"),
-        )
-        df = df.withColumn("_b", buckets).withColumn("_c", counts)
-        vector = l2_normalize(F.col("_c")) if self.normalize else F.col("_c")
-        return df.withColumn(out, vector.cast("array<float>")).drop("_b", "_c")
+
+        def counts(b: Column) -> Column:
+            # array_remove is a tight loop over the words; a lambda per word
+            # and bucket would be much slower.
+            return F.transform(
+                F.sequence(F.lit(0).cast("bigint"), F.lit(self.dim - 1).cast("bigint")),
+                lambda d: (F.size(b) - F.size(F.array_remove(b, d))).cast("double"),
+            )
+
+        vector = bind(buckets, counts)
+        if self.normalize:
+            vector = l2_normalize(vector)
+        return df.withColumn(out, vector.cast("array<float>"))
 
 
 @dataclass(frozen=True)

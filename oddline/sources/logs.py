@@ -88,6 +88,15 @@ def with_seq(df: DataFrame, seq: str = "seq") -> DataFrame:
     return durable(df.withColumn(seq, F.monotonically_increasing_id()), "numbered")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core work where the input has fewer splits than cores.
+
+    Large inputs have many splits and pass unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """Scored rows as CSV files with a header, one per partition."""
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
