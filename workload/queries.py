@@ -290,10 +290,11 @@ def corpus_stats(spark, sf):
 # --- scoring ------------------------------------------------------------------------------------
 
 
-def vector_model(spark, sf) -> distance.DistanceModel:
+def vector_model(spark, sf, percentile=fv.THRESHOLD_PERCENTILE) -> distance.DistanceModel:
     corpus = durable(inputs.vector_corpus(spark, sf), "vector-corpus")
     index = build_index(corpus, DETECTOR.k + 1)
-    return distance.DistanceModel(corpus, index, base.fit_baseline(corpus, index), DETECTOR)
+    fitted = base.fit_baseline(corpus, index, percentile=percentile)
+    return distance.DistanceModel(corpus, index, fitted, DETECTOR)
 
 
 def baseline_distances(spark, sf):
@@ -418,7 +419,7 @@ def recommendations(spark, sf):
 
 
 def _explained_vectors(spark, sf) -> DataFrame:
-    model = vector_model(spark, sf)
+    model = vector_model(spark, sf, percentile=40)
     scored = durable(distance.score_vectors(inputs.vectors(spark, sf), model), "scored-vectors")
     texts = inputs.documents(spark, sf).select(F.col("doc_id").alias("seq"), F.col("text").alias("cleaned_text"))
     return distance.add_explanations(
