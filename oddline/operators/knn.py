@@ -226,46 +226,50 @@ def _nearest_in_block(
 ) -> pd.DataFrame:
     """The k best of one corpus block for each row of one query block.
 
-    A matrix product narrows the candidates; every candidate that could still
-    matter gets its distance from direct subtraction.
+    A matrix product in single precision narrows the candidates; every candidate
+    that its rounding leaves in question gets its distance from direct
+    subtraction in double precision.
     """
     k = min(k, len(c))
-    ids_order = np.argsort(ids, kind="stable")
-    ids, c = ids[ids_order], c[ids_order]
-    c_squares = (c * c).sum(1)
+    by_id = np.argsort(ids, kind="stable")
+    ids, c = ids[by_id], c[by_id]
+    # cost = -2 q.c + |c|^2 (or -q.c): the order of the distances of one query.
+    # Distances do not change with the origin; near the middle of the block the
+    # numbers, and so their rounding, are small.
+    origin = 0.0 if metric == "inner_product" else c.mean(0)
+    near_q, near_c = q - origin, c - origin
+    q_squares, c_squares = (near_q * near_q).sum(1), (near_c * near_c).sum(1)
+    if metric == "inner_product":
+        left, right = -near_q, near_c
+    else:
+        left = np.hstack([-2.0 * near_q, np.ones((len(q), 1))])
+        right = np.hstack([near_c, c_squares[:, None]])
+    left, right = left.astype(np.float32), np.ascontiguousarray(right.T, dtype=np.float32)
+    rounding = 4.0 * (q.shape[1] + 4) * 2.0**-24 * (q_squares + c_squares.max())
     parts = []
-    step = max(1, MATRIX_VALUES // max(1, len(c)))
+    step = max(1, MATRIX_VALUES // len(c))
     for start in range(0, len(q), step):
-        rows = q[start : start + step]
-        if metric == "inner_product":
-            cost = -(rows @ c.T)
-        else:
-            cost = (rows * rows).sum(1)[:, None] + c_squares[None, :] - 2.0 * (rows @ c.T)
-        kth = np.partition(cost, k - 1, axis=1)[:, k - 1 : k]
-        margin = 4.0 * 10.0**-TIE_DECIMALS * (1.0 + np.abs(kth)) + 1e-12 * (
-            (rows * rows).sum(1)[:, None] + c_squares.max()
-        )
+        rows = slice(start, start + step)
+        cost = left[rows] @ right
+        bound = _kth_bound(cost, k).astype(np.float64)
+        # Values this much above the bound may still belong to the k best.
+        square = bound if metric == "inner_product" else bound + q_squares[rows]
+        tie = 4.0 * 10.0**-TIE_DECIMALS * (1.0 + np.abs(square))
         if metric == "euclidean":
-            # A tie of roots is wider than a tie of squares.
-            margin = margin * (1.0 + 2.0 * np.sqrt(np.abs(kth)))
-        at, hit = np.nonzero(cost <= kth + margin)
-        if metric == "inner_product":
-            exact = (rows[at] * c[hit]).sum(1)
-            ranking = -exact
-        else:
-            difference = rows[at] - c[hit]
-            exact = (difference * difference).sum(1)
-            if metric == "euclidean":
-                exact = np.sqrt(exact)
-            ranking = exact
+            tie = tie * (1.0 + 2.0 * np.sqrt(np.abs(square)))
+        limit = np.nextafter((bound + tie + rounding[rows]).astype(np.float32), np.float32(np.inf))
+        hits = np.flatnonzero(cost <= limit[:, None])
+        at, hit = np.divmod(hits, len(c))
+        exact = _exact(q, c, start + at, hit, metric)
+        ranking = -exact if metric == "inner_product" else exact
         order = np.lexsort((hit, np.round(ranking, TIE_DECIMALS), at))
         at, hit, exact = at[order], hit[order], exact[order]
-        first = np.searchsorted(at, np.arange(len(rows)))
+        first = np.searchsorted(at, np.arange(len(cost)))
         keep = np.arange(len(at)) - first[at] < k
         parts.append(
             pd.DataFrame(
                 {
-                    "vec_key": query_keys[start : start + step][at[keep]],
+                    "vec_key": query_keys[rows][at[keep]],
                     "neighbor_id": ids[hit[keep]],
                     "distance": exact[keep],
                 }
@@ -274,6 +278,33 @@ def _nearest_in_block(
     return pd.concat(parts, ignore_index=True)
 
 
+def _exact(q: np.ndarray, c: np.ndarray, at: np.ndarray, hit: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of the pairs ``(at, hit)``, piecewise: many ties are many pairs."""
+    out = np.empty(len(at))
+    for start in range(0, len(at), 65_536):
+        part = slice(start, start + 65_536)
+        if metric == "inner_product":
+            out[part] = (q[at[part]] * c[hit[part]]).sum(1)
+        else:
+            difference = q[at[part]] - c[hit[part]]
+            out[part] = (difference * difference).sum(1)
+    return np.sqrt(out) if metric == "euclidean" else out
+
+
+def _kth_bound(cost: np.ndarray, k: int, groups: int = 256) -> np.ndarray:
+    """At least the k-th smallest value of each row.
+
+    The k-th smallest of the minima of column groups: each of those k groups
+    holds a value that is no larger.  Much cheaper than selecting in full.
+    """
+    n = cost.shape[1]
+    if n < 4 * groups or k >= groups:
+        return np.partition(cost, k - 1, axis=1)[:, k - 1]
+    per_group = n // groups
+    minima = cost[:, : per_group * groups].reshape(len(cost), per_group, groups).min(axis=1)
+    return np.partition(minima, k - 1, axis=1)[:, k - 1]
+
+
 def knn(
     queries: DataFrame,
     index: CellIndex,

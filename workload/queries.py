@@ -169,7 +169,7 @@ def hash_encode_documents(spark, sf):
     )
     e = encode_with_metadata(d, "cleaned", inputs.ENCODER)
     return e.select(
-        "doc_id", "model_name", "embedding_dim", F.posexplode("embedding").alias("bucket", "weight")
+        "doc_id", "model_name", "embedding_dim", F.posexplode_outer("embedding").alias("bucket", "weight")
     ).filter("weight > 0").withColumn("weight", F.round(F.col("weight").cast("double"), 6))
 
 
@@ -226,7 +226,7 @@ def label_similarity_matrix(spark, sf):
     """Cosine of every vector with the mean vector of every label."""
     v = inputs.table(spark, sf, "embeddings")
     means = (
-        v.select("label", F.posexplode("embedding").alias("pos", "x"))
+        v.select("label", F.posexplode_outer("embedding").alias("pos", "x"))
         .groupBy("label", "pos")
         .agg(F.avg(F.col("x").cast("double")).alias("m"))
         .groupBy("label")
@@ -255,7 +255,7 @@ def normalized_vectors(spark, sf):
     e = inputs.table(spark, sf, "embeddings").withColumn(
         "unit", vec.l2_normalize(vec.scale(F.col("embedding"), 7.0))
     )
-    return e.select("vec_id", F.posexplode("unit").alias("pos", "x")).withColumn("x", F.round("x", 6))
+    return e.select("vec_id", F.posexplode_outer("unit").alias("pos", "x")).withColumn("x", F.round("x", 6))
 
 
 def corpus_entries(spark, sf) -> DataFrame:
@@ -381,7 +381,7 @@ def score_windows(spark, sf):
 def temporal_features(spark, sf):
     e = inputs.table(spark, sf, "events")
     features = vec.temporal_features(F.col("ts"))
-    return e.select("event_id", F.posexplode(features).alias("pos", "x")).withColumn(
+    return e.select("event_id", F.posexplode_outer(features).alias("pos", "x")).withColumn(
         "x", F.round("x", 6)
     )
 
@@ -472,7 +472,7 @@ def hybrid_features(spark, sf):
     rows = _hybrid_rows(spark, sf)
     scaler = hybrid.fit_scaler(rows.filter("NOT severity_flag"))
     combined = hybrid.combine(rows, scaler, HYBRID.semantic_weight)
-    return combined.select("seq", F.posexplode("features").alias("pos", "x")).withColumn(
+    return combined.select("seq", F.posexplode_outer("features").alias("pos", "x")).withColumn(
         "x", F.round("x", 6)
     )
 
