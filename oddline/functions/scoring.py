@@ -50,10 +50,15 @@ def distance_flag(mean: Column, threshold: Column, min_distance: float = fv.MIN_
 
 
 def confidence(mean: Column, base_mean: Column, base_std: Column, score: Column) -> Column:
-    """A third of the distance from the baseline in deviations, at most 1."""
+    """A third of the distance from the baseline in deviations, at most 1.
+
+    Without a baseline it is the score.
+    """
     z = F.abs(mean - base_mean) / F.greatest(base_std, F.lit(fv.STD_FLOOR))
-    return F.when(mean.isNull(), 1.0).otherwise(
-        F.coalesce(F.least(z / 3.0, F.lit(1.0)), score)
+    return (
+        F.when(mean.isNull(), 1.0)
+        .when(base_mean.isNull(), score)
+        .otherwise(F.least(z / 3.0, F.lit(1.0)))
     )
 
 

@@ -28,9 +28,9 @@ from oddline.operators.skew import first_per_group, salted_lookup
 from oddline.session import durable
 
 METRICS = ("squared_l2", "euclidean", "inner_product")
-CELL_ROWS = 8_192
+CELL_ROWS = 16_384
 MAX_CELLS = 2_048
-BLOCK_ROWS = 4_096
+BLOCK_ROWS = 16_384
 MATRIX_VALUES = 4_000_000
 # Distances this close are ties and are ordered by id.
 TIE_DECIMALS = 9
@@ -345,7 +345,13 @@ def knn(
         members = salted_lookup(
             queries, routed.select("vec", "vec_key"), ["vec"], "inner", ["query_id"]
         ).drop("vec")
-    cuts = _cuts(index, visits, block_rows, spark.sparkContext.defaultParallelism)
+    cores = spark.sparkContext.defaultParallelism
+    cuts = _cuts(index, visits, block_rows, cores)
+    # A fixed number of partitions: the blocks are small but take long, so they
+    # must not be merged by their size.
+    blocks = sum(query_blocks * corpus_blocks for _, query_blocks, corpus_blocks in cuts)
+    most_partitions = 4 * max(cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    partitions = min(max(blocks, 1), most_partitions)
     block = ["cell", "query_block", "corpus_block"]
     query_side = _with_cuts(
         routed.select("vec_key", "vec", F.explode("cells").alias("cell")), cuts
@@ -374,8 +380,9 @@ def knn(
 
     key_type = _type(queries, "query_id")
     found = (
-        query_side.groupBy(*block)
-        .cogroup(corpus_side.groupBy(*block))
+        query_side.repartition(partitions, *block)
+        .groupBy(*block)
+        .cogroup(corpus_side.repartition(partitions, *block).groupBy(*block))
         .applyInPandas(
             search,
             f"vec_key {key_type}, neighbor_id {_type(index.rows, 'id')}, distance double",
@@ -395,7 +402,7 @@ def _cuts(index: CellIndex, visits: np.ndarray, block_rows: int, parallelism: in
     """Blocks per cell: bounded blocks, and enough of them to keep all cores busy."""
     live = [c for c in range(len(visits)) if visits[c] and index.counts[c]]
     corpus_blocks = {c: ceil(index.counts[c] / block_rows) for c in live}
-    spread = ceil(parallelism / max(1, sum(corpus_blocks.values())))
+    spread = ceil(3 * parallelism / max(1, sum(corpus_blocks.values())))
     return [
         (
             int(c),

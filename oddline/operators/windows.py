@@ -117,7 +117,7 @@ def temporal_weight(latest: Column, ts: Column, decay: float = fv.DECAY_PER_HOUR
     """
     hours = (F.unix_micros(latest) - F.unix_micros(ts)) / 3_600_000_000.0
     weight = F.greatest(F.pow(F.lit(decay), hours), F.lit(fv.MIN_TEMPORAL_WEIGHT))
-    return F.coalesce(weight, F.lit(1.0))
+    return F.when(latest.isNull(), 1.0).otherwise(weight)  # greatest() skips nulls
 
 
 def context_score(score: Column, stats: dict[str, Column], weight: float = fv.TEMPORAL_WEIGHT) -> Column:

@@ -15,7 +15,7 @@ from oddline.operators.knn import CellIndex, build_index, kmeans_index, knn
 from oddline.operators.skew import salted_lookup
 from oddline.operators.windows import adjust_scores
 from oddline.session import durable
-from oddline.sources.corpus import append_entries, latest_entries, load_corpus, save_corpus
+from oddline.sources.corpus import append_entries, last_given, load_corpus, save_corpus
 
 
 @dataclass(frozen=True)
@@ -124,9 +124,13 @@ def similar_logs(anomalies: DataFrame, corpus: DataFrame | None) -> DataFrame:
     if corpus is None:
         first = first.withColumn("text", F.lit(fv.NO_TEXT))
     else:
-        texts = latest_entries(
-            corpus.select("seq", "id", "metadata", F.lit(None).alias("embedding"), F.lit(None).alias("ts"))
-        ).select("id", F.col("metadata")["cleaned_text"].alias("text"))
+        # Only entries that are somebody's neighbour; vectors are not read.
+        named = corpus.select("seq", "id", "metadata").join(
+            first.select("id").distinct(), "id", "left_semi"
+        )
+        texts = named.groupBy("id").agg(last_given("metadata")).select(
+            "id", F.col("metadata")["cleaned_text"].alias("text")
+        )
         first = salted_lookup(first, texts, ["id"], "left", ["seq"])
     text = F.substring(F.coalesce("text", F.lit(fv.NO_TEXT)), 1, fv.SIMILAR_TEXT_CHARS)
     entry = F.struct("rank", "id", "distance", text.alias("text"))

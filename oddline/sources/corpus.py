@@ -7,7 +7,7 @@ look-ups by id see the latest.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 COLUMNS = ["seq", "id", "embedding", "metadata", "ts"]
 
@@ -17,17 +17,18 @@ def append_entries(corpus: DataFrame, new: DataFrame) -> DataFrame:
     return corpus.unionByName(new, allowMissingColumns=True)
 
 
-def latest_entries(corpus: DataFrame) -> DataFrame:
-    """One row per id: the last vector, the last given metadata and time.
+def last_given(column: str) -> Column:
+    """The latest value that is not null.
 
     ``max_by`` merges inside each map task, so an id with very many rows sends
     one row per task.
     """
+    return F.max_by(column, F.when(F.col(column).isNotNull(), F.col("seq"))).alias(column)
 
-    def last(column: str):
-        return F.max_by(column, F.when(F.col(column).isNotNull(), F.col("seq"))).alias(column)
 
-    return corpus.groupBy("id").agg(last("embedding"), last("metadata"), last("ts"))
+def latest_entries(corpus: DataFrame) -> DataFrame:
+    """One row per id: the last vector, the last given metadata and time."""
+    return corpus.groupBy("id").agg(*[last_given(c) for c in ("embedding", "metadata", "ts")])
 
 
 def lookup(corpus: DataFrame, id_value: str) -> DataFrame:

@@ -178,7 +178,7 @@ w AS (SELECT *, coalesce(avg(score) OVER p, 0) AS m, coalesce(stddev_pop(score)
   FROM s WINDOW p AS ({partition} ORDER BY seq ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING),
   r AS ({partition} ORDER BY seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW),
   o AS ({partition} ORDER BY seq ROWS BETWEEN 99 PRECEDING AND 10 PRECEDING)),
-x AS (SELECT *, coalesce(greatest(pow(0.95, (epoch_us(latest) - epoch_us(ts)) / 3600000000.0), 0.1), 1.0) AS weight,
+x AS (SELECT *, CASE WHEN latest IS NULL THEN 1.0 ELSE greatest(pow(0.95, (epoch_us(latest) - epoch_us(ts)) / 3600000000.0), 0.1) END AS weight,
   CASE WHEN n > 10 AND sd > 0 THEN score * least(greatest(1 + (score - m) / sd * 0.3, 0.5), 2.0) ELSE score END AS in_context
   FROM w)"""
 
@@ -346,7 +346,7 @@ SELECT seq, substr(log_id, 1, 8) || '...' AS short_id, printf('%.0f', score * 10
 s AS (SELECT seq, source, parsed.time AS ts, log_id, score, is_anomaly, confidence FROM scored JOIN parsed USING (seq)),
 w AS (SELECT *, coalesce(avg(score) OVER p, 0) AS m, coalesce(stddev_pop(score) OVER p, 0) AS sd, count(score) OVER p AS n, max(ts) OVER p AS latest
   FROM s WINDOW p AS (PARTITION BY source ORDER BY seq ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING)),
-x AS (SELECT *, coalesce(greatest(pow(0.95, (epoch_us(latest) - epoch_us(ts)) / 3600000000.0), 0.1), 1.0) AS weight,
+x AS (SELECT *, CASE WHEN latest IS NULL THEN 1.0 ELSE greatest(pow(0.95, (epoch_us(latest) - epoch_us(ts)) / 3600000000.0), 0.1) END AS weight,
   CASE WHEN n > 10 AND sd > 0 THEN score * least(greatest(1 + (score - m) / sd * 0.3, 0.5), 2.0) ELSE score END AS in_context FROM w),
 y AS (SELECT *, least(in_context * weight, 1.0) AS adjusted FROM x)
 SELECT seq, log_id, round(adjusted, 6) AS score, round(score, 6) AS original_score, round(weight, 6) AS weight, is_anomaly,
