@@ -111,6 +111,8 @@ def build_index(
     )
     kept = first_per_group(vectors, [F.xxhash64("vec"), "vec"], ["id"], k, "_copy").drop("_copy")
     size = vectors.count()
+    if pivots is not None and len(pivots) > MAX_CELLS:
+        raise ValueError(f"at most {MAX_CELLS} pivots")
     if pivots is None:
         wanted = cells or min(MAX_CELLS, max(1, size // cell_rows))
         pivots = _pick_pivots(vectors, wanted) if wanted > 1 else np.zeros((1, 0))
@@ -318,8 +320,9 @@ def knn(
 
     Query ids must be unique; ``queries`` should be a stored table, as queries
     with equal vectors are looked up in it again.  Exact unless ``probes`` limits the search to that many nearest cells.  A
-    corpus of fewer than ``k`` rows gives what it has.
+    corpus of fewer than ``k`` rows gives what it has; ``k=0`` means the default.
     """
+    k = k or fv.K_NEIGHBORS
     if k > index.copies:
         raise ValueError(f"the index was built for k <= {index.copies}")
     spark = queries.sparkSession

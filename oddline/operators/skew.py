@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 HOT_ROWS = 1_000_000
+HOT_KEYS = 1_000
 SALTS = 64
 
 
@@ -19,16 +20,19 @@ def salted_lookup(
 ) -> DataFrame:
     """Join ``left`` to a ``right`` that is unique on ``on``, hot keys split.
 
-    Keys with more than ``hot_rows`` rows on the left are found by a partial
-    aggregation.  There are at most ``rows / hot_rows`` of them, which bounds
-    what is broadcast.  Their left rows spread over ``salts`` sub-keys and only
-    their right rows are repeated; all other keys keep one copy.  ``spread``
-    names the columns whose hash picks the sub-key (default: all others).
+    Hot are the up to ``HOT_KEYS`` heaviest keys with more than ``hot_rows`` rows
+    on the left, found by a partial aggregation; any key beyond those holds less
+    than a thousandth of all rows.  Only that short list is broadcast.  The left
+    rows of hot keys spread over ``salts`` sub-keys and only their right rows
+    are repeated; all other keys keep one copy.  ``spread`` names the columns
+    whose hash picks the sub-key (default: all others).
     """
     hot = (
         left.groupBy(*on)
         .agg(F.count(F.lit(1)).alias("_rows"))
         .filter(F.col("_rows") > hot_rows)
+        .orderBy(F.desc("_rows"), *on)  # a total order: both sides get the same list
+        .limit(HOT_KEYS)
         .select(*on, F.lit(True).alias("_hot"))
     )
     spread = spread or [c for c in left.columns if c not in on]

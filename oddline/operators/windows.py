@@ -19,6 +19,7 @@ from oddline.operators.skew import first_per_group
 from oddline.session import durable
 
 CHUNK_ROWS = 500_000
+MAX_CHUNKS = 50_000
 CHUNK = "_chunk"
 KEY = "_key"
 HALO = "_halo"
@@ -41,7 +42,7 @@ def with_history(
     """
     keyed = df.withColumn(KEY, F.struct(*key) if key else F.struct(F.lit(0).alias("all")))
     stored = durable(keyed, "window-input")
-    chunks = ceil(stored.count() / chunk_rows)
+    chunks = min(ceil(stored.count() / chunk_rows), MAX_CHUNKS)
     if chunks <= 1:
         return stored.withColumns({CHUNK: F.lit(0), HALO: F.lit(False)})
     stored = durable(
@@ -55,8 +56,8 @@ def with_history(
     later = F.collect_list(F.struct(CHUNK, F.col("until") - F.col("n"))).over(
         by_chunk.rowsBetween(1, rows)
     )
-    # Key borders excepted, a chunk continues in the next one: at most one
-    # continuing key per chunk, so this is no longer than chunks * rows.
+    # At most one key goes on from a chunk to the next, and only chunks shorter
+    # than the window feed more than one: about MAX_CHUNKS rows at the most.
     forward = (
         sizes.withColumn("until", until)
         .withColumn("later", later)

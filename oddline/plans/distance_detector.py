@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from oddline import fixed_values as fv
@@ -12,10 +13,17 @@ from oddline.functions.text import CleanOptions, parse_logs
 from oddline.operators.baseline import Baseline, fit_baseline, neighbor_arrays
 from oddline.operators.encode import TokenHashEncoder
 from oddline.operators.knn import CellIndex, build_index, kmeans_index, knn
+from oddline.operators.similarity import neighborhood_stats, with_neighbor_metadata
 from oddline.operators.skew import salted_lookup
 from oddline.operators.windows import adjust_scores
 from oddline.session import durable
-from oddline.sources.corpus import append_entries, last_given, load_corpus, save_corpus
+from oddline.sources.corpus import (
+    append_entries,
+    last_given,
+    latest_entries,
+    load_corpus,
+    save_corpus,
+)
 
 
 @dataclass(frozen=True)
@@ -61,7 +69,11 @@ def corpus_entries(
     )
 
 
-def _index(corpus: DataFrame, options: DetectorOptions) -> CellIndex:
+def _index(
+    corpus: DataFrame, options: DetectorOptions, pivots: np.ndarray | None = None
+) -> CellIndex:
+    if pivots is not None:
+        return build_index(corpus, options.k + 1, pivots=pivots)
     if options.index_type == "IVF":
         return kmeans_index(corpus, options.k + 1, options.cells)
     return build_index(corpus, options.k + 1)
@@ -159,6 +171,23 @@ def add_explanations(results: DataFrame, corpus: DataFrame | None) -> DataFrame:
     )
 
 
+def search_texts(
+    texts: DataFrame, model: DistanceModel, k: int | None = None, text_col: str = "text"
+) -> DataFrame:
+    """The nearest corpus entries of ``texts(query_id, text)`` with their metadata.
+
+    Adds the mean, smallest and largest distance of each query to its rows.
+    """
+    k = k or model.options.k
+    queries = durable(
+        model.options.encoder.encode(texts, text_col).select("query_id", "embedding"), "texts"
+    )
+    neighbors = knn(queries, model.index, k, probes=model.probes)
+    rows = with_neighbor_metadata(neighbors.long(), latest_entries(model.corpus))
+    stats = neighborhood_stats(neighbors).drop("num_neighbors", "std_distance")
+    return rows.join(stats, "query_id")
+
+
 def encode_queries(logs: DataFrame, options: DetectorOptions, source=None) -> DataFrame:
     """Parsed and encoded rows, stored: searching, scoring and the final join read them."""
     parsed = parse_logs(logs, source=source, options=options.clean)
@@ -241,8 +270,12 @@ def save(model: DistanceModel, path: str) -> None:
             "probes": options.probes,
         },
     )
-    b = model.baseline
-    model.corpus.sparkSession.createDataFrame(
+    b, spark = model.baseline, model.corpus.sparkSession
+    pivots = [(i, p.tolist()) for i, p in enumerate(model.index.pivots)]  # one per cell
+    spark.createDataFrame(pivots, "cell int, pivot array<double>").coalesce(1).write.mode(
+        "overwrite"
+    ).parquet(f"{path}/pivots")
+    spark.createDataFrame(
         [(b.threshold, b.mean, b.std)], "threshold double, mean double, std double"
     ).coalesce(1).write.mode("overwrite").parquet(f"{path}/baseline")
 
@@ -274,4 +307,6 @@ def load(
     if with_baseline:
         row = spark.read.parquet(f"{path}/baseline").first()
         baseline = Baseline(row["threshold"], row["mean"], row["std"])
-    return DistanceModel(corpus, _index(corpus, options), baseline, options)
+    cells = spark.read.parquet(f"{path}/pivots").orderBy("cell").collect()
+    pivots = np.array([r["pivot"] for r in cells], dtype=np.float64)
+    return DistanceModel(corpus, _index(corpus, options, pivots), baseline, options)

@@ -186,3 +186,21 @@ def test_history_views_of_an_empty_table(spark):
     empty = spark.createDataFrame([], "seq long, is_anomaly boolean")
     assert history.anomaly_rate(empty).first().asDict() == {"total": 0, "anomalies": 0, "rate": 0.0}
     assert history.status(None, empty, False).first().vector_db_size == 0
+
+
+def test_text_search(spark, model):
+    texts = spark.createDataFrame([("q", "user saved file 3 on node 2")], "query_id string, text string")
+    rows = distance.search_texts(texts, model, k=2).orderBy("rank").collect()
+    assert [r["rank"] for r in rows] == [1, 2]
+    assert rows[0].metadata["source"] == "training"
+    assert rows[0].min_distance == rows[0].distance <= rows[0].max_distance == rows[1].distance
+    assert rows[0].mean_distance == pytest.approx((rows[0].distance + rows[1].distance) / 2)
+
+
+def test_stored_cells_are_used_again(spark, folder, normal):
+    options = distance.DetectorOptions(encoder=ENCODER, index_type="IVF", cells=6, probes=2)
+    fitted = distance.fit(normal, options)
+    distance.save(fitted, folder)
+    loaded = distance.load(spark, folder, options)
+    assert (loaded.index.pivots == fitted.index.pivots).all()
+    assert (loaded.index.counts == fitted.index.counts).all()

@@ -212,11 +212,11 @@ def text_search(spark, sf):
     passages = inputs.table(spark, sf, "benchmark").select(
         F.col("item_id").alias("query_id"), text.clean_text(F.col("text"), inputs.WHOLE).alias("cleaned")
     )
-    queries = durable(inputs.ENCODER.encode(passages, "cleaned"))
-    found = knn(queries, build_index(entries, fv.K_NEIGHBORS), fv.K_NEIGHBORS)
-    rows = similarity.with_neighbor_metadata(found.long(), store.latest_entries(entries))
-    stats = similarity.neighborhood_stats(found)
-    return rows.join(stats, "query_id").select(
+    model = distance.DistanceModel(
+        entries, build_index(entries, fv.K_NEIGHBORS), base.Baseline(), DETECTOR
+    )
+    found = distance.search_texts(passages, model, text_col="cleaned")
+    return found.select(
         "query_id", "rank", "neighbor_id", six("distance"), F.col("metadata")["source"].alias("source"),
         six("mean_distance"), six("min_distance"), six("max_distance"),
     )
@@ -733,4 +733,10 @@ def registry():
     out["knn_ivf_all_cells"] = partial(knn_cells, 20, 20)
     out["time_adjusted_scores"] = partial(time_adjusted_scores, ["source"])
     out["time_adjusted_scores_global"] = partial(time_adjusted_scores, [])
-    return out
+    return {name: partial(in_utc, query) for name, query in out.items()}
+
+
+def in_utc(query, spark, sf) -> DataFrame:
+    """Times of the tables have no zone; read and print them as UTC."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return query(spark, sf)
