@@ -68,39 +68,54 @@ def _epoch_time(match: Column) -> Column:
     )
 
 
-def _times(text: Column) -> list[tuple[str, Column]]:
-    """(pattern, parsed time) in order; a syslog time has no year and never parses."""
-    return [
-        (fv.TIMESTAMP_ISO, _iso_time(_first(text, fv.TIMESTAMP_ISO))),
-        (fv.TIMESTAMP_APACHE, _apache_time(_first(text, fv.TIMESTAMP_APACHE))),
-        (fv.TIMESTAMP_EPOCH, _epoch_time(_first(text, fv.TIMESTAMP_EPOCH))),
-    ]
+# (pattern, parser) in the order in which they are tried; a syslog time has no
+# year and never parses.
+_TIME_PARSERS = (
+    (fv.TIMESTAMP_ISO, _iso_time),
+    (fv.TIMESTAMP_APACHE, _apache_time),
+    (fv.TIMESTAMP_EPOCH, _epoch_time),
+)
 
 
 def extract_timestamp(text: Column) -> Column:
     """Time of the first pattern whose first match is a real time, else null."""
-    return F.coalesce(*[parsed for _, parsed in _times(text)])
-
+    return F.coalesce(*[parse(_first(text, pattern)) for pattern, parse in _TIME_PARSERS])
 
-def drop_timestamp(text: Column) -> Column:
-    """``text`` without the match :func:`extract_timestamp` used."""
-    rest = text
-    for pattern, parsed in reversed(_times(text)):
-        rest = F.when(parsed.isNotNull(), _without_first(text, pattern)).otherwise(rest)
-    return rest
 
+def _add_time(df: DataFrame, text: Column) -> DataFrame:
+    """Add ``timestamp`` and ``_rest``, the text without the match that gave it.
 
-def extract_level(text: Column) -> Column:
-    found = F.upper(F.regexp_extract(text, _LEVEL, 1))
-    return F.when(found == "WARN", "WARNING").when(found != "", found)
+    One projection per pattern, so that each expression runs once per row, and
+    later patterns only where the earlier ones gave nothing.
+    """
+    times: list[Column] = []
+    rest = text
+    for i, (pattern, parse) in enumerate(_TIME_PARSERS):
+        parsed = parse(_first(text, pattern))
+        for earlier in times:
+            parsed = F.when(earlier.isNull(), parsed)
+        df = df.withColumn(f"_time_{i}", parsed)
+        times.append(F.col(f"_time_{i}"))
+    for time, (pattern, _) in reversed(list(zip(times, _TIME_PARSERS))):
+        rest = F.when(time.isNotNull(), _without_first(text, pattern)).otherwise(rest)
+    return df.withColumns({"timestamp": F.coalesce(*times), "_rest": rest}).drop(
+        *[f"_time_{i}" for i in range(len(times))]
+    )
 
 
-def drop_level(text: Column) -> Column:
+def _add_level(df: DataFrame) -> DataFrame:
+    """Add ``log_level`` and take it out of ``_rest``."""
+    df = df.withColumn("_found", F.upper(F.regexp_extract("_rest", _LEVEL, 1)))
+    found, rest = F.col("_found"), F.col("_rest")
     inner = "|".join(fv.LOG_LEVELS)
-    return F.when(
-        F.regexp_extract(text, _LEVEL, 1) != "",
-        _without_first(text, rf"\b(?:{inner})\b", flags="Uis"),
-    ).otherwise(text)
+    return df.withColumns(
+        {
+            "log_level": F.when(found == "WARN", "WARNING").when(found != "", found),
+            "_rest": F.when(
+                found != "", _without_first(rest, rf"\b(?:{inner})\b", flags="Uis")
+            ).otherwise(rest),
+        }
+    ).drop("_found")
 
 
 def clean_text(text: Column, options: CleanOptions = CleanOptions()) -> Column:
@@ -158,10 +173,9 @@ def parse_logs(
     raw = F.col(raw_col)
     if source is not None:
         df = df.withColumn("source", F.lit(source) if isinstance(source, str) else source)
+    parsed = _add_level(_add_time(df, raw))
     return (
-        df.withColumns({"timestamp": extract_timestamp(raw), "_rest": drop_timestamp(raw)})
-        .withColumns({"log_level": extract_level(F.col("_rest")), "_rest": drop_level(F.col("_rest"))})
-        .withColumns(
+        parsed.withColumns(
             {"message": strip(F.col("_rest")), "cleaned_text": clean_text(F.col("_rest"), options)}
         )
         .withColumns(
