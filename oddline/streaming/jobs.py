@@ -19,6 +19,7 @@ from oddline.functions.text import CleanOptions, parse_logs
 from oddline.operators import windows
 from oddline.operators.history import anomaly_rate
 from oddline.session import durable
+from oddline.sources.logs import spread
 
 
 def read_files(
@@ -71,7 +72,8 @@ def score_stream(
     """
 
     def work(batch: DataFrame, epoch: int) -> None:
-        score(batch).write.mode("overwrite").parquet(epoch_path(output, epoch))
+        # A micro-batch often is one file, so one split.
+        score(spread(batch)).write.mode("overwrite").parquet(epoch_path(output, epoch))
 
     return for_each_epoch(stream, work, checkpoint, **trigger)
 
