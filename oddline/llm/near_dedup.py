@@ -1,9 +1,10 @@
 """Exact Jaccard join on word shingles by signature trees.
 
-Which documents can be similar at all is found by the root level: the hash space
-of shingles is cut into more parts than two similar sets may differ in, so one
-part must be equal in both.  Documents that share such a part form clusters, and
-every cluster is searched by a signature tree.
+A document with too many shingles that no other has cannot be similar to any and
+leaves at once.  Which of the rest can be similar is found by the root level: the
+hash space of shingles is cut into more parts than two similar sets may differ in,
+so one part must be equal in both.  Documents that share such a part form
+clusters, and every cluster is searched by a signature tree.
 """
 
 from __future__ import annotations
@@ -14,8 +15,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
+from oddline.llm.bpe import _blocks, _bundle, cut, unpack_lists
 from oddline.llm.common import columns, components, hot_lookup, keep_rows, mix, partitions, slices, text_bytes
 from oddline.session import durable
 
@@ -75,6 +78,110 @@ def set_key(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
+# --- documents that share nothing ------------------------------------------------
+
+
+def _six_bytes(h: np.ndarray) -> bytes:
+    return np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _from_six(packed: bytes) -> np.ndarray:
+    wide = np.zeros((len(packed) // 6, 8), dtype=np.uint8)
+    wide[:, :6] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
+    return wide.view(U64).ravel()
+
+
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
+
+
+def _ask(rule: Rule, buckets: int):
+    """Per block and bucket one row with shingle hashes, a share of each document's."""
+    share = int(1024 * min(1.0, 2.5 * (100 - rule.percent) / 100))
+
+    def run(batches):
+        for block, batch in _blocks(batches):
+            ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
+            check = xxhash.xxh3_64_intdigest(ids.tobytes()) >> 1
+            sets = [s[(s & U64(1023)) < share] for s in shingle_sets(text_bytes(batch.column("text")), rule.words)]
+            doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            every = np.concatenate(sets)
+            bucket = ((every >> U64(40)) % U64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            every, doc, bucket = every[order], doc[order], bucket[order]
+            starts = _starts(bucket)
+            for a, b in zip(starts, np.r_[starts[1:], len(bucket)]):
+                counts = np.bincount(doc[a:b], minlength=len(sets)).astype(np.int32)
+                yield pa.RecordBatch.from_pydict(
+                    {"bucket": [int(bucket[a])], "block": [block], "check": [check],
+                     "hashes": pa.array([_six_bytes(every[a:b])], pa.binary()),
+                     "counts": pa.array([zstandard.compress(counts.tobytes(), 1)], pa.binary())}
+                )
+
+    return run
+
+
+def _unshared(table: pa.Table) -> pa.Table:
+    """How many of the hashes of every document no other document has."""
+    parts = [_from_six(h) for h in table["hashes"].to_pylist()]
+    every = np.concatenate(parts)
+    order = np.argsort(every)
+    new = np.r_[True, every[order][1:] != every[order][:-1]]
+    single = np.empty(len(every), dtype=bool)
+    single[order] = new & np.r_[new[1:], True]
+    out, at = [], 0
+    for packed in table["counts"].to_pylist():
+        counts = np.frombuffer(zstandard.decompress(packed), np.int32)
+        n = int(counts.sum())
+        doc = np.repeat(np.arange(len(counts)), counts)
+        own = np.bincount(doc[single[at : at + n]], minlength=len(counts)).astype(np.int32)
+        out.append(zstandard.compress(own.tobytes(), 1))
+        at += n
+    return pa.table({"block": table["block"], "check": table["check"], "counts": pa.array(out, pa.binary())})
+
+
+def _keep(rule: Rule):
+    """Size and key of every document's set, and the text of those that may be linked.
+
+    Of linked sets A and B, A has at most (100 - percent) percent elements that B
+    has not.  Counts that belong to another split of the input rule nobody out.
+    """
+
+    def run(left, right):
+        out = {"doc_id": [], "n_shingles": [], "set_key": [], "text": []}
+        answers = list(zip(right["check"].to_pylist(), right["counts"].to_pylist()))
+        for row in left.to_pylist():
+            ids, nulls = np.frombuffer(row["docs"], np.int64), np.frombuffer(row["nulls"], bool)
+            check, unshared = xxhash.xxh3_64_intdigest(row["docs"]) >> 1, np.zeros(len(ids), np.int64)
+            for c, packed in answers:
+                if c == check:
+                    unshared += np.frombuffer(zstandard.decompress(packed), np.int32)
+            lengths, body = unpack_lists(row["texts"])
+            texts = cut(body, lengths)
+            for i, null, n, text, s in zip(ids.tolist(), nulls, unshared.tolist(), texts, shingle_sets(texts, rule.words)):
+                may = len(s) and not null and 100 * n <= (100 - rule.percent) * len(s)
+                out["doc_id"].append(None if null else i)
+                out["n_shingles"].append(len(s))
+                out["set_key"].append(set_key(s))
+                out["text"].append(text.decode("utf-8") if may else None)
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.string()]
+        return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds)})
+
+    return run
+
+
+def set_facts(docs: DataFrame, rule: Rule) -> DataFrame:
+    """``doc_id, n_shingles, set_key, text`` with the text of possibly linked documents only."""
+    buckets = 4 * partitions(docs)
+    asked = docs.mapInArrow(_ask(rule, buckets), "bucket long, block long, check long, hashes binary, counts binary")
+    counted = asked.groupBy("bucket").applyInArrow(_unshared, "block long, check long, counts binary")
+    bundles = docs.mapInArrow(_bundle, "block long, docs binary, nulls binary, texts binary")
+    return bundles.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(
+        _keep(rule), "doc_id long, n_shingles long, set_key binary, text string"
+    )
+
+
 # --- root level ------------------------------------------------------------------
 
 
@@ -129,21 +236,6 @@ def signatures(s: np.ndarray, rule: Rule) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _facts(rule: Rule):
-    def run(batches):
-        for batch in slices(batches, BATCH_BYTES):
-            sets = shingle_sets(text_bytes(batch.column("text")), rule.words)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": batch.column("doc_id"),
-                    "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
-                    "set_key": pa.array([set_key(s) for s in sets], pa.binary()),
-                }
-            )
-
-    return run
-
-
 def _packed_signatures(rule: Rule, buckets: int):
     """Per batch and bucket one row with all its (signature, document) pairs."""
 
@@ -162,15 +254,14 @@ def _packed_signatures(rule: Rule, buckets: int):
             bucket = (sig >> U64(40)) % U64(buckets)
             order = np.argsort(bucket, kind="stable")  # documents stay together within a bucket
             sig, doc, bucket = sig[order], doc[order], bucket[order]
-            starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            starts = _starts(bucket)
             ends = np.r_[starts[1:], len(sig)]
             rows = {"bucket": [], "sig": [], "doc": [], "count": []}
             for a, b in zip(starts, ends):
-                first = np.flatnonzero(np.r_[True, doc[a + 1 : b] != doc[a : b - 1]])
+                first = _starts(doc[a:b])
                 # 48 bits of a signature and the bucket: a chance hit costs a comparison, no more.
-                six = np.ascontiguousarray(sig[a:b]).view(np.uint8).reshape(-1, 8)[:, :6]
                 rows["bucket"].append(int(bucket[a]))
-                rows["sig"].append(six.tobytes())
+                rows["sig"].append(_six_bytes(sig[a:b]))
                 rows["doc"].append(doc[a:b][first].tobytes())
                 rows["count"].append(np.diff(np.r_[first, b - a]).astype(np.int32).tobytes())
             yield pa.RecordBatch.from_pydict(
@@ -185,14 +276,12 @@ def _meet(table: pa.Table) -> pa.Table:
     """Tie the documents that share a signature to the smallest of them."""
     sigs, docs = [], []
     for s, d, c in zip(table["sig"].to_pylist(), table["doc"].to_pylist(), table["count"].to_pylist()):
-        wide = np.zeros((len(s) // 6, 8), dtype=np.uint8)
-        wide[:, :6] = np.frombuffer(s, np.uint8).reshape(-1, 6)
-        sigs.append(wide.view(U64).ravel())
+        sigs.append(_from_six(s))
         docs.append(np.repeat(np.frombuffer(d, np.int64), np.frombuffer(c, np.int32)))
     sig, doc = np.concatenate(sigs), np.concatenate(docs)
     order = np.lexsort((doc, sig))
     sig, doc = sig[order], doc[order]
-    starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+    starts = _starts(sig)
     lowest = np.repeat(doc[starts], np.diff(np.r_[starts, len(sig)]))
     pairs = np.unique(np.stack([lowest, doc])[:, lowest != doc], axis=1)
     return pa.table({"a": pairs[0], "b": pairs[1]})
@@ -334,7 +423,7 @@ def _search(rule: Rule, keep_all: bool):
         cross = key[1].as_py()
         order = np.argsort(group, kind="stable")
         sets = shingle_sets(text_bytes(table["text"].combine_chunks()), rule.words)
-        starts = np.flatnonzero(np.r_[True, group[order][1:] != group[order][:-1]])
+        starts = _starts(group[order])
         a, b = [], []
         for at, to in zip(starts, np.r_[starts[1:], len(order)]):
             own = order[at:to]
@@ -346,23 +435,26 @@ def _search(rule: Rule, keep_all: bool):
     return run
 
 
-def links_between(docs: DataFrame, facts: DataFrame, rule: Rule, keep_all: bool = False) -> DataFrame:
+def links_between(facts: DataFrame, rule: Rule, keep_all: bool = False) -> DataFrame:
     """``(a, b)``: verified links between documents with different shingle sets.
 
-    ``facts`` holds ``doc_id, n_shingles, set_key``.  Of equal sets only the
+    ``facts`` is the result of :func:`set_facts`, stored.  Of equal sets only the
     smallest document takes part.
     """
-    buckets = 4 * partitions(docs)
+    possible = facts.filter("text IS NOT NULL")
+    heads = possible.groupBy("set_key").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    docs = durable(
+        possible.join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "text"),
+        "possible",
+    )
+    buckets = 4 * partitions(facts)
     packed = docs.select("doc_id", "text").mapInArrow(
         _packed_signatures(rule, buckets), "bucket long, sig binary, doc binary, count binary"
     )
     met = durable(packed.groupBy("bucket").applyInArrow(_meet, "a long, b long").distinct(), "met")
-    clusters = durable(components(met), "clusters").withColumnRenamed("node", "doc_id")
+    clusters = components(met).withColumnRenamed("node", "doc_id")
     members = durable(
-        clusters.join(facts, "doc_id")
-        .groupBy("component", "set_key")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n")),
-        "members",
+        clusters.join(docs.select("doc_id", F.col("n_shingles").alias("n")), "doc_id"), "members"
     )
     # A large cluster is cut by size class and hash into blocks; blocks of one or of
     # adjacent classes are compared, so every link is met once.
@@ -415,12 +507,10 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     Shingles are compared by 64-bit hashes.
     """
     rule = Rule(words, percent)
-    docs = columns(docs, "doc_id", "text")
-    facts = durable(docs.mapInArrow(_facts(rule), "doc_id long, n_shingles long, set_key binary"), "facts")
-    known = docs.filter("doc_id IS NOT NULL")
-    links = durable(links_between(known, facts, rule), "links")
+    facts = durable(set_facts(columns(docs, "doc_id", "text"), rule), "facts")
+    links = durable(links_between(facts, rule), "links")
     # Documents with equal sets belong together whatever links they have.
-    filled = facts.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    filled = facts.drop("text").filter("n_shingles > 0 AND doc_id IS NOT NULL")
     same = durable(
         filled.groupBy("set_key").agg(F.min("doc_id").alias("_first"), F.count(F.lit(1)).alias("_rows")), "equal"
     )

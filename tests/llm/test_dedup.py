@@ -96,8 +96,9 @@ def test_every_link_is_found(spark):
     data = chain(seed=4)
     docs = spark.createDataFrame([r[:2] for r in data], "doc_id long, text string")
     rule = nd.Rule(3, 90)
-    facts = docs.mapInArrow(nd._facts(rule), "doc_id long, n_shingles long, set_key binary")
-    found = {(min(r), max(r)) for r in nd.links_between(docs, facts, rule, keep_all=True).collect()}
+    facts = nd.set_facts(docs, rule).cache()
+    found = {(min(r), max(r)) for r in nd.links_between(facts, rule, keep_all=True).collect()}
+    facts.unpersist()
     first = {}
     for i, t in docs.collect():
         first.setdefault(frozenset(shingles(t, 3)), i)
