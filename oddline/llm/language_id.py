@@ -23,7 +23,7 @@ ROUNDS = 3
 SMOOTHING = 0.1  # expected counts added to every piece
 BATCH_BYTES = 8 << 20
 LONGEST_TRAINED = 32  # letters; longer words are scored, but not learned from
-CELLS = 1 << 19  # words times letters computed at once
+CELLS = 1 << 17  # words times letters computed at once
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 START = "▁"
 SLOTS = 20
