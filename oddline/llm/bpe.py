@@ -23,6 +23,7 @@ from oddline.llm.common import columns, partitions, slices, text_bytes
 # Fixed value: the published splitting pattern of this kind of vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLOCK_BYTES = 8 << 20  # text of the documents that ask for words together
+STEP_WORDS = 1 << 17  # words or ids handled as objects or in wide arrays at once
 SEED = 20
 
 
@@ -117,9 +118,18 @@ class BlockWords:
     """The distinct words of a block, in buckets, and the word at every position."""
 
     def __init__(self, texts: list[bytes], bpe: ByteBPE, buckets: int):
-        split = [bpe.words(t.decode("utf-8")) for t in texts]
-        self.lengths = np.array([len(s) for s in split], dtype=np.int64)
-        coded = pa.array([w for s in split for w in s], pa.string()).dictionary_encode()
+        lengths, parts, some = [], [], []
+        for i, text in enumerate(texts):
+            own = bpe.words(text.decode("utf-8"))
+            lengths.append(len(own))
+            some += own
+            if len(some) >= STEP_WORDS or i == len(texts) - 1:  # few words at a time as objects
+                parts.append(pa.array(some, pa.string()))
+                some = []
+        self.lengths = np.array(lengths, dtype=np.int64)
+        coded = pa.chunked_array(parts, pa.string()).dictionary_encode().combine_chunks()
+        if isinstance(coded, pa.ChunkedArray):  # no rows
+            coded = pa.array([], pa.string()).dictionary_encode()
         self.codes = coded.indices.to_numpy()
         self.words = coded.dictionary.cast(pa.binary()).to_pylist()
         hashes = np.array([xxhash.xxh3_64_intdigest(w, SEED) for w in self.words], dtype=np.uint64)
@@ -210,13 +220,20 @@ def _place(path: str, buckets: int):
                 starts[own] = at + np.cumsum(count) - count
                 at += len(flat)
             table = np.concatenate([p[2] for p in parts]) if parts else np.zeros(0, np.uint32)
-            size = sizes[found.codes]
-            ends = np.cumsum(size)
-            steps = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size)
-            ids_flat = table[np.repeat(starts[found.codes], size) + steps]
-            upto = np.r_[0, ends][np.cumsum(found.lengths)]
             docs += [None if null else int(i) for i, null in zip(ids, nulls)]
-            out += [ids_flat[a:b].tobytes() for a, b in zip(np.r_[0, upto[:-1]].tolist(), upto.tolist())]
+            ends = np.cumsum(found.lengths)
+            for own in np.split(np.arange(len(ends)), np.flatnonzero(np.diff(ends // STEP_WORDS)) + 1):
+                if not len(own):
+                    continue
+                codes = found.codes[ends[own[0]] - found.lengths[own[0]] : ends[own[-1]]]
+                size = sizes[codes]
+                upto = np.r_[0, np.cumsum(size)]
+                within = np.arange(upto[-1]) - np.repeat(upto[:-1] - starts[codes], size)
+                flat = table[within]
+                bounds = upto[np.r_[0, np.cumsum(found.lengths[own])]]
+                out += [flat[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+            del found, table, parts
+        pa.default_memory_pool().release_unused()
         return pa.table({"doc_id": pa.array(docs, pa.int64()), "ids": pa.array(out, pa.binary())})
 
     return run
@@ -256,6 +273,7 @@ def _join_pieces(path: str):
                 body = joined.buffers()[2]
                 texts.append(body.to_pybytes()[: int(sizes[n].sum())].decode("utf-8", "replace") if body else "")
             yield batch.append_column("decoded", pa.array(texts, pa.string()))
+            pa.default_memory_pool().release_unused()
 
     return run
 
