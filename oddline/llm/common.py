@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from oddline.session import durable
@@ -123,7 +124,7 @@ def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of every text; null is empty."""
-    return [v or b"" for v in column.cast(pa.large_binary()).to_pylist()]
+    return [v or b"" for v in column.cast(pa.binary()).to_pylist()]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -140,10 +141,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 def slices(batches, most_bytes: int, column: str = "text"):
     """Arrow batches cut so that each holds about ``most_bytes`` of text, or one row."""
     for batch in batches:
-        sizes = np.array([len(v) if v else 0 for v in batch.column(column).cast(pa.large_binary()).to_pylist()])
-        if not len(sizes):
+        if not batch.num_rows:
             continue
-        group = np.cumsum(sizes) // most_bytes
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        group = np.cumsum(sizes, dtype=np.int64) // most_bytes
         starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
         for start, stop in zip(starts, np.r_[starts[1:], len(sizes)]):
             yield batch.slice(int(start), int(stop - start))
+            pa.default_memory_pool().release_unused()  # the next slice may need it in another shape
