@@ -19,9 +19,9 @@ _LEVEL = r"(?iU)\b(" + "|".join(fv.LOG_LEVELS) + r")\b"
 
 @dataclass(frozen=True)
 class CleanOptions:
-    """What :func:`clean_text` masks and keeps; ``max_length=None`` keeps all."""
+    """What :func:`clean_text` masks and keeps; ``max_length`` cuts, ``None`` keeps all."""
 
-    max_length: int | None = fv.MAX_LOG_LENGTH
+    max_length: int | None = None
     mask_timestamps: bool = True
     mask_ips: bool = True
     mask_paths: bool = False

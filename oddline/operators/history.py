@@ -6,7 +6,7 @@ neighbors, explanation`` and, for trends and categories, ``ts`` and a category.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from oddline import fixed_values as fv
 from oddline.functions.explain import percent
@@ -101,8 +101,11 @@ def trend(history: DataFrame, bucket: str = fv.TREND_BUCKET, ts: str = "ts") ->
 def by_category(history: DataFrame, category: str) -> DataFrame:
     """Anomalies per category with their share of all anomalies.
 
-    The window runs over one row per category, after the aggregation.
     """
     counts = history.filter("is_anomaly").groupBy(category).agg(F.count(F.lit(1)).alias("alerts"))
-    everything = Window.partitionBy(F.lit(1))
-    return counts.withColumn("share", F.col("alerts") / F.sum("alerts").over(everything))
+    total = counts.agg(F.sum("alerts").alias("_total"), F.lit(1).alias("_all"))  # one row
+    return (
+        counts.withColumn("_all", F.lit(1))
+        .join(F.broadcast(total), "_all")
+        .select(category, "alerts", (F.col("alerts") / F.col("_total")).alias("share"))
+    )

@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from oddline.functions.vectors import cosine
-from oddline.operators.knn import Neighbors, stack
+from oddline.operators.knn import Neighbors
 from oddline.operators.skew import salted_lookup
 
-MATRIX_QUERIES = 1_000
-
 
 def pair_similarity(
     pairs: DataFrame, left: DataFrame, right: DataFrame, normalized: bool = True
@@ -23,43 +19,6 @@ def pair_similarity(
     return joined.withColumn("similarity", cosine(F.col("_l"), F.col("_r"), normalized)).drop("_l", "_r")
 
 
-def similarity_matrix(
-    queries: DataFrame, corpus: DataFrame, normalized: bool = True, max_queries: int = MATRIX_QUERIES
-) -> DataFrame:
-    """One row per corpus row with its cosine to every query, ordered by query id.
-
-    The matrix needs a bounded query side, which is checked: more than
-    ``max_queries`` is an error, and then a neighbour search is the way.  The
-    corpus is scanned once and not shuffled.  Both tables are ``(id, embedding)``.
-    """
-    rows = queries.select("id", "embedding").orderBy("id").limit(max_queries + 1).collect()
-    if len(rows) > max_queries:
-        raise ValueError(f"more than {max_queries} queries; use knn instead of a full matrix")
-    q = np.array([r["embedding"] for r in rows], dtype=np.float64)
-    if not normalized:
-        q = _unit(q)
-    shared = corpus.sparkSession.sparkContext.broadcast(q)
-
-    @F.pandas_udf("array<double>")
-    def similarities(vectors: pd.Series) -> pd.Series:
-        if not len(vectors):
-            return pd.Series([], dtype=object)
-        c = stack(vectors)
-        return pd.Series(list((c if normalized else _unit(c)) @ shared.value.T))
-
-    return corpus.select(
-        F.col("id").alias("corpus_id"),
-        F.array(*[F.lit(r["id"]) for r in rows]).alias("query_ids"),
-        similarities("embedding").alias("similarities"),
-    )
-
-
-def _unit(x: np.ndarray) -> np.ndarray:
-    """Rows scaled to unit length; zero rows stay zero and are similar to nothing."""
-    length = np.sqrt((x * x).sum(1, keepdims=True))
-    return np.divide(x, length, out=np.zeros_like(x), where=length > 0)
-
-
 def neighborhood_stats(neighbors: Neighbors) -> DataFrame:
     """Count, mean, population deviation and extremes of each query's distances."""
     valid = neighbors.rows.filter("distance >= 0")

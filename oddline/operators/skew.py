@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-HOT_ROWS = 1_000_000
+HOT_ROWS = 1_000_000  # left rows of one sub-key
 HOT_KEYS = 1_000
-SALTS = 64
 
 
 def salted_lookup(
@@ -16,15 +15,14 @@ def salted_lookup(
     how: str = "left",
     spread: list[str] | None = None,
     hot_rows: int = HOT_ROWS,
-    salts: int = SALTS,
 ) -> DataFrame:
     """Join ``left`` to a ``right`` that is unique on ``on``, hot keys split.
 
     Hot are the up to ``HOT_KEYS`` heaviest keys with more than ``hot_rows`` rows
     on the left, found by a partial aggregation; any key beyond those holds less
     than a thousandth of all rows.  Only that short list is broadcast.  The left
-    rows of hot keys spread over ``salts`` sub-keys and only their right rows
-    are repeated; all other keys keep one copy.  ``spread`` names the columns
+    rows of a hot key spread over as many sub-keys as it has ``hot_rows`` rows, and
+    only its right row is repeated; all other keys keep one copy.  ``spread`` names the columns
     whose hash picks the sub-key (default: all others).
     """
     hot = (
@@ -33,20 +31,18 @@ def salted_lookup(
         .filter(F.col("_rows") > hot_rows)
         .orderBy(F.desc("_rows"), *on)  # a total order: both sides get the same list
         .limit(HOT_KEYS)
-        .select(*on, F.lit(True).alias("_hot"))
+        .select(*on, F.ceil(F.col("_rows") / hot_rows).alias("_salts"))
     )
     spread = spread or [c for c in left.columns if c not in on]
     left = left.join(F.broadcast(hot), on, "left").withColumn(
         "_salt",
-        F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).otherwise(0),
+        F.pmod(F.xxhash64(*spread), F.coalesce("_salts", F.lit(1))),
     )
     right = right.join(F.broadcast(hot), on, "left").withColumn(
         "_salt",
-        F.explode(
-            F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-        ),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_salts", F.lit(1)) - 1)),
     )
-    return left.drop("_hot").join(right.drop("_hot"), [*on, "_salt"], how).drop("_salt")
+    return left.drop("_salts").join(right.drop("_salts"), [*on, "_salt"], how).drop("_salt")
 
 
 def first_per_group(

@@ -92,6 +92,12 @@ def fit(
     or from the new ones only with ``refit_on_all=False``.
     """
     new = durable(corpus_entries(logs, options, source), "corpus")
+    if previous:
+        # Numbers are arrival order and identity: a batch that counts anew goes on after the old ones.
+        last = previous.corpus.agg(F.max("seq")).first()[0]
+        first = new.agg(F.min("seq")).first()[0]
+        if last is not None and first is not None and first <= last:
+            new = durable(new.withColumn("seq", F.col("seq") - first + last + 1), "corpus")
     corpus = append_entries(previous.corpus, new) if previous else new
     index = _index(corpus, options)
     probes = options.probes if options.index_type == "IVF" else None

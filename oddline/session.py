@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -31,8 +32,9 @@ def local_session(cores: int | str = 8, name: str = "oddline", **conf: str) -> S
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    All executors must reach it.  Only where the setting is absent (tests on one
-    machine) a temporary folder is made and remembered in the session.
+    All executors must reach it.  Where the setting is absent, a session that runs
+    on one machine gets a temporary folder, remembered in the session; on a cluster
+    that is an error, since every executor would write to a disk of its own.
     """
     path = spark.conf.get(CHECKPOINT_CONF, None)
     if not path:
@@ -40,6 +42,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         path = spark.conf.get("spark.oddline.scratch", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors reach")
         path = tempfile.mkdtemp(prefix="oddline-")
         spark.conf.set("spark.oddline.scratch", path)
     return path.rstrip("/")

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from oddline.session import durable
+
 COLUMNS = ["seq", "id", "embedding", "metadata", "ts"]
 
 
@@ -48,7 +50,8 @@ def corpus_stats(corpus: DataFrame, index_type: str = "Flat", is_trained: bool =
 
 
 def save_corpus(corpus: DataFrame, path: str, settings: dict[str, str] | None = None) -> None:
-    corpus.write.mode("overwrite").parquet(f"{path}/corpus")
+    """Write the corpus, also to the folder it is read from: it is stored apart first."""
+    durable(corpus, "corpus").write.mode("overwrite").parquet(f"{path}/corpus")
     spark = corpus.sparkSession
     rows = [(k, str(v)) for k, v in (settings or {}).items()]
     spark.createDataFrame(rows, "key string, value string").coalesce(1).write.mode(

@@ -37,26 +37,42 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = N
     return reader.option("inferSchema", True).csv(path)
 
 
+def _one_value(text: Column) -> Column:
+    """Whether the text is one JSON value; the parser itself would not mind what follows it."""
+    inside = [F.concat(F.lit(a), text, F.lit(b)) for a, b in (("[", "]"), ('{"x":', "}"))]
+    return F.try_parse_json(inside[0]).isNotNull() & F.try_parse_json(inside[1]).isNotNull()
+
+
 def read_json(
     spark: SparkSession, path: str, schema: StructType | str | None = None, whole: bool | None = None
 ) -> DataFrame:
     """JSON lines, or a whole document per file.
 
-    ``whole=None`` tries lines first and falls back when no line is a record.
+    ``whole=None`` decides for every file: one whose lines are all records is read
+    by lines, any other as one document.  A file that is neither raises an error
+    when it is read; no record is left out or made up.
     """
-    reader = spark.read if schema is None else spark.read.schema(schema)
+    reader = (spark.read if schema is None else spark.read.schema(schema)).option("mode", "FAILFAST")
     if whole is not None:
         return reader.option("multiLine", whole).json(path)
-    if schema is None:
-        lines = reader.json(path)
-        broken = lines.columns == ["_corrupt_record"]
-    else:
-        # A document spread over lines opens with a line that is no record.
-        lines = reader.json(path)
-        text = spark.read.text(path).filter(F.trim("value") != "").limit(1)
-        first = text.select(F.try_parse_json("value").isNull().alias("bad")).first()
-        broken = bool(first and first["bad"])
-    return reader.option("multiLine", True).json(path) if broken else lines
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    record = _one_value(F.col("value"))
+    kinds = lines.filter(F.trim("value") != "").groupBy("file").agg(F.bool_and(record).alias("by_line"))
+    files = {r["file"]: r["by_line"] for r in kinds.collect()}  # one row per file
+    by_line = sorted(f for f, kind in files.items() if kind)
+    documents = sorted(f for f, kind in files.items() if not kind)
+    if not documents:
+        return reader.json(by_line or path)
+    # The document reader stops after the first value; what follows would be lost.
+    text = spark.read.text(documents, wholetext=True)
+    broken = text.filter(~_one_value(F.col("value"))).select("_metadata.file_path").limit(5).collect()
+    if broken:
+        raise ValueError(f"neither JSON lines nor one document: {[r[0] for r in broken]}")
+    one_each = reader.option("multiLine", True).json(documents)
+    if not by_line:
+        return one_each
+    reader = (spark.read if schema is None else spark.read.schema(schema)).option("mode", "FAILFAST")
+    return reader.json(by_line).unionByName(one_each, allowMissingColumns=True)
 
 
 def read_table(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:

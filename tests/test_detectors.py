@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from oddline.operators import history
 from oddline.operators.encode import ModelEncoder, TokenHashEncoder, encode_with_metadata
-from oddline.operators.similarity import similarity_matrix
 from oddline.plans import distance_detector as distance, hybrid_detector as hybrid
 from oddline.plans.table_scoring import score_file, score_table
 
@@ -113,14 +112,6 @@ def test_model_encoder_encodes_each_text_once(spark):
     assert (rows[0].model_name, rows[0].embedding_dim) == ("lengths", 2)
 
 
-def test_similarity_matrix_refuses_too_many_queries(spark):
-    v = spark.range(12).selectExpr("id", "array(double(id), 1D) AS embedding")
-    with pytest.raises(ValueError):
-        similarity_matrix(v, v, max_queries=11)
-    rows = similarity_matrix(v, v, normalized=False, max_queries=12).orderBy("corpus_id").collect()
-    assert rows[3].query_ids == list(range(12)) and rows[3].similarities[3] == pytest.approx(1.0)
-
-
 @pytest.fixture(scope="module")
 def hybrid_model(normal):
     with_meta = normal.withColumns(

@@ -104,6 +104,12 @@ def test_confusion_without_positives(spark):
     assert (q.tn, q.accuracy, q.precision, q.recall, q.f1) == (2, 1.0, 0.0, 0.0, 0.0)
 
 
+def test_accuracy_counts_labelled_rows_only(spark):
+    df = spark.createDataFrame([(1, True), (0, True), (None, True), (None, False)], "y int, p boolean")
+    q = quality(confusion(df, F.col("y"), F.col("p"))).first()
+    assert (q.n, q.unlabelled, q.accuracy) == (2, 2, 0.5)
+
+
 def test_balanced_rates_use_the_first_rows_of_each_class(spark):
     rows = [(i, i % 2 == 0, i < 6) for i in range(20)]
     df = spark.createDataFrame(rows, "i long, odd boolean, flag boolean")

@@ -104,14 +104,39 @@ def test_corpus_last_entry_wins(spark, folder):
     assert store.corpus_stats(both.filter("false")).first().total_vectors == 0
 
 
+def test_json_keeps_or_rejects_every_record(spark, folder):
+    def put(name, text):
+        with open(f"{folder}/{name}", "w") as f:
+            f.write(text)
+
+    os.makedirs(folder + "/mixed")
+    put("mixed/a.json", '[\n{"a": 1},\n{"a": 2}\n]\n')
+    put("mixed/b.json", '{"a": 3}\n\n{"a": 4}\n')
+    for schema in ("a int", None):
+        assert sorted(r.a for r in files.read_json(spark, folder + "/mixed", schema).collect()) == [1, 2, 3, 4]
+    put("broken.json", 'oops\n{"a": 3}\n{"a": 4}\n')
+    put("cut.json", '{"a": 3}\n{"a": \n')
+    for name in ("broken.json", "cut.json"):
+        with pytest.raises(Exception):
+            files.read_json(spark, f"{folder}/{name}", "a int").collect()
+
+
+def test_a_corpus_can_be_saved_where_it_came_from(spark, folder):
+    one = spark.sql("SELECT 1L AS seq, 'a' AS id, array(1F) AS embedding, map('k', 'v') AS metadata, NULL AS ts")
+    store.save_corpus(one, folder + "/c")
+    loaded, _ = store.load_corpus(spark, folder + "/c")
+    store.save_corpus(store.append_entries(loaded, one.withColumn("seq", F.lit(2).cast("long"))), folder + "/c")
+    assert store.load_corpus(spark, folder + "/c")[0].count() == 2
+
+
 def test_hot_keys_are_split_and_nothing_is_lost(spark):
     left = spark.range(3000).selectExpr("id", "IF(id < 1500, 'hot', concat('k', id % 50)) AS k")
     right = spark.sql("SELECT 'hot' AS k, 1 AS v UNION ALL SELECT 'k1', 2 UNION ALL SELECT 'unused', 3")
-    out = salted_lookup(left, right, ["k"], "left", hot_rows=100, salts=8)
+    out = salted_lookup(left, right, ["k"], "left", hot_rows=100)
     assert out.count() == 3000
     assert out.filter("k = 'hot' AND v = 1").count() == 1500
     assert out.filter("v = 2").count() == 30
-    assert salted_lookup(left, right, ["k"], "inner", hot_rows=100, salts=8).count() == 1530
+    assert salted_lookup(left, right, ["k"], "inner", hot_rows=100).count() == 1530
 
 
 def test_scratch_is_the_configured_folder(spark):

@@ -6,6 +6,7 @@ They restate each result in plain SQL, independently of the engine.  RE2's
 
 from __future__ import annotations
 
+# --- Fixed values: patterns that results depend on, restated -----------------------
 WORD = r"[\p{L}\p{N}_]"
 ISO = r"\d{4}-\d{2}-\d{2}[T\s]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?"
 TIMES = (ISO, rf"\d{{2}}/{WORD}{{3}}/\d{{4}}:\d{{2}}:\d{{2}}:\d{{2}}",
@@ -16,6 +17,9 @@ HEX = r"\b0x[0-9a-fA-F]+\b"
 UUID = r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b"
 DROPPED = r"[^\p{L}\p{N}_\s\-.:<>\[\]()]"
 LEVELS = r"(?i)\b(DEBUG|INFO|WARN|WARNING|ERROR|CRITICAL|FATAL)\b"
+# --- End of the fixed values ---------------------------------------------------------
+
+DOC_SCORE = "(((doc_id * 37) % 1009) / 1009.0::DOUBLE)"
 
 
 def replace_all(text: str, pairs) -> str:
@@ -235,7 +239,7 @@ def registry() -> dict[str, str]:
         "clean_documents": f"""WITH c AS (SELECT doc_id, {clean('text')} AS cleaned_text, {clean('text', None)} AS whole FROM documents)
 SELECT doc_id, cleaned_text, md5(whole) AS whole_md5, length(whole) AS whole_length FROM c""",
         "mask_paths": f"""SELECT page_id, {clean('url', None, times=False, ips=False, paths=True, lower=False)} AS cleaned_url FROM pages""",
-        "document_inputs": """SELECT doc_id, md5(CASE WHEN lang <> 'es' THEN text ELSE '' END) AS text_md5,
+        "document_inputs": """SELECT doc_id, md5(coalesce(text, '')) AS text_md5, md5(CASE quality WHEN 0 THEN 'high' WHEN 1 THEN 'low' ELSE '' END) AS severity_md5,
   CASE WHEN toxic = 1 THEN 0.9 ELSE 0.5 END::DOUBLE AS risk, CASE quality WHEN 0 THEN 0.6 WHEN 1 THEN 0.2 ELSE 0.0 END::DOUBLE AS severity_weight,
   CASE quality WHEN 0 THEN 'high' WHEN 1 THEN 'low' END AS severity FROM documents LEFT JOIN labels USING (doc_id)""",
         "log_file_scan": f"WITH {PARSED} SELECT raw_text, 'events.log' AS source, log_level, log_id FROM parsed",
@@ -268,9 +272,9 @@ n AS (SELECT * FROM r WHERE rank <= 5)
 SELECT query_id, rank::INTEGER AS rank, neighbor_id, round(distance, 6) AS distance, source,
   round(avg(distance) OVER q, 6) AS mean_distance, round(min(distance) OVER q, 6) AS min_distance, round(max(distance) OVER q, 6) AS max_distance
 FROM n JOIN documents ON doc_id = neighbor_id WINDOW q AS (PARTITION BY query_id)""",
-        "label_similarity_matrix": f"""WITH {VECTORS}, l AS (SELECT label, i, avg(e[i]) AS m FROM v, range(1, 65) t(i) GROUP BY 1, 2),
+        "label_similarity": f"""WITH {VECTORS}, l AS (SELECT label, i, avg(e[i]) AS m FROM v, range(1, 65) t(i) GROUP BY 1, 2),
 means AS (SELECT label, list(m ORDER BY i)::DOUBLE[64] AS e FROM l GROUP BY 1)
-SELECT v.vec_id AS corpus_id, means.label, round(array_cosine_similarity(v.e, means.e), 6) AS similarity FROM v, means""",
+SELECT v.vec_id, means.label, round(array_cosine_similarity(v.e, means.e), 6) AS similarity FROM v JOIN means USING (label)""",
         "neighbor_cosine": f"""WITH n AS ({ranked(SQUARE, SQUARE, 2)}), {VECTORS}
 SELECT query_id AS left_id, neighbor_id AS right_id, round(array_cosine_similarity(a.e, b.e), 6) AS similarity
 FROM n JOIN v a ON a.vec_id = query_id JOIN v b ON b.vec_id = neighbor_id""",
@@ -301,8 +305,8 @@ SELECT seq, window_rows::INTEGER AS window_rows, strftime(first_ts, '%Y-%m-%d %H
   strftime(last_ts, '%Y-%m-%d %H:%M:%S.%f') AS last_ts, round(score_sum, 6) AS score_sum FROM z""",
         "temporal_features": f"""WITH t AS (SELECT event_id, {features} AS f FROM events)
 SELECT event_id, (i - 1)::INTEGER AS pos, round(f[i], 6) AS x FROM t, range(1, 17) r(i)""",
-        "augmented_vectors": f"""WITH t AS (SELECT vec_id, list_concat(embedding::DOUBLE[], {features}) AS f FROM embeddings JOIN events ON event_id = vec_id)
-SELECT vec_id, len(f)::INTEGER AS dim, round(list_sum(f), 6) AS total, round(f[65], 6) AS hour_share FROM t""",
+        "augmented_vectors": f"""WITH t AS (SELECT event_id, vec_id, list_concat(embedding::DOUBLE[], {features}) AS f FROM events JOIN embeddings ON vec_id = event_id % (SELECT count(*) FROM embeddings))
+SELECT event_id, vec_id, len(f)::INTEGER AS dim, round(list_sum(f), 6) AS total, round(f[65], 6) AS hour_share FROM t""",
         "score_bands": f"""WITH s AS (SELECT event_id, value / 100.0 - 0.05 AS s FROM events) SELECT event_id, {band_name('s')} AS band, {band_text('s')} AS sentence,
   CASE WHEN s > 0.7 THEN 'CRITICAL' WHEN s > 0.4 THEN 'SUSPICIOUS' ELSE 'NORMAL' END AS display,
   CASE WHEN s > 0.7 THEN 'Critical' ELSE 'High' END AS alert FROM s""",
@@ -319,6 +323,17 @@ near AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY round(d, 9), id)
 means AS (SELECT seq, normal, round(avg(d), 9) AS m FROM near WHERE rank BETWEEN 2 AND 6 GROUP BY 1, 2),
 fit AS (SELECT avg(m) AS mu, stddev_pop(m) AS sd FROM means WHERE normal)
 SELECT seq, round(m, 6) AS mean_distance, round((m - mu) / greatest(sd, 0.01), 6) AS distance_score FROM means, fit""",
+        "scored_table_metrics": f"""WITH c AS (SELECT count(*) FILTER (toxic = 1 AND p) AS tp, count(*) FILTER (toxic = 0 AND NOT p) AS tn, count(*) FILTER (toxic = 0 AND p) AS fp,
+  count(*) FILTER (toxic = 1 AND NOT p) AS fn, count(toxic) AS n, count(*) - count(toxic) AS unlabelled FROM (SELECT toxic, {DOC_SCORE} > 0.7 AS p FROM documents LEFT JOIN labels USING (doc_id))), {quality('c', 'unlabelled,')}
+SELECT tp, tn, fp, fn, n, unlabelled, round(accuracy, 6) AS accuracy, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM f1""",
+        "scored_table_top": f"""SELECT doc_id AS seq, round({DOC_SCORE}, 6) AS anomaly_score, substr(text, 1, 100) AS text FROM documents WHERE {DOC_SCORE} > 0.7 ORDER BY {DOC_SCORE} DESC, doc_id LIMIT 5""",
+        "scored_table_anomalies": f"SELECT doc_id AS seq, round({DOC_SCORE}, 6) AS anomaly_score, md5(text) AS text_md5 FROM documents WHERE {DOC_SCORE} > 0.7",
+        "scored_table_csv": f"""SELECT md5(text) AS text_md5, toxic, round({DOC_SCORE}, 6) AS anomaly_score, {DOC_SCORE} > 0.7 AS is_anomaly_pred
+FROM documents LEFT JOIN labels USING (doc_id)""",
+        "hybrid_scores_given_forest": f"""WITH {SIEM}, z AS (SELECT event_id, is_anomaly, (risk_score / 10 - 4) / 2.5 AS z, (event_id % 41) / 40.0 - 0.3 AS f FROM labelled)
+SELECT event_id, round(least(greatest(least(z / 3, 1), 0) * 0.5 + greatest(least(0.5 - f, 1), 0) * 0.5, 1), 6) AS score,
+  f < 0 OR z > 2 OR is_anomaly AS flag FROM z""",
+        "json_folder_scan": f"WITH {SIEM} SELECT event_id, severity FROM siem",
         "label_quality": f"""WITH c AS (SELECT {CELLS} FROM labels), {quality('c')}
 SELECT tp, tn, fp, fn, n, round(accuracy, 6) AS accuracy, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM f1""",
         "quality_by_source": f"""WITH c AS (SELECT source, {CELLS} FROM labels JOIN documents USING (doc_id) GROUP BY 1), {quality('c', 'source,')}
@@ -327,7 +342,7 @@ SELECT source, tp, tn, fp, fn, n, round(f1, 6) AS f1 FROM f1""",
   round(avg((risk_score > 40)::INTEGER), 6) AS rate FROM labelled GROUP BY 1""",
         "first_of_class_rates": f"""WITH {SIEM}, o AS (SELECT *, row_number() OVER (PARTITION BY is_anomaly ORDER BY event_id) AS rank FROM labelled),
 c AS (SELECT count(*) FILTER (NOT is_anomaly AND risk_score <= 40) AS tn, count(*) FILTER (is_anomaly AND risk_score > 40) AS tp,
-  count(*) FILTER (NOT is_anomaly) AS n, count(*) FILTER (is_anomaly) AS p FROM o WHERE rank <= 100)
+  count(*) FILTER (NOT is_anomaly) AS n, count(*) FILTER (is_anomaly) AS p FROM o)
 SELECT tn AS true_negatives, tp AS true_positives, round(tn / n::DOUBLE, 6) AS tnr, round(tp / p::DOUBLE, 6) AS tpr, round((tn + tp) / (n + p)::DOUBLE, 6) AS accuracy FROM c""",
         "history_status": """SELECT TRUE AS is_fitted, (SELECT count(*) FROM embeddings WHERE label < 8) AS vector_db_size, (SELECT count(*) FROM events) AS history_count""",
         "history_rate": f"""WITH {HISTORY} SELECT count(*) AS total, count(*) FILTER (is_anomaly) AS anomalies, round(count(*) FILTER (is_anomaly) / count(*)::DOUBLE, 6) AS rate FROM hist""",

@@ -13,7 +13,7 @@ from oddline.operators.encode import encode_with_metadata
 from oddline.operators.forest import fit_forest
 from oddline.operators.knn import build_index, kmeans_index, knn
 from oddline.plans import distance_detector as distance, hybrid_detector as hybrid
-from oddline.plans.table_scoring import score_table
+from oddline.plans.table_scoring import ScoredTable, score_table
 from oddline.session import durable, scratch_path
 from oddline.sources import corpus as store, logs as files, siem
 from oddline.streaming import jobs
@@ -64,7 +64,7 @@ def clean_documents(spark, sf):
     whole = text.clean_text(F.col("text"), inputs.WHOLE)
     return d.select(
         "doc_id",
-        text.clean_text(F.col("text")).alias("cleaned_text"),
+        text.clean_text(F.col("text"), text.CleanOptions(max_length=fv.MAX_LOG_LENGTH)).alias("cleaned_text"),
         F.md5(whole).alias("whole_md5"),
         F.length(whole).cast("bigint").alias("whole_length"),
     )
@@ -87,7 +87,8 @@ def document_inputs(spark, sf):
     files.require_column(d, "text")
     return d.select(
         "doc_id",
-        F.md5(files.text_or_empty(F.when(F.col("lang") != "es", F.col("text")))).alias("text_md5"),
+        F.md5(files.text_or_empty(F.col("text"))).alias("text_md5"),
+        F.md5(files.text_or_empty(F.col("severity"))).alias("severity_md5"),
         six(sev.metadata_features(d)[0], "risk"),
         six(sev.metadata_features(d)[1], "severity_weight"),
         *files.optional_columns(d, ["severity", "no_such_column"]),
@@ -222,8 +223,8 @@ def text_search(spark, sf):
     )
 
 
-def label_similarity_matrix(spark, sf):
-    """Cosine of every vector with the mean vector of every label."""
+def label_similarity(spark, sf):
+    """Cosine of every vector with the mean vector of its own label."""
     v = inputs.table(spark, sf, "embeddings")
     means = (
         v.select("label", F.posexplode_outer("embedding").alias("pos", "x"))
@@ -234,11 +235,9 @@ def label_similarity_matrix(spark, sf):
         .select(F.col("label").alias("id"), F.transform("pm", lambda p: p["m"]).alias("embedding"))
     )
     corpus = v.select(F.col("vec_id").alias("id"), "embedding")
-    matrix = similarity.similarity_matrix(means, corpus, normalized=False)
-    pairs = F.explode(F.arrays_zip("query_ids", "similarities")).alias("p")
-    return matrix.select("corpus_id", pairs).select(
-        "corpus_id", F.col("p.query_ids").alias("label"), six("p.similarities", "similarity")
-    )
+    pairs = v.select(F.col("vec_id").alias("left_id"), F.col("label").alias("right_id"))
+    out = similarity.pair_similarity(pairs, corpus, means, normalized=False)
+    return out.select(F.col("left_id").alias("vec_id"), F.col("right_id").alias("label"), six("similarity"))
 
 
 def neighbor_cosine(spark, sf):
@@ -387,10 +386,14 @@ def temporal_features(spark, sf):
 
 
 def augmented_vectors(spark, sf):
+    """Every event with the vector its number comes round to."""
     v = inputs.table(spark, sf, "embeddings")
-    e = inputs.table(spark, sf, "events").select(F.col("event_id").alias("vec_id"), "ts")
-    both = v.join(e, "vec_id").withColumn("augmented", vec.augment(F.col("embedding"), F.col("ts")))
+    e = inputs.table(spark, sf, "events").select(
+        "event_id", (F.col("event_id") % v.count()).alias("vec_id"), "ts"
+    )
+    both = e.join(v, "vec_id").withColumn("augmented", vec.augment(F.col("embedding"), F.col("ts")))
     return both.select(
+        "event_id",
         "vec_id",
         F.size("augmented").alias("dim"),
         F.round(vec.total(F.col("augmented")), 6).alias("total"),
@@ -508,7 +511,7 @@ def hybrid_log_detect(spark, sf):
 
 
 def document_table_scores(spark, sf):
-    """Custom-table scoring of all documents, trained on those of good quality."""
+    """Custom-table scoring of all documents, trained on those labelled not toxic."""
     d = inputs.documents(spark, sf).join(inputs.table(spark, sf, "labels"), "doc_id", "left")
     d = d.select(
         F.col("doc_id").alias("seq"),
@@ -524,6 +527,62 @@ def document_table_scores(spark, sf):
     return scored.metrics()
 
 
+def _scored_documents(spark, sf) -> ScoredTable:
+    """A scored table whose scores follow from the number of the document."""
+    d = inputs.documents(spark, sf).join(inputs.table(spark, sf, "labels"), "doc_id", "left")
+    score = ((F.col("doc_id") * 37) % 1009) / 1009.0
+    rows = d.select(
+        F.col("doc_id").alias("seq"), F.col("text").alias("description"), "toxic",
+        score.alias("anomaly_score"), (score > 0.7).alias("is_anomaly_pred"),
+    )
+    return ScoredTable(durable(rows, "scored-table"), "description", "toxic")
+
+
+def scored_table_metrics(spark, sf):
+    m = _scored_documents(spark, sf).metrics()
+    return m.select("tp", "tn", "fp", "fn", "n", "unlabelled", *[six(c) for c in ("accuracy", "precision", "recall", "f1")])
+
+
+def scored_table_top(spark, sf):
+    return _scored_documents(spark, sf).top().withColumn("anomaly_score", F.round("anomaly_score", 6))
+
+
+def scored_table_anomalies(spark, sf):
+    return _scored_documents(spark, sf).anomalies().select("seq", six("anomaly_score"), F.md5("description").alias("text_md5"))
+
+
+def scored_table_csv(spark, sf):
+    """The scored table written as CSV and read back, whole texts with all their line ends."""
+    path = scratch_path(spark, "scored-csv")
+    _scored_documents(spark, sf).save(path)
+    back = files.read_csv(spark, path, "description string, toxic int, anomaly_score double, is_anomaly_pred boolean")
+    return back.select(F.md5("description").alias("text_md5"), "toxic", six("anomaly_score"), "is_anomaly_pred")
+
+
+def hybrid_scores_given_forest(spark, sf):
+    """Hybrid score and flag where distance and forest decision are columns of the events."""
+    r = siem.label_records(inputs.siem_records(spark, sf))
+    z = scoring.hybrid_z(F.col("risk_score") / 10.0, F.lit(4.0), F.lit(2.5))
+    forest = (F.col("event_id") % 41) / 40.0 - 0.3
+    return r.select(
+        "event_id", six(scoring.hybrid_score(z, forest), "score"),
+        scoring.hybrid_flag(z, forest, F.col("is_anomaly")).alias("flag"),
+    )
+
+
+def json_folder_scan(spark, sf):
+    """A folder with JSON-lines files and files that are one document each."""
+    path = scratch_path(spark, "mixed-json")
+    rows = inputs.siem_records(spark, sf).select("event_id", "severity")
+    rows.filter("event_id % 3 <> 0").write.json(path)
+    listed = rows.filter("event_id % 3 = 0").groupBy((F.col("event_id") % 97).alias("part")).agg(
+        F.sort_array(F.collect_list(F.struct("event_id", "severity"))).alias("all")
+    )
+    pretty = F.concat(F.lit("[\n"), F.concat_ws(",\n", F.transform("all", lambda r: F.to_json(r))), F.lit("\n]"))
+    listed.repartition(97, "part").select(pretty.alias("value")).write.mode("append").option("maxRecordsPerFile", 1).text(path)
+    return files.read_json(spark, path, "event_id bigint, severity string")
+
+
 # --- evaluation -----------------------------------------------------------------------------------------
 
 
@@ -710,13 +769,15 @@ def registry():
         parse_event_logs, level_counts, clean_documents, mask_paths, document_inputs,
         log_file_scan, csv_scan, json_scan,
         siem_labels, siem_split, siem_metadata, siem_texts, siem_totals,
-        hash_encode_documents, neighborhood_stats, text_search, label_similarity_matrix,
+        hash_encode_documents, neighborhood_stats, text_search, label_similarity,
         neighbor_cosine, normalized_vectors, corpus_latest, corpus_stats,
         baseline_distances, baseline_threshold, anomaly_scores, unfitted_scores, reloaded_scores,
         sure_anomalies, burst_flags, score_windows, temporal_features, augmented_vectors,
         score_bands, recommendations, explanations, reports,
         hybrid_features, hybrid_distance_scores, isolation_forest, hybrid_detect,
         hybrid_log_detect, document_table_scores,
+        scored_table_metrics, scored_table_top, scored_table_anomalies, scored_table_csv,
+        hybrid_scores_given_forest, json_folder_scan,
         label_quality, quality_by_source, detection_rates, first_of_class_rates,
         history_status, history_rate, recent_history, recent_alerts, all_alerts,
         detection_responses, anomaly_trend, alerts_by_category, appended_history,
