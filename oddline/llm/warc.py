@@ -21,7 +21,7 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-dig
 RECORD_END = "\r\n\r\n"
 DATE = "2000-01-01T00:00:00Z"  # of the capture, where the caller has none
 CHUNK = 1 << 20
-LEVEL = 1  # of the members' compression
+LEVEL = 6  # of the members' compression
 
 
 def base32_sha1(data: Column) -> Column:
