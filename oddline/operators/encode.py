@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from oddline import fixed_values as fv
-from oddline.functions.vectors import bind, l2_normalize
+from oddline.functions.vectors import l2_normalize
 from oddline.operators.skew import salted_lookup
 
 
@@ -18,7 +20,8 @@ class TokenHashEncoder:
     """Counts of lower-case words in ``dim`` hash buckets, scaled to unit length.
 
     Lexical, not semantic: texts are near each other if they share words.  It
-    needs no model files and is a plain expression, so nothing is shuffled.
+    needs no model files and shuffles nothing.  Words are hashed in the plan; the
+    buckets of an Arrow batch are counted at once, so the cost follows the words.
     """
 
     dim: int = fv.EMBEDDING_DIM
@@ -29,19 +32,21 @@ class TokenHashEncoder:
         words = F.filter(F.split(F.lower(F.col(text_col)), r"\s+"), lambda w: w != "")
         number = lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint")
         buckets = F.transform(words, lambda w: F.pmod(number(w), F.lit(self.dim).cast("bigint")))
-
-        def counts(b: Column) -> Column:
-            # array_remove is a tight loop over the words; a lambda per word
-            # and bucket would be much slower.
-            return F.transform(
-                F.sequence(F.lit(0).cast("bigint"), F.lit(self.dim - 1).cast("bigint")),
-                lambda d: (F.size(b) - F.size(F.array_remove(b, d))).cast("double"),
-            )
-
-        vector = bind(buckets, counts)
-        if self.normalize:
-            vector = l2_normalize(vector)
-        return df.withColumn(out, vector.cast("array<float>"))
+        dim, normalize = self.dim, self.normalize
+
+        @F.pandas_udf("array<float>")
+        def count(numbers: pd.Series) -> pd.Series:
+            rows = [() if b is None else b for b in numbers]
+            sizes = [len(b) for b in rows]
+            flat = np.concatenate([np.asarray(b, dtype=np.int64) for b in rows]) if rows else np.zeros(0, np.int64)
+            at = np.repeat(np.arange(len(rows)) * dim, sizes)
+            found = np.bincount(at + flat, minlength=len(rows) * dim).reshape(len(rows), dim).astype(np.float64)
+            if normalize:
+                length = np.sqrt((found * found).sum(axis=1, keepdims=True))
+                found = np.divide(found, length, out=np.zeros_like(found), where=length > 0)
+            return pd.Series(list(found.astype(np.float32)))
+
+        return df.withColumn(out, count(buckets))
 
 
 @dataclass(frozen=True)

@@ -17,7 +17,8 @@ from pyspark.sql.types import StructType
 from oddline import fixed_values as fv
 from oddline.functions.text import CleanOptions, parse_logs
 from oddline.operators import windows
-from oddline.operators.history import anomaly_rate
+from oddline.operators.history import anomaly_rate, trend
+from oddline.plans.distance_detector import DistanceModel, encode_queries, score_vectors
 from oddline.session import durable
 
 
@@ -66,8 +67,8 @@ def score_stream(
 ) -> StreamingQuery:
     """Apply a batch scoring plan to each micro-batch and keep its rows.
 
-    ``score`` closes over the static model, for example
-    ``lambda logs: detect(logs, model, ...)``.
+    ``score`` closes over the static model and sees one micro-batch only, so it
+    must not look at rows before it; score windows are :func:`detect_stream`'s.
     """
 
     def work(batch: DataFrame, epoch: int) -> None:
@@ -97,39 +98,89 @@ def window_stream(
     and lateness lowers the weight.  A hot key is cut into chunks like any
     other, not fed to one task.
     """
-    spark = stream.sparkSession
 
     def work(batch: DataFrame, epoch: int) -> None:
-        rows = batch.withColumn("_new", F.lit(True))
-        if epoch > 0:
-            before = spark.read.schema(rows.schema).parquet(epoch_path(state, epoch - 1))
-            rows = before.withColumn("_new", F.lit(False)).unionByName(rows)
-        chunked = windows.with_history(rows, key, order, window_size, chunk_rows)
-        adjusted = windows.add_temporal_context(chunked, order, score, ts, window_size)
-        flagged = windows.add_burst(adjusted, order, score, window_size=window_size)
-        windows.without_history(flagged).filter("_new").drop("_new").write.mode(
-            "overwrite"
-        ).parquet(epoch_path(output, epoch))
-        kept = windows.without_history(chunked).select(rows.columns)
-        windows.last_rows(kept, key, order, window_size).write.mode("overwrite").parquet(
-            epoch_path(state, epoch)
+        _window_epoch(batch, epoch, key, order, output, state, score, ts, window_size, chunk_rows)
+
+    return for_each_epoch(stream, work, checkpoint, **trigger)
+
+
+def _window_epoch(
+    batch: DataFrame, epoch: int, key: list[str], order: list[str], output: str, state: str,
+    score: str, ts: str, window_size: int, chunk_rows: int, **options,
+) -> None:
+    """Windows of one epoch's rows over those that the epoch before left."""
+    rows = batch.withColumn("_new", F.lit(True))
+    if epoch > 0:
+        before = batch.sparkSession.read.schema(rows.schema).parquet(epoch_path(state, epoch - 1))
+        rows = before.withColumn("_new", F.lit(False)).unionByName(rows)
+    chunked = windows.with_history(rows, key, order, window_size, chunk_rows)
+    adjusted = windows.add_temporal_context(chunked, order, score, ts, window_size, **options)
+    flagged = windows.add_burst(adjusted, order, score, window_size=window_size)
+    windows.without_history(flagged).filter("_new").drop("_new").write.mode("overwrite").parquet(
+        epoch_path(output, epoch)
+    )
+    kept = windows.without_history(chunked).select(rows.columns)
+    windows.last_rows(kept, key, order, window_size).write.mode("overwrite").parquet(
+        epoch_path(state, epoch)
+    )
+
+
+def detect_stream(
+    stream: DataFrame,
+    model: DistanceModel,
+    key: list[str],
+    output: str,
+    state: str,
+    checkpoint: str,
+    source: str | Column | None = None,
+    chunk_rows: int = windows.CHUNK_ROWS,
+    **trigger,
+) -> StreamingQuery:
+    """The whole distance detector on a stream of ``(seq, raw_text[, key])``.
+
+    Every micro-batch is parsed, encoded and searched; its scores then go on in the
+    windows of the batches before it, so the result does not depend on how the
+    stream is cut.  A line without a time takes the time of its batch.  Rows of
+    ``output``: ``seq``, the key, ``log_id, cleaned_text, ts``, the score with its
+    flag and confidence, the neighbours, and the window columns.
+    """
+    options = model.options
+
+    def work(batch: DataFrame, epoch: int) -> None:
+        stored = encode_queries(batch, options, source)
+        found = score_vectors(stored.select("seq", "embedding"), model)
+        clock = stored.select(
+            "seq", *key, "log_id", "cleaned_text", F.coalesce("timestamp", F.current_timestamp()).alias("ts")
+        )
+        rows = durable(clock.join(found, "seq"), "scored")
+        _window_epoch(
+            rows, epoch, key, ["seq"], output, state, "score", "ts", options.window_size, chunk_rows,
+            weight=options.temporal_weight,
         )
 
     return for_each_epoch(stream, work, checkpoint, **trigger)
 
 
 def trend_stream(
-    stream: DataFrame,
-    bucket: str = fv.TREND_BUCKET,
-    lateness: str = "1 hour",
-    ts: str = "ts",
-) -> DataFrame:
-    """Rows and anomalies per time bucket; a bucket is emitted when it is closed."""
-    return (
-        stream.withWatermark(ts, lateness)
-        .groupBy(F.window(ts, bucket).alias("w"))
-        .agg(F.count(F.lit(1)).alias("total"), F.count_if("is_anomaly").alias("anomalies"))
-        .select(F.col("w.start").alias("bucket_start"), "total", "anomalies")
+    stream: DataFrame, counts: str, checkpoint: str, bucket: str = fv.TREND_BUCKET, ts: str = "ts", **trigger
+) -> StreamingQuery:
+    """Keep the rows and anomalies per time bucket of every epoch.
+
+    :func:`running_trend` adds them up, so no row is too late and the newest bucket
+    is there, too.
+    """
+
+    def work(batch: DataFrame, epoch: int) -> None:
+        trend(batch, bucket, ts).write.mode("overwrite").parquet(epoch_path(counts, epoch))
+
+    return for_each_epoch(stream, work, checkpoint, **trigger)
+
+
+def running_trend(spark: SparkSession, counts: str) -> DataFrame:
+    """Rows and anomalies per time bucket over all epochs so far."""
+    return read_epochs(spark, counts).groupBy("bucket_start").agg(
+        F.sum("total").alias("total"), F.sum("anomalies").alias("anomalies")
     )
 
 

@@ -49,17 +49,17 @@ def test_windows_go_on_across_batches_and_restarts(spark, folder, files, chunk_r
     assert state.agg(F.max("count")).first()[0] == 100
 
 
-def test_trend_emits_closed_buckets(spark, folder):
+def test_trend_keeps_late_rows_and_open_buckets(spark, folder):
     start = datetime(2024, 1, 1)
     rows = [(i, start + timedelta(hours=i), i % 3 == 0) for i in range(24)]
     schema = "seq long, ts timestamp, is_anomaly boolean"
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(folder + "/in")
-    trend = jobs.trend_stream(jobs.read_files(spark, folder + "/in", schema))
-    run(jobs.write_append(trend, folder + "/out", folder + "/ckpt"))
-    got = sorted((r.bucket_start.hour, r.total, r.anomalies) for r in spark.read.parquet(folder + "/out").collect())
-    # The watermark stands at 22:00, so the last bucket is still open.
-    assert [g[0] for g in got] == [0, 4, 8, 12, 16]
-    assert all(g[1] == 4 for g in got)
+    for part in (rows[12:], rows[:12]):  # the early hours arrive last
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder + "/in")
+    stream = jobs.read_files(spark, folder + "/in", schema, max_files=1)
+    run(jobs.trend_stream(stream, folder + "/counts", folder + "/ckpt"))
+    got = sorted((r.bucket_start.hour, r.total, r.anomalies) for r in jobs.running_trend(spark, folder + "/counts").collect())
+    assert [g[0] for g in got] == [0, 4, 8, 12, 16, 20]
+    assert all(g[1] == 4 for g in got) and sum(g[2] for g in got) == 8
 
 
 def test_parse_text_stream_and_alerts(spark, folder):

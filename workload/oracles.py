@@ -232,7 +232,7 @@ def registry() -> dict[str, str]:
         f"sin({two_pi} * hour(ts) / 24), cos({two_pi} * hour(ts) / 24), "
         f"sin({two_pi} * (isodow(ts) - 1) / 7), cos({two_pi} * (isodow(ts) - 1) / 7), 0, 0, 0, 0, 0, 0, 0]::DOUBLE[]"
     )
-    return {
+    out = {
         "parse_event_logs": f"""WITH {PARSED} SELECT seq, strftime(time, '%Y-%m-%d %H:%M:%S') AS ts_text, log_level, message, cleaned_text,
   log_id, length(raw_text) AS original_length, length(cleaned_text) AS cleaned_length FROM parsed""",
         "level_counts": f"WITH {PARSED} SELECT source, log_level, count(*) AS n FROM parsed GROUP BY ALL",
@@ -375,8 +375,11 @@ SELECT seq, log_id, round(adjusted, 6) AS score, round(score, 6) AS original_sco
   coalesce(recent_n >= 10 AND older_n >= 5 AND recent > 2.0 * older, FALSE) AS is_burst FROM x""",
         "stream_trend": """WITH s AS (SELECT ts - CASE WHEN event_id % 7 = 0 THEN INTERVAL 5 HOUR ELSE INTERVAL 0 HOUR END AS ts, value > 60 AS odd FROM events),
 b AS (SELECT time_bucket(INTERVAL 4 HOUR, ts, TIMESTAMP '1970-01-01') AS b, count(*) AS total, count(*) FILTER (odd) AS anomalies FROM s GROUP BY 1)
-SELECT strftime(b, '%Y-%m-%d %H:%M:%S.%f') AS bucket_start, total, anomalies FROM b
-WHERE b + INTERVAL 4 HOUR <= (SELECT max(ts) FROM s) - INTERVAL 6 HOUR""",
+SELECT strftime(b, '%Y-%m-%d %H:%M:%S.%f') AS bucket_start, total, anomalies FROM b""",
         "stream_alert_rate": """SELECT count(*) AS total, count(*) FILTER (value > 60) AS anomalies, round(count(*) FILTER (value > 60) / count(*)::DOUBLE, 6) AS rate,
   count(*) FILTER (value > 60) AS stored_alerts FROM events""",
     }
+    out["stream_detect"] = (
+        f"SELECT seq, log_id, score, original_score, weight, is_anomaly, confidence FROM ({out['detect_event_logs']})"
+    )
+    return out

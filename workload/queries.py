@@ -749,10 +749,33 @@ def stream_windows(spark, sf):
 
 
 def stream_trend(spark, sf):
-    trend = jobs.trend_stream(inputs.series_of(_event_stream(spark, sf)), lateness="6 hours")
     out = scratch_path(spark, "stream-trend")
-    _finish(jobs.write_append(trend, out, scratch_path(spark, "ckpt")))
-    return spark.read.parquet(out).withColumn("bucket_start", when_text("bucket_start"))
+    stream = inputs.series_of(_event_stream(spark, sf))
+    _finish(jobs.trend_stream(stream, out, scratch_path(spark, "ckpt")))
+    return jobs.running_trend(spark, out).withColumn("bucket_start", when_text("bucket_start"))
+
+
+def stream_detect(spark, sf):
+    """The detector on a stream of three files, one per micro-batch: the windows go on."""
+    lines = inputs.event_lines(spark, sf)
+    normal = lines.filter(~sev.is_anomaly_severity(F.col("severity")))
+    model = distance.fit(normal.select("seq", "raw_text"), DETECTOR)
+    arriving = lines.select("seq", "raw_text", "source")
+    path, last = scratch_path(spark, "arriving"), lines.agg(F.max("seq")).first()[0]
+    for part in range(3):
+        arriving.filter(F.floor(F.col("seq") * 3 / (last + 1)) == part).coalesce(1).write.mode("append").parquet(path)
+    out = scratch_path(spark, "stream-detect")
+    stream = jobs.read_files(spark, path, arriving.schema, max_files=1)
+    _finish(
+        jobs.detect_stream(
+            stream, model, ["source"], out, scratch_path(spark, "state"), scratch_path(spark, "ckpt"),
+            source=F.col("source"),
+        )
+    )
+    return jobs.read_epochs(spark, out).select(
+        "seq", "log_id", six("time_adjusted_score", "score"), six("score", "original_score"),
+        six("temporal_weight", "weight"), "is_anomaly", six("confidence"),
+    )
 
 
 def stream_alert_rate(spark, sf):
@@ -782,7 +805,7 @@ def registry():
         history_status, history_rate, recent_history, recent_alerts, all_alerts,
         detection_responses, anomaly_trend, alerts_by_category, appended_history,
         detect_event_logs,
-        stream_parse, stream_scores, stream_windows, stream_trend, stream_alert_rate,
+        stream_parse, stream_scores, stream_windows, stream_trend, stream_alert_rate, stream_detect,
     ]
     out = {f.__name__: f for f in named}
     out["siem_stats_by_type"] = partial(siem_value_counts, "event_type")
