@@ -38,7 +38,7 @@ TIE_DECIMALS = 9
 
 @dataclass(frozen=True)
 class CellIndex:
-    """A corpus with cells: ``rows(id, vec, cell)`` and at most MAX_CELLS pivots."""
+    """A corpus with cells: ``rows(id, vec, cell)`` and the pivots of all cells."""
 
     rows: DataFrame
     pivots: np.ndarray
@@ -111,8 +111,6 @@ def build_index(
     )
     kept = first_per_group(vectors, [F.xxhash64("vec"), "vec"], ["id"], k, "_copy").drop("_copy")
     size = vectors.count()
-    if pivots is not None and len(pivots) > MAX_CELLS:
-        raise ValueError(f"at most {MAX_CELLS} pivots")
     if pivots is None:
         wanted = cells or min(MAX_CELLS, max(1, size // cell_rows))
         pivots = _pick_pivots(vectors, wanted) if wanted > 1 else np.zeros((1, 0))
@@ -155,7 +153,7 @@ def _slack(q: np.ndarray, pivots: np.ndarray) -> float:
 
 
 def _assign(spark: SparkSession, rows: DataFrame, pivots: np.ndarray) -> DataFrame:
-    shared = spark.sparkContext.broadcast(pivots)  # at most MAX_CELLS vectors
+    shared = spark.sparkContext.broadcast(pivots)  # one vector per cell
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -319,8 +317,8 @@ def knn(
     """The ``k`` nearest corpus rows of every query.
 
     Query ids must be unique; ``queries`` should be a stored table, as queries
-    with equal vectors are looked up in it again.  Exact unless ``probes`` limits the search to that many nearest cells.  A
-    corpus of fewer than ``k`` rows gives what it has; ``k=0`` means the default.
+    with equal vectors are looked up in it again.  Exact unless ``probes`` limits the
+    search to that many nearest cells.  A corpus of fewer than ``k`` rows gives what it has; ``k=0`` means the default.
     """
     k = k or fv.K_NEIGHBORS
     if k > index.copies:
@@ -348,13 +346,11 @@ def knn(
         members = salted_lookup(
             queries, routed.select("vec", "vec_key"), ["vec"], "inner", ["query_id"]
         ).drop("vec")
-    cores = spark.sparkContext.defaultParallelism
-    cuts = _cuts(index, visits, block_rows, cores)
+    cuts = _cuts(index, visits, block_rows, spark.sparkContext.defaultParallelism)
     # A fixed number of partitions: the blocks are small but take long, so they
-    # must not be merged by their size.
+    # must not be merged by their size, and few should meet in one partition.
     blocks = sum(query_blocks * corpus_blocks for _, query_blocks, corpus_blocks in cuts)
-    most_partitions = 4 * max(cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    partitions = min(max(blocks, 1), most_partitions)
+    partitions = 4 * max(blocks, 1)
     block = ["cell", "query_block", "corpus_block"]
     query_side = _with_cuts(
         routed.select("vec_key", "vec", F.explode("cells").alias("cell")), cuts
@@ -392,12 +388,14 @@ def knn(
         )
     )
     sign = -1 if metric == "inner_product" else 1
-    rows = first_per_group(
+    ranked = first_per_group(
         found,
         ["vec_key"],
         [F.round(F.col("distance") * sign, TIE_DECIMALS), "neighbor_id"],
         k,
-    ).select("vec_key", "rank", "neighbor_id", "distance")
+    )
+    # Stored, so that whatever reads the neighbours twice searches once.
+    rows = durable(ranked.select("vec_key", "rank", "neighbor_id", "distance"), "neighbors")
     return Neighbors(rows, members, routed.select("vec_key", "n"), unique)
 
 
@@ -417,7 +415,7 @@ def _cuts(index: CellIndex, visits: np.ndarray, block_rows: int, parallelism: in
 
 
 def _with_cuts(rows: DataFrame, cuts: list[tuple]) -> DataFrame:
-    """Add the number of blocks of each row's cell (at most MAX_CELLS rows to look up)."""
+    """Add the number of blocks of each row's cell (one row per cell to look up)."""
     if len(cuts) == 1:
         cell, query_blocks, corpus_blocks = cuts[0]
         return rows.filter(F.col("cell") == cell).withColumns(
@@ -443,23 +441,15 @@ def kmeans_index(
     vec_col: str = "embedding",
     seed: int = 42,
     iterations: int = 10,
-    train_rows: int | None = 256,
 ) -> CellIndex:
-    """Cells around k-means centres, for searches that probe a few cells.
-
-    Training uses at most ``train_rows`` rows per cell, picked by hash (None
-    uses all); every row is then assigned to its nearest centre.
-    """
+    """Cells around k-means centres of all rows, for searches that probe a few cells."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     vectors = corpus.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec")).filter(
         F.col("vec").isNotNull()
     )
-    rows = vectors
-    if train_rows is not None:
-        rows = vectors.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(train_rows * cells)
-    features = rows.select(array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
+    features = vectors.select(array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
     model = KMeans(k=cells, seed=seed, maxIter=iterations).fit(features)
     return build_index(
         corpus, k, metric, id_col, vec_col, pivots=np.array(model.clusterCenters())
