@@ -21,7 +21,8 @@ UNKNOWN = "und"
 SAMPLE_ROWS = 10_000  # labelled training rows at most, about; the classifier is fitted on these
 ROUNDS = 3
 SMOOTHING = 0.1  # expected counts added to every piece
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
+STEP_WORDS = 1 << 17  # words handled as objects at once
 LONGEST_TRAINED = 32  # letters; longer words are scored, but not learned from
 CELLS = 1 << 17  # words times letters computed at once
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -178,16 +179,25 @@ def expected_counts(words: list[str], n: np.ndarray, probability: np.ndarray, pi
     return counts
 
 
-def words_of(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-    found = [WORD.findall(t.lower()) if t else [] for t in texts]
-    return [w for f in found for w in f], np.array([len(f) for f in found], dtype=np.int64)
+def words_of(texts: pa.Array) -> tuple[pa.ChunkedArray, np.ndarray]:
+    """Lower-cased words of all texts, and how many each has."""
+    parts, some, lengths = [], [], []
+    for text in texts:
+        found = WORD.findall(text.as_py().lower()) if text.is_valid else []
+        lengths.append(len(found))
+        some += found
+        if len(some) >= STEP_WORDS:
+            parts.append(pa.array(some, pa.string()))
+            some = []
+    parts.append(pa.array(some, pa.string()))
+    return pa.chunked_array(parts), np.array(lengths, dtype=np.int64)
 
 
 def _word_counts(batches):
     for batch in slices(batches, BATCH_BYTES):
-        words, lengths = words_of(batch.column("text").to_pylist())
-        langs = np.repeat(np.array(batch.column("lang").to_pylist(), dtype=object), lengths)
-        table = pa.table({"lang": pa.array(langs, pa.string()), "word": pa.array(words, pa.string())})
+        words, lengths = words_of(batch.column("text"))
+        langs = batch.column("lang").take(pa.array(np.repeat(np.arange(len(lengths)), lengths)))
+        table = pa.table({"lang": langs, "word": words})
         counted = table.group_by(["lang", "word"]).aggregate([([], "count_all")])
         yield from counted.rename_columns(["lang", "word", "n"]).select(["lang", "word", "n"]).to_batches()
 
@@ -256,10 +266,10 @@ def _predict(langs: list[str], path: str, sent):
         prior, probability = sent.value
         pieces = pieces_of(path)
         for batch in slices(batches, BATCH_BYTES):
-            words, lengths = words_of(batch.column("text").to_pylist())
+            words, lengths = words_of(batch.column("text"))
             total = np.tile(prior, (len(lengths), 1))
-            if words and langs:
-                coded = pa.array(words, pa.string()).dictionary_encode()
+            if len(words) and langs:
+                coded = words.dictionary_encode().combine_chunks()
                 logs = log_likelihoods(coded.dictionary.to_pylist(), probability, pieces)
                 filled = np.flatnonzero(lengths)
                 starts = (np.cumsum(lengths) - lengths)[filled]
