@@ -38,6 +38,11 @@ def lookup(corpus: DataFrame, id_value: str) -> DataFrame:
     return latest_entries(corpus.filter(F.col("id") == id_value))
 
 
+def lookup_many(corpus: DataFrame, ids: DataFrame) -> DataFrame:
+    """The entries of all ``ids(id)`` that the corpus has; others are not aggregated."""
+    return latest_entries(corpus.join(ids.select("id").distinct(), "id", "left_semi"))
+
+
 def corpus_stats(corpus: DataFrame, index_type: str = "Flat", is_trained: bool = True) -> DataFrame:
     return corpus.agg(
         F.count(F.lit(1)).alias("total_vectors"),

@@ -379,6 +379,9 @@ SELECT strftime(b, '%Y-%m-%d %H:%M:%S.%f') AS bucket_start, total, anomalies FRO
         "stream_alert_rate": """SELECT count(*) AS total, count(*) FILTER (value > 60) AS anomalies, round(count(*) FILTER (value > 60) / count(*)::DOUBLE, 6) AS rate,
   count(*) FILTER (value > 60) AS stored_alerts FROM events""",
     }
+    out["corpus_lookup"] = (
+        f"SELECT * FROM ({out['corpus_latest']}) WHERE id IN (SELECT 'id-' || doc_id FROM labels)"
+    )
     out["stream_detect"] = (
         f"SELECT seq, log_id, score, original_score, weight, is_anomaly, confidence FROM ({out['detect_event_logs']})"
     )

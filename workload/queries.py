@@ -273,7 +273,16 @@ def corpus_entries(spark, sf) -> DataFrame:
 
 
 def corpus_latest(spark, sf):
-    latest = store.latest_entries(corpus_entries(spark, sf))
+    return _entry_view(store.latest_entries(corpus_entries(spark, sf)))
+
+
+def corpus_lookup(spark, sf):
+    """The entries named by the labelled documents' numbers."""
+    ids = inputs.table(spark, sf, "labels").select(F.concat(F.lit("id-"), F.col("doc_id").cast("string")).alias("id"))
+    return _entry_view(store.lookup_many(corpus_entries(spark, sf), ids))
+
+
+def _entry_view(latest: DataFrame) -> DataFrame:
     return latest.select(
         "id",
         F.round(vec.total(vec.as_double(F.col("embedding"))), 6).alias("embedding_sum"),
@@ -793,7 +802,7 @@ def registry():
         log_file_scan, csv_scan, json_scan,
         siem_labels, siem_split, siem_metadata, siem_texts, siem_totals,
         hash_encode_documents, neighborhood_stats, text_search, label_similarity,
-        neighbor_cosine, normalized_vectors, corpus_latest, corpus_stats,
+        neighbor_cosine, normalized_vectors, corpus_latest, corpus_lookup, corpus_stats,
         baseline_distances, baseline_threshold, anomaly_scores, unfitted_scores, reloaded_scores,
         sure_anomalies, burst_flags, score_windows, temporal_features, augmented_vectors,
         score_bands, recommendations, explanations, reports,
