@@ -29,8 +29,9 @@ from oddline.session import durable
 
 METRICS = ("squared_l2", "euclidean", "inner_product")
 CELL_ROWS = 16_384
-MAX_CELLS = 2_048
-BLOCK_ROWS = 16_384
+# Every task that routes holds the pivots; the driver picks them.
+PIVOT_BYTES = 64 * 2**20
+BLOCK_BYTES = 48 * 2**20  # vectors of one side of a block, in double precision
 MATRIX_VALUES = 4_000_000
 # Distances this close are ties and are ordered by id.
 TIE_DECIMALS = 9
@@ -101,7 +102,9 @@ def build_index(
 
     ``corpus`` should be a stored table: it is counted first.
     ``pivots`` are given (for example cluster centres) or picked by a hash of
-    the id.  A corpus that fits one block is one cell and skips the assignment.
+    the id, one for every ``cell_rows`` rows as far as they fit ``PIVOT_BYTES``;
+    beyond that cells grow, which costs time only, as they are cut into blocks.
+    A corpus that fits one cell skips the assignment.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
@@ -109,11 +112,14 @@ def build_index(
     vectors = corpus.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec")).filter(
         F.col("vec").isNotNull()
     )
-    kept = first_per_group(vectors, [F.xxhash64("vec"), "vec"], ["id"], k, "_copy").drop("_copy")
+    copies = first_per_group(vectors, [F.xxhash64("vec"), "vec"], ["id"], k, "_copy")
+    kept = copies.drop("_copy")
     size = vectors.count()
     if pivots is None:
-        wanted = cells or min(MAX_CELLS, max(1, size // cell_rows))
-        pivots = _pick_pivots(vectors, wanted) if wanted > 1 else np.zeros((1, 0))
+        wanted = cells or size // cell_rows
+        pivots = np.zeros((1, 0))
+        if wanted > 1:
+            pivots = _pick_pivots(copies.filter("_copy = 1"), wanted)
     if len(pivots) <= 1:
         return CellIndex(
             kept.withColumn("cell", F.lit(0)), np.zeros((1, 0)), np.array([size]),
@@ -133,12 +139,12 @@ def build_index(
     )
 
 
-def _pick_pivots(vectors: DataFrame, wanted: int) -> np.ndarray:
-    """Up to ``wanted`` different vectors, picked by a hash of the id."""
+def _pick_pivots(different: DataFrame, wanted: int) -> np.ndarray:
+    """Up to ``wanted`` of the ``different`` vectors, by a hash of the id, in ``PIVOT_BYTES``."""
+    widest = different.agg(F.max(F.size("vec"))).first()[0] or 1
     order = [F.xxhash64("id", F.lit(17)), "id"]
-    rows = vectors.orderBy(*order).limit(4 * wanted).select("vec").collect()
-    different = list(dict.fromkeys(tuple(r["vec"]) for r in rows))
-    return np.array(different[:wanted], dtype=np.float64)
+    rows = different.orderBy(*order).limit(max(1, min(wanted, PIVOT_BYTES // (8 * widest))))
+    return stack(rows.select("vec").toPandas()["vec"])
 
 
 def _pivot_distances(q: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -184,10 +190,11 @@ def _route(queries: DataFrame, index: CellIndex, k: int, probes: int | None) ->
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pivots, counts, reach, radius, metric = shared.value
         full = counts > 0
+        step = max(1, MATRIX_VALUES // reach.size)
         for pdf in batches:
             cells: list[np.ndarray] = []
-            for start in range(0, len(pdf), 256):
-                q = stack(pdf["vec"].iloc[start : start + 256])
+            for start in range(0, len(pdf), step):
+                q = stack(pdf["vec"].iloc[start : start + step])
                 cells += _cells_to_visit(q, pivots, full, reach, radius, metric, probes)
             if len(pdf):
                 yield pdf.assign(cells=cells)
@@ -312,13 +319,15 @@ def knn(
     id_col: str = "query_id",
     vec_col: str = "embedding",
     probes: int | None = None,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> Neighbors:
     """The ``k`` nearest corpus rows of every query.
 
     Query ids must be unique; ``queries`` should be a stored table, as queries
     with equal vectors are looked up in it again.  Exact unless ``probes`` limits the
-    search to that many nearest cells.  A corpus of fewer than ``k`` rows gives what it has; ``k=0`` means the default.
+    search to that many nearest cells.  A corpus of fewer than ``k`` rows gives what it
+    has; ``k=0`` means the default.  A side of a block holds ``block_rows`` rows, by
+    default as many as fit ``BLOCK_BYTES``.
     """
     k = k or fv.K_NEIGHBORS
     if k > index.copies:
@@ -331,6 +340,9 @@ def knn(
         F.min("query_id").alias("vec_key"), F.count(F.lit(1)).alias("n")
     )
     routed = durable(_route(grouped, index, k, probes), "knn-routed")
+    if block_rows is None:
+        widest = routed.agg(F.max(F.size("vec"))).first()[0] or 1
+        block_rows = max(1, BLOCK_BYTES // (8 * widest))
     visits = np.zeros(len(index.counts), dtype=int)
     most = 0
     for row in (
@@ -343,9 +355,12 @@ def knn(
     unique = most <= 1
     members = None
     if not unique:
+        # Looked up by a 128-bit digest: the vectors themselves stay where they are.
+        digest = [F.xxhash64("vec").alias("_h1"), F.xxhash64(F.lit(1), "vec").alias("_h2")]
         members = salted_lookup(
-            queries, routed.select("vec", "vec_key"), ["vec"], "inner", ["query_id"]
-        ).drop("vec")
+            queries.select("query_id", *digest), routed.select("vec_key", *digest),
+            ["_h1", "_h2"], "inner", ["query_id"],
+        ).drop("_h1", "_h2")
     cuts = _cuts(index, visits, block_rows, spark.sparkContext.defaultParallelism)
     # A fixed number of partitions: the blocks are small but take long, so they
     # must not be merged by their size, and few should meet in one partition.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 HOT_ROWS = 1_000_000  # left rows of one sub-key
-HOT_KEYS = 1_000
+HOT_KEYS = 100_000
 
 
 def salted_lookup(
@@ -19,8 +19,9 @@ def salted_lookup(
     """Join ``left`` to a ``right`` that is unique on ``on``, hot keys split.
 
     Hot are the up to ``HOT_KEYS`` heaviest keys with more than ``hot_rows`` rows
-    on the left, found by a partial aggregation; any key beyond those holds less
-    than a thousandth of all rows.  Only that short list is broadcast.  The left
+    on the left, found by a partial aggregation; a key beyond those holds less than
+    a hundred-thousandth of all rows, a million of 10^11.  Only that list is
+    broadcast, so keys should be narrow (ids, digests).  The left
     rows of a hot key spread over as many sub-keys as it has ``hot_rows`` rows, and
     only its right row is repeated; all other keys keep one copy.  ``spread`` names the columns
     whose hash picks the sub-key (default: all others).

@@ -19,7 +19,7 @@ from oddline.operators.skew import first_per_group
 from oddline.session import durable
 
 CHUNK_ROWS = 500_000
-MAX_CHUNKS = 50_000
+BROADCAST_CHUNKS = 50_000
 CHUNK = "_chunk"
 KEY = "_key"
 HALO = "_halo"
@@ -42,7 +42,7 @@ def with_history(
     """
     keyed = df.withColumn(KEY, F.struct(*key) if key else F.struct(F.lit(0).alias("all")))
     stored = durable(keyed, "window-input")
-    chunks = min(ceil(stored.count() / chunk_rows), MAX_CHUNKS)
+    chunks = ceil(stored.count() / chunk_rows)
     if chunks <= 1:
         return stored.withColumns({CHUNK: F.lit(0), HALO: F.lit(False)})
     stored = durable(
@@ -57,7 +57,9 @@ def with_history(
         by_chunk.rowsBetween(1, rows)
     )
     # At most one key goes on from a chunk to the next, and only chunks shorter
-    # than the window feed more than one: about MAX_CHUNKS rows at the most.
+    # than the window feed more than one: about one row per chunk.  Up to
+    # BROADCAST_CHUNKS of them are broadcast; beyond that the chunks, which are even,
+    # make a good join key.
     forward = (
         sizes.withColumn("until", until)
         .withColumn("later", later)
@@ -71,16 +73,18 @@ def with_history(
         .select("_from_key", "_from", F.col(f"to.{CHUNK}").alias("_to"))
     )
     sources = forward.select("_from_key", "_from").distinct()
+    if chunks <= BROADCAST_CHUNKS:
+        forward, sources = F.broadcast(forward), F.broadcast(sources)
     here = (F.col(KEY) == F.col("_from_key")) & (F.col(CHUNK) == F.col("_from"))
     tails = first_per_group(
-        stored.join(F.broadcast(sources), here, "left_semi"),
+        stored.join(sources, here, "left_semi"),
         [KEY, CHUNK],
         [F.desc(c) for c in order],
         rows,
         "_tail",
     )
     halo = (
-        tails.join(F.broadcast(forward), here)
+        tails.join(forward, here)
         .withColumn(CHUNK, F.col("_to"))
         .drop("_tail", "_to", "_from", "_from_key")
         .withColumn(HALO, F.lit(True))
