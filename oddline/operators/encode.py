@@ -70,11 +70,12 @@ class ModelEncoder:
         predict = predict_batch_udf(
             self.make_predict, return_type=ArrayType(FloatType()), batch_size=self.batch_size
         )
+        digest = F.sha2(text_col, 256).alias("_digest")  # a narrow key to look up by
         texts = df.select(text_col).distinct()
         vectors = texts.withColumn("_v", predict(F.col(text_col)))
         vector = l2_normalize(F.col("_v")) if self.normalize else F.col("_v")
-        vectors = vectors.select(text_col, vector.cast("array<float>").alias(out))
-        return salted_lookup(df, vectors, [text_col])
+        vectors = vectors.select(digest, vector.cast("array<float>").alias(out))
+        return salted_lookup(df.withColumn("_digest", digest), vectors, ["_digest"]).drop("_digest")
 
 
 def encode_with_metadata(df: DataFrame, text_col: str, encoder, out: str = "embedding") -> DataFrame:

@@ -471,5 +471,32 @@ def kmeans_index(
     )
 
 
+def save_index(index: CellIndex, path: str) -> None:
+    """The rows with their cells, and one row of numbers per cell."""
+    spark = index.rows.sparkSession
+    index.rows.write.parquet(f"{path}/rows")
+    cells = [
+        (i, pivot.tolist(), int(n), reach.tolist(), float(r), index.metric, index.copies)
+        for i, (pivot, n, reach, r) in enumerate(
+            zip(index.pivots, index.counts, index.reach, index.radius)
+        )
+    ]
+    spark.createDataFrame(cells, CELL_SCHEMA).coalesce(1).write.parquet(f"{path}/cells")
+
+
+CELL_SCHEMA = (
+    "cell int, pivot array<double>, n long, reach array<double>, radius double, metric string, copies int"
+)
+
+
+def load_index(spark: SparkSession, path: str) -> CellIndex:
+    """A stored index; no row is assigned anew."""
+    cells = spark.read.schema(CELL_SCHEMA).parquet(f"{path}/cells").orderBy("cell").collect()
+    numbers = [np.array([c[name] for c in cells]) for name in ("pivot", "n", "reach", "radius")]
+    return CellIndex(
+        spark.read.parquet(f"{path}/rows"), *numbers, cells[0]["metric"], cells[0]["copies"]
+    )
+
+
 def as_euclidean(index: CellIndex) -> CellIndex:
     return replace(index, metric="euclidean")

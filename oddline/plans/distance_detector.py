@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from oddline import fixed_values as fv
@@ -12,18 +11,15 @@ from oddline.functions import explain, scoring
 from oddline.functions.text import CleanOptions, parse_logs
 from oddline.operators.baseline import Baseline, fit_baseline, neighbor_arrays
 from oddline.operators.encode import TokenHashEncoder
-from oddline.operators.knn import CellIndex, build_index, kmeans_index, knn
+from oddline.operators.knn import (
+    CellIndex, build_index, kmeans_index, knn, load_index, save_index,
+)
 from oddline.operators.similarity import neighborhood_stats, with_neighbor_metadata
 from oddline.operators.skew import salted_lookup
 from oddline.operators.windows import adjust_scores
 from oddline.session import durable
-from oddline.sources.corpus import (
-    append_entries,
-    last_given,
-    latest_entries,
-    load_corpus,
-    save_corpus,
-)
+from oddline.sources import models
+from oddline.sources.corpus import append_entries, last_given, latest_entries
 
 
 @dataclass(frozen=True)
@@ -69,11 +65,7 @@ def corpus_entries(
     )
 
 
-def _index(
-    corpus: DataFrame, options: DetectorOptions, pivots: np.ndarray | None = None
-) -> CellIndex:
-    if pivots is not None:
-        return build_index(corpus, options.k + 1, pivots=pivots)
+def _index(corpus: DataFrame, options: DetectorOptions) -> CellIndex:
     if options.index_type == "IVF":
         return kmeans_index(corpus, options.k + 1, options.cells)
     return build_index(corpus, options.k + 1)
@@ -259,31 +251,28 @@ def detect(
     )
 
 
+STORED_OPTIONS = {
+    "k": int, "percentile": float, "min_distance": float, "window_size": int,
+    "temporal_weight": float, "index_type": str, "cells": int, "probes": int,
+}
+
+
 def save(model: DistanceModel, path: str) -> None:
-    """Corpus, settings and the fitted numbers."""
-    options = model.options
-    save_corpus(
-        model.corpus,
-        path,
-        {
-            "k": options.k,
-            "percentile": options.percentile,
-            "min_distance": options.min_distance,
-            "window_size": options.window_size,
-            "temporal_weight": options.temporal_weight,
-            "index_type": options.index_type,
-            "cells": options.cells,
-            "probes": options.probes,
-        },
+    """Corpus, its cells, settings and the fitted numbers, as a new version."""
+    options, spark = model.options, model.corpus.sparkSession
+    b, index, version = model.baseline, model.index, models.new_version(path)
+    model.corpus.write.parquet(f"{version}/corpus")
+    save_index(index, f"{version}/index")
+    models.write_settings(
+        spark,
+        f"{version}/settings",
+        {name: getattr(options, name) for name in STORED_OPTIONS}
+        | models.text_settings(options.encoder, options.clean),
     )
-    b, spark = model.baseline, model.corpus.sparkSession
-    pivots = [(i, p.tolist()) for i, p in enumerate(model.index.pivots)]  # one per cell
-    spark.createDataFrame(pivots, "cell int, pivot array<double>").coalesce(1).write.mode(
-        "overwrite"
-    ).parquet(f"{path}/pivots")
     spark.createDataFrame(
         [(b.threshold, b.mean, b.std)], "threshold double, mean double, std double"
-    ).coalesce(1).write.mode("overwrite").parquet(f"{path}/baseline")
+    ).coalesce(1).write.parquet(f"{version}/baseline")
+    models.publish(spark, path, version)
 
 
 def load(
@@ -292,27 +281,19 @@ def load(
     options: DetectorOptions = DetectorOptions(),
     with_baseline: bool = True,
 ) -> DistanceModel:
-    """The stored model; encoder and cleaning come from ``options``.
+    """The newest stored model; encoder and cleaning come from ``options`` and must
+    be those the model was fitted with.
 
     ``with_baseline=False`` scores as an unfitted detector does: by the fixed
     distance, with the score as confidence.
     """
-    corpus, stored = load_corpus(spark, path)
-    options = replace(
-        options,
-        k=int(stored["k"]),
-        percentile=float(stored["percentile"]),
-        min_distance=float(stored["min_distance"]),
-        window_size=int(stored["window_size"]),
-        temporal_weight=float(stored["temporal_weight"]),
-        index_type=stored["index_type"],
-        cells=int(stored["cells"]),
-        probes=int(stored["probes"]),
-    )
+    version = models.newest_version(spark, path)
+    stored = models.read_settings(spark, f"{version}/settings")
+    models.check_settings(stored, models.text_settings(options.encoder, options.clean))
+    options = replace(options, **{name: kind(stored[name]) for name, kind in STORED_OPTIONS.items()})
     baseline = Baseline()
     if with_baseline:
-        row = spark.read.parquet(f"{path}/baseline").first()
+        row = spark.read.parquet(f"{version}/baseline").first()
         baseline = Baseline(row["threshold"], row["mean"], row["std"])
-    cells = spark.read.parquet(f"{path}/pivots").orderBy("cell").collect()
-    pivots = np.array([r["pivot"] for r in cells], dtype=np.float64)
-    return DistanceModel(corpus, _index(corpus, options, pivots), baseline, options)
+    corpus = spark.read.parquet(f"{version}/corpus")
+    return DistanceModel(corpus, load_index(spark, f"{version}/index"), baseline, options)

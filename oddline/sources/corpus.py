@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from oddline.session import durable
+from oddline.sources import models
 
 COLUMNS = ["seq", "id", "embedding", "metadata", "ts"]
 
@@ -55,15 +55,14 @@ def corpus_stats(corpus: DataFrame, index_type: str = "Flat", is_trained: bool =
 
 
 def save_corpus(corpus: DataFrame, path: str, settings: dict[str, str] | None = None) -> None:
-    """Write the corpus, also to the folder it is read from: it is stored apart first."""
-    durable(corpus, "corpus").write.mode("overwrite").parquet(f"{path}/corpus")
-    spark = corpus.sparkSession
-    rows = [(k, str(v)) for k, v in (settings or {}).items()]
-    spark.createDataFrame(rows, "key string, value string").coalesce(1).write.mode(
-        "overwrite"
-    ).parquet(f"{path}/settings")
+    """Write a new version; the folder may be the one that ``corpus`` is read from."""
+    spark, version = corpus.sparkSession, models.new_version(path)
+    corpus.write.parquet(f"{version}/corpus")
+    models.write_settings(spark, f"{version}/settings", settings or {})
+    models.publish(spark, path, version)
 
 
 def load_corpus(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, str]]:
-    settings = {r["key"]: r["value"] for r in spark.read.parquet(f"{path}/settings").collect()}
-    return spark.read.parquet(f"{path}/corpus"), settings
+    """The newest version and its settings."""
+    version = models.newest_version(spark, path)
+    return spark.read.parquet(f"{version}/corpus"), models.read_settings(spark, f"{version}/settings")

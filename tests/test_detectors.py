@@ -1,9 +1,11 @@
+from dataclasses import replace
 from datetime import datetime
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from oddline.functions.text import CleanOptions
 from oddline.operators import history
 from oddline.operators.encode import ModelEncoder, TokenHashEncoder, encode_with_metadata
 from oddline.plans import distance_detector as distance, hybrid_detector as hybrid
@@ -195,3 +197,43 @@ def test_stored_cells_are_used_again(spark, folder, normal):
     loaded = distance.load(spark, folder, options)
     assert (loaded.index.pivots == fitted.index.pivots).all()
     assert (loaded.index.counts == fitted.index.counts).all()
+
+
+def test_grown_model_saved_to_its_own_folder(spark, folder, normal, model):
+    distance.save(model, folder)
+    more = spark.createDataFrame(
+        [(i, f"worker {i % 7} finished job {i % 11}") for i in range(40)], "seq long, raw_text string"
+    )
+    grown = distance.fit(more, DISTANCE, previous=distance.load(spark, folder, DISTANCE))
+    distance.save(grown, folder)
+    loaded = distance.load(spark, folder, DISTANCE)
+    assert loaded.corpus.count() == 160 == loaded.corpus.select("seq").distinct().count()
+    assert loaded.baseline == grown.baseline
+
+
+def test_model_with_another_encoder_or_cleaning_is_refused(spark, folder, model, hybrid_model):
+    distance.save(model, folder + "/d")
+    hybrid.save(hybrid_model, folder + "/h")
+    for change in ({"encoder": TokenHashEncoder(16)}, {"clean": CleanOptions(lowercase=False)}):
+        with pytest.raises(ValueError):
+            distance.load(spark, folder + "/d", replace(DISTANCE, **change))
+        with pytest.raises(ValueError):
+            hybrid.load(spark, folder + "/h", replace(HYBRID, **change))
+    with pytest.raises(FileNotFoundError):
+        distance.load(spark, folder + "/none", DISTANCE)
+
+
+def test_hybrid_with_probed_cells_and_without_forest(spark, folder, queries, normal):
+    rows = hybrid.encode_records(normal, HYBRID).selectExpr(
+        "seq", "log_id AS id", "embedding", "meta", "severity_flag"
+    )
+    flat = hybrid.fit_vectors(rows, HYBRID, with_forest=False)
+    probed = hybrid.fit_vectors(rows, replace(HYBRID, index_type="IVF", cells=4, probes=4), with_forest=False)
+    hybrid.save(probed, folder)
+    loaded = hybrid.load(spark, folder, HYBRID)
+    assert loaded.forest is None and loaded.probes == 4
+
+    def scores(m):
+        return [r.distance_score for r in hybrid.score_vectors(rows, m).orderBy("seq").collect()]
+
+    assert scores(loaded) == pytest.approx(scores(flat))
