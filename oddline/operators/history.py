@@ -6,6 +6,8 @@ neighbors, explanation`` and, for trends and categories, ``ts`` and a category.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from oddline import fixed_values as fv
@@ -15,12 +17,13 @@ from oddline.functions.scoring import alert_band
 
 def status(corpus: DataFrame | None, history: DataFrame, is_fitted: bool) -> DataFrame:
     """One row: fitted or not, corpus rows, history rows."""
-    rows = history.agg(F.count(F.lit(1)).alias("history_count"))
-    size = F.lit(0).cast("bigint")
+    parts = [history.select(F.lit(0).alias("_corpus"), F.lit(1).alias("_history"))]
     if corpus is not None:
-        size = F.lit(corpus.count())  # a footer count on a stored table
-    return rows.select(
-        F.lit(is_fitted).alias("is_fitted"), size.alias("vector_db_size"), "history_count"
+        parts.append(corpus.select(F.lit(1).alias("_corpus"), F.lit(0).alias("_history")))
+    return reduce(DataFrame.unionByName, parts).agg(
+        F.lit(is_fitted).alias("is_fitted"),
+        F.coalesce(F.sum("_corpus"), F.lit(0)).alias("vector_db_size"),
+        F.coalesce(F.sum("_history"), F.lit(0)).alias("history_count"),
     )
 
 
@@ -99,9 +102,7 @@ def trend(history: DataFrame, bucket: str = fv.TREND_BUCKET, ts: str = "ts") ->
 
 
 def by_category(history: DataFrame, category: str) -> DataFrame:
-    """Anomalies per category with their share of all anomalies.
-
-    """
+    """Anomalies per category with their share of all anomalies."""
     counts = history.filter("is_anomaly").groupBy(category).agg(F.count(F.lit(1)).alias("alerts"))
     total = counts.agg(F.sum("alerts").alias("_total"), F.lit(1).alias("_all"))  # one row
     return (

@@ -5,10 +5,14 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_epoch_folder: ContextVar[str] = ContextVar("epoch_folder", default="oddline")
 
 
 def local_session(cores: int | str = 8, name: str = "oddline", **conf: str) -> SparkSession:
@@ -51,7 +55,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unused path below :func:`shared_dir`."""
-    return f"{shared_dir(spark)}/oddline/{label}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{_epoch_folder.get()}/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def removed_afterwards(spark: SparkSession) -> Iterator[None]:
+    """Tables that :func:`durable` stores inside are removed at the end.
+
+    For work that is over when the block ends, such as one micro-batch; DataFrames
+    built on those tables are of no use after it.
+    """
+    folder = f"oddline/epoch-{uuid.uuid4().hex}"
+    token = _epoch_folder.set(folder)
+    try:
+        yield
+    finally:
+        _epoch_folder.reset(token)
+        remove(spark, f"{shared_dir(spark)}/{folder}")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that the library itself made, wherever it is stored."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def durable(df: DataFrame, label: str = "stage") -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -19,7 +19,10 @@ from oddline.functions.text import CleanOptions, parse_logs
 from oddline.operators import windows
 from oddline.operators.history import anomaly_rate, trend
 from oddline.plans.distance_detector import DistanceModel, encode_queries, score_vectors
-from oddline.session import durable
+from oddline.session import durable, removed_afterwards, remove
+
+
+FULL_STATE = 20  # epochs from one state of all keys to the next
 
 
 def read_files(
@@ -53,9 +56,17 @@ def epoch_path(root: str, epoch: int) -> str:
 def for_each_epoch(
     stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, **trigger
 ) -> StreamingQuery:
-    """Run ``work(batch, epoch)``; by default on all there is, then stop."""
+    """Run ``work(batch, epoch)``; by default on all there is, then stop.
+
+    What ``work`` stores on the way is removed when the epoch's output is written.
+    """
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        with removed_afterwards(batch.sparkSession):
+            work(batch, epoch)
+
     return (
-        stream.writeStream.foreachBatch(work)
+        stream.writeStream.foreachBatch(run)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
@@ -92,9 +103,10 @@ def window_stream(
 ) -> StreamingQuery:
     """Score windows that go on across micro-batches.
 
-    The state is the last ``window_size`` rows of each key, written per epoch;
-    an epoch reads the state of the one before, so repeating it gives the same
-    result.  No row is dropped for being late: arrival order (``order``) rules,
+    The state is the last ``window_size`` rows of each key.  An epoch reads the
+    states of the epochs before it and writes that of its own keys only, so
+    repeating it gives the same result; every ``FULL_STATE`` epochs the state of all
+    keys is written together and states no longer read are removed.  No row is dropped for being late: arrival order (``order``) rules,
     and lateness lowers the weight.  A hot key is cut into chunks like any
     other, not fed to one task.
     """
@@ -109,11 +121,25 @@ def _window_epoch(
     batch: DataFrame, epoch: int, key: list[str], order: list[str], output: str, state: str,
     score: str, ts: str, window_size: int, chunk_rows: int, **options,
 ) -> None:
-    """Windows of one epoch's rows over those that the epoch before left."""
-    rows = batch.withColumn("_new", F.lit(True))
+    """Windows of one epoch's rows over those that the epochs before left."""
+    spark = batch.sparkSession
+    new = durable(batch.withColumn("_new", F.lit(True)), "batch")
+    whole = epoch > 0 and epoch % FULL_STATE == 0
+    rows = new
     if epoch > 0:
-        before = batch.sparkSession.read.schema(rows.schema).parquet(epoch_path(state, epoch - 1))
-        rows = before.withColumn("_new", F.lit(False)).unionByName(rows)
+        first = (epoch - 1) // FULL_STATE * FULL_STATE  # that epoch's state is of all keys
+        before = (
+            spark.read.schema(new.schema).parquet(state)
+            .filter(F.col("epoch").between(first, epoch - 1))
+            .withColumn("_new", F.lit(False))
+        )
+        if key and not whole:
+            named = new.select(F.struct(*key).alias("_named")).distinct()
+            before = before.join(named, F.struct(*key).eqNullSafe(F.col("_named")), "left_semi")
+        # A key's newest state holds all that is known of it: at most FULL_STATE states meet here.
+        newest = F.max("epoch").over(Window.partitionBy(*(key or [F.lit(0)])))
+        before = before.withColumn("_newest", newest).filter("epoch = _newest")
+        rows = before.drop("epoch", "_newest").unionByName(new)
     chunked = windows.with_history(rows, key, order, window_size, chunk_rows)
     adjusted = windows.add_temporal_context(chunked, order, score, ts, window_size, **options)
     flagged = windows.add_burst(adjusted, order, score, window_size=window_size)
@@ -124,6 +150,9 @@ def _window_epoch(
     windows.last_rows(kept, key, order, window_size).write.mode("overwrite").parquet(
         epoch_path(state, epoch)
     )
+    if whole:  # repeating this epoch would read those from epoch - FULL_STATE on
+        for old in range(max(0, epoch - 2 * FULL_STATE), epoch - FULL_STATE):
+            remove(spark, epoch_path(state, old))
 
 
 def detect_stream(

@@ -49,6 +49,32 @@ def test_windows_go_on_across_batches_and_restarts(spark, folder, files, chunk_r
     assert state.agg(F.max("count")).first()[0] == 100
 
 
+def test_window_state_of_touched_keys_is_merged_and_old_states_go(spark, folder, monkeypatch):
+    """One source per file, in turn; the state of all is written every second epoch."""
+    monkeypatch.setattr(jobs, "FULL_STATE", 2)
+    rows = make_rows(700, seed=9)
+    names = sorted({r[1] for r in rows})
+    turns = [[r for r in rows if r[1] == names[i % len(names)] and r[0] % 3 == i // len(names)] for i in range(3 * len(names))]
+    arrived, number = [], 0
+    for turn in turns:
+        again = [(number + i, *r[1:]) for i, r in enumerate(turn)]
+        number += len(turn)
+        arrived += again
+        spark.createDataFrame(again, SCHEMA).coalesce(1).write.mode("append").parquet(folder + "/in")
+    stream = jobs.read_files(spark, folder + "/in", SCHEMA, max_files=1)
+    run(jobs.window_stream(
+        stream, ["source"], ["seq"], folder + "/out", folder + "/state", folder + "/ckpt", window_size=100
+    ))
+    want = expected(arrived)
+    got = jobs.read_epochs(spark, folder + "/out").collect()
+    assert len(got) == len(arrived)
+    for r in got:
+        assert r.time_adjusted_score == pytest.approx(want[r.seq][4], abs=1e-9)
+    kept = {r.epoch for r in spark.read.parquet(folder + "/state").select("epoch").distinct().collect()}
+    last_full = (len(turns) - 1) // 2 * 2
+    assert min(kept) >= last_full - 2 and max(kept) == len(turns) - 1
+
+
 def test_trend_keeps_late_rows_and_open_buckets(spark, folder):
     start = datetime(2024, 1, 1)
     rows = [(i, start + timedelta(hours=i), i % 3 == 0) for i in range(24)]
