@@ -58,6 +58,29 @@ def lines_of(events: DataFrame) -> DataFrame:
     )
 
 
+def mixed_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Event lines in seven forms: Apache, epoch, milliseconds, syslog, a time that is
+    none before one that is, hexadecimal values with UUIDs, and no time."""
+    e = spread(table(spark, sf, "events")).withColumn("ts", F.col("ts").cast("timestamp"))
+    n, digest = F.col("event_id").cast("string"), F.md5(F.col("event_id").cast("string"))
+    uuid = F.concat_ws(
+        "-", *[F.substring(digest, at, size) for at, size in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+    )
+    apache = F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss")
+    forms = [
+        F.concat(apache, F.lit(" INFO page "), n, F.lit(" served")),
+        F.concat(F.unix_seconds("ts").cast("string"), F.lit(" ERROR job "), n),
+        F.concat(F.lit("at "), F.unix_millis("ts").cast("string"), F.lit(" warn: job "), n),
+        F.concat(F.date_format("ts", "MMM dd HH:mm:ss"), F.lit(" host kernel: [1.5] from 10.0.0."), n),
+        F.concat(F.lit("2024-13-45T10:00:00Z "), apache, F.lit(" Critical state "), n),
+        F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" debug at 0x"), F.lower(F.hex("event_id")),
+                 F.lit(" for "), uuid),
+        F.concat(F.lit("[WARNING] disk /dev/sd"), n, F.lit(" at 85%")),
+    ]
+    line = F.element_at(F.array(*forms), (F.col("event_id") % 7 + 1).cast("int"))
+    return e.select(F.col("event_id").alias("seq"), line.alias("raw_text"))
+
+
 def siem_records(spark: SparkSession, sf: str) -> DataFrame:
     """Security-event records with the nested risk."""
     e = table(spark, sf, "events")
@@ -80,7 +103,11 @@ def siem_records(spark: SparkSession, sf: str) -> DataFrame:
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
     """Vectors with a text id; ``seq`` is the number of the vector."""
-    return table(spark, sf, "embeddings").select(
+    return vectors_of(table(spark, sf, "embeddings"))
+
+
+def vectors_of(embeddings: DataFrame) -> DataFrame:
+    return embeddings.select(
         F.col("vec_id").alias("seq"),
         F.format_string("v%07d", "vec_id").alias("id"),
         "embedding",
@@ -103,9 +130,13 @@ def vector_corpus(spark: SparkSession, sf: str) -> DataFrame:
 
 def vector_records(spark: SparkSession, sf: str) -> DataFrame:
     """Vectors with severity and risk by label, as hybrid detector input."""
+    return records_of(vectors(spark, sf))
+
+
+def records_of(rows: DataFrame) -> DataFrame:
     severities = ["info", "info", "low", "low", "medium", "medium", "info", "low", "high", "critical"]
     severity = F.element_at(F.array(*[F.lit(s) for s in severities]), F.col("label") + 1)
-    return vectors(spark, sf).select(
+    return rows.select(
         "seq", "id", "embedding", "label",
         severity.alias("severity"),
         ((F.col("seq") * 37) % 101).cast("double").alias("risk_score"),

@@ -68,6 +68,23 @@ parsed AS (SELECT *, CASE found WHEN 'WARN' THEN 'WARNING' WHEN '' THEN NULL ELS
     {clean('message')} AS cleaned_text,
     substr(md5(raw_text || strftime(time, '%Y-%m-%d %H:%M:%S')), 1, 12) AS log_id FROM leveled)"""
 
+APACHE, EPOCH = TIMES[1], TIMES[3]
+FORMATS = rf"""raw AS (SELECT event_id AS seq, ts, event_id % 7 AS form, md5(event_id::VARCHAR) AS m, strftime(ts, '%d/%b/%Y:%H:%M:%S') AS apache FROM events),
+lines AS (SELECT *, CASE form WHEN 0 THEN apache || ' INFO page ' || seq || ' served' WHEN 1 THEN (epoch_us(ts) // 1000000) || ' ERROR job ' || seq
+  WHEN 2 THEN 'at ' || (epoch_us(ts) // 1000) || ' warn: job ' || seq WHEN 3 THEN strftime(ts, '%b %d %H:%M:%S') || ' host kernel: [1.5] from 10.0.0.' || seq
+  WHEN 4 THEN '2024-13-45T10:00:00Z ' || apache || ' Critical state ' || seq
+  WHEN 5 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') || ' debug at 0x' || lower(printf('%X', seq)) || ' for ' ||
+    concat_ws('-', substr(m, 1, 8), substr(m, 9, 4), substr(m, 13, 4), substr(m, 17, 4), substr(m, 21, 12))
+  ELSE '[WARNING] disk /dev/sd' || seq || ' at 85%' END AS raw_text FROM raw),
+timed AS (SELECT *, CASE WHEN form IN (0, 4) THEN date_trunc('minute', ts) + to_seconds(second(ts) // 10)
+    WHEN form IN (1, 2, 5) THEN date_trunc('second', ts) END AS time,
+  {strip(f"CASE WHEN form IN (0, 4) THEN regexp_replace(raw_text, '{APACHE}', '') WHEN form IN (1, 2) THEN regexp_replace(raw_text, '{EPOCH}', '') "
+         f"WHEN form = 5 THEN regexp_replace(raw_text, '{ISO}', '') ELSE raw_text END")} AS rest FROM lines),
+leveled AS (SELECT *, upper(regexp_extract(rest, '{LEVELS}')) AS found, {strip(f"regexp_replace(rest, '{LEVELS}', '')")} AS message FROM timed),
+parsed AS (SELECT *, CASE found WHEN 'WARN' THEN 'WARNING' WHEN '' THEN NULL ELSE found END AS log_level, {clean('message', None)} AS cleaned_text,
+  substr(md5(raw_text || CASE WHEN time IS NULL THEN 'None' WHEN form = 2 AND epoch_us(ts) // 1000 % 1000 <> 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') || printf('.%03d000', epoch_us(ts) // 1000 % 1000)
+    ELSE strftime(time, '%Y-%m-%d %H:%M:%S') END), 1, 12) AS log_id FROM leveled)"""
+
 SIEM = f"""siem AS (
   SELECT event_id, event_type, {SEVERITY} AS severity, 'svc-' || (user_id % 7) AS source,
     event_type || ' by user ' || user_id || ' with ' || props AS description,
@@ -379,6 +396,23 @@ SELECT strftime(b, '%Y-%m-%d %H:%M:%S.%f') AS bucket_start, total, anomalies FRO
         "stream_alert_rate": """SELECT count(*) AS total, count(*) FILTER (value > 60) AS anomalies, round(count(*) FILTER (value > 60) / count(*)::DOUBLE, 6) AS rate,
   count(*) FILTER (value > 60) AS stored_alerts FROM events""",
     }
+    out["line_formats"] = f"""WITH {FORMATS} SELECT seq, strftime(time, '%Y-%m-%d %H:%M:%S') AS ts_text, log_level, message, cleaned_text,
+  log_id, length(raw_text) AS original_length, length(cleaned_text) AS cleaned_length FROM parsed"""
+    out["knn_label_cells"] = f"""WITH {VECTORS}, l AS (SELECT label, i, avg(e[i]) AS m FROM v, range(1, 65) t(i) GROUP BY 1, 2),
+means AS (SELECT label AS cell, list(m ORDER BY i)::DOUBLE[64] AS e FROM l GROUP BY 1),
+homes AS (SELECT vec_id, arg_min(cell, array_distance(v.e, means.e)) AS cell FROM v, means GROUP BY 1),
+near AS (SELECT vec_id, cell, row_number() OVER (PARTITION BY vec_id ORDER BY array_distance(v.e, means.e), cell) AS place
+  FROM v, means WHERE cell IN (SELECT cell FROM homes)),
+d AS (SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id, {SQUARE} AS distance
+  FROM near JOIN homes USING (cell) JOIN v a ON a.vec_id = near.vec_id JOIN v b ON b.vec_id = homes.vec_id WHERE place <= 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), neighbor_id) AS rank FROM d)
+SELECT query_id, rank::INTEGER AS rank, neighbor_id, round(distance, 6) AS distance FROM r WHERE rank <= 5"""
+    out["reloaded_hybrid_scores"] = out["stream_hybrid_scores"] = out["hybrid_distance_scores"]
+    out["isolation_forest_counts"] = """SELECT 100::BIGINT AS trees, 0::BIGINT AS broken_trees, 0::BIGINT AS oversized_trees,
+  count(*) AS scored, ceil((count(*) - 1) / 10)::BIGINT AS flagged FROM embeddings"""
+    out["detected_responses"] = (
+        f"SELECT seq, log_id, score, is_anomaly, confidence, 3::INTEGER AS neighbors, summary FROM ({out['detect_event_logs']})"
+    )
     out["corpus_lookup"] = (
         f"SELECT * FROM ({out['corpus_latest']}) WHERE id IN (SELECT 'id-' || doc_id FROM labels)"
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import partial
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from oddline import fixed_values as fv
@@ -54,6 +55,10 @@ def parse_event_logs(spark, sf):
     return _parsed_view(text.parse_logs(inputs.event_lines(spark, sf)))
 
 
+def line_formats(spark, sf):
+    return _parsed_view(text.parse_logs(inputs.mixed_lines(spark, sf)))
+
+
 def level_counts(spark, sf):
     parsed = text.parse_logs(inputs.event_lines(spark, sf))
     return parsed.groupBy("source", "log_level").agg(F.count(F.lit(1)).alias("n"))
@@ -188,6 +193,27 @@ def knn_cells(probes, cells, spark, sf):
     return found.select("query_id", "rank", "neighbor_id", six("distance"))
 
 
+def _label_means(spark, sf) -> DataFrame:
+    v = inputs.table(spark, sf, "embeddings")
+    return (
+        v.select("label", F.posexplode_outer("embedding").alias("pos", "x"))
+        .groupBy("label", "pos")
+        .agg(F.avg(F.col("x").cast("double")).alias("m"))
+        .groupBy("label")
+        .agg(F.sort_array(F.collect_list(F.struct("pos", "m"))).alias("pm"))
+        .select("label", F.transform("pm", lambda p: p["m"]).alias("embedding"))
+    )
+
+
+def knn_label_cells(spark, sf):
+    """Three of the cells around the mean vectors of the labels are probed."""
+    e = inputs.table(spark, sf, "embeddings")
+    means = _label_means(spark, sf).orderBy("label").collect()  # one per label
+    index = build_index(e, fv.K_NEIGHBORS, id_col="vec_id", pivots=np.array([m["embedding"] for m in means]))
+    found = knn(e, index, fv.K_NEIGHBORS, "vec_id", probes=3).long()
+    return found.select("query_id", "rank", "neighbor_id", six("distance"))
+
+
 def neighborhood_stats(spark, sf):
     e = inputs.table(spark, sf, "embeddings")
     index = build_index(e, fv.K_NEIGHBORS, "squared_l2", "vec_id")
@@ -226,14 +252,7 @@ def text_search(spark, sf):
 def label_similarity(spark, sf):
     """Cosine of every vector with the mean vector of its own label."""
     v = inputs.table(spark, sf, "embeddings")
-    means = (
-        v.select("label", F.posexplode_outer("embedding").alias("pos", "x"))
-        .groupBy("label", "pos")
-        .agg(F.avg(F.col("x").cast("double")).alias("m"))
-        .groupBy("label")
-        .agg(F.sort_array(F.collect_list(F.struct("pos", "m"))).alias("pm"))
-        .select(F.col("label").alias("id"), F.transform("pm", lambda p: p["m"]).alias("embedding"))
-    )
+    means = _label_means(spark, sf).withColumnRenamed("label", "id")
     corpus = v.select(F.col("vec_id").alias("id"), "embedding")
     pairs = v.select(F.col("vec_id").alias("left_id"), F.col("label").alias("right_id"))
     out = similarity.pair_similarity(pairs, corpus, means, normalized=False)
@@ -464,7 +483,10 @@ def reports(spark, sf):
 
 
 def _hybrid_rows(spark, sf) -> DataFrame:
-    r = inputs.vector_records(spark, sf)
+    return _with_meta(inputs.vector_records(spark, sf))
+
+
+def _with_meta(r: DataFrame) -> DataFrame:
     return durable(
         r.select(
             "seq", "id", "embedding", "label",
@@ -495,6 +517,46 @@ def hybrid_distance_scores(spark, sf):
     return scored.select("seq", six("mean_distance"), six("distance_score"))
 
 
+def reloaded_hybrid_scores(spark, sf):
+    """The distance scores of a hybrid model stored without a forest."""
+    rows, model = _hybrid_model(spark, sf, with_forest=False)
+    path = scratch_path(spark, "hybrid-model")
+    hybrid.save(model, path)
+    scored = hybrid.score_vectors(rows, hybrid.load(spark, path, HYBRID))
+    return scored.select("seq", six("mean_distance"), six("distance_score"))
+
+
+def stream_hybrid_scores(spark, sf):
+    """The hybrid detector on a stream of vectors."""
+    _, model = _hybrid_model(spark, sf, with_forest=False)
+    schema = inputs.table(spark, sf, "embeddings").schema
+    stream = jobs.read_files(spark, sf, schema, glob="embeddings.parquet")
+    out = scratch_path(spark, "stream-hybrid")
+
+    def score(batch: DataFrame) -> DataFrame:
+        return hybrid.score_vectors(_with_meta(inputs.records_of(inputs.vectors_of(batch))), model)
+
+    _finish(jobs.score_stream(stream, score, out, scratch_path(spark, "ckpt")))
+    return jobs.read_epochs(spark, out).select("seq", six("mean_distance"), six("distance_score"))
+
+
+def isolation_forest_counts(spark, sf):
+    """What holds for every forest: full binary trees, and the flagged share."""
+    rows = _hybrid_rows(spark, sf).select(F.col("seq").alias("id"), F.col("embedding").alias("features"))
+    forest = fit_forest(rows)
+    trees = forest.trees.groupBy("tree").agg(
+        F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("feature") < 0).alias("leaves")
+    )
+    full = trees.agg(
+        F.count(F.lit(1)).alias("trees"),
+        F.count_if(F.col("nodes") != 2 * F.col("leaves") - 1).alias("broken_trees"),
+        F.count_if(F.col("leaves") > forest.sample).alias("oversized_trees"),
+    )
+    flags = rows.select((forest.decision(F.col("features")) < 0).alias("odd"))
+    flagged = flags.agg(F.count(F.lit(1)).alias("scored"), F.count_if("odd").alias("flagged"))
+    return full.withColumn("_all", F.lit(1)).join(flagged.withColumn("_all", F.lit(1)), "_all").drop("_all")
+
+
 def isolation_forest(spark, sf):
     rows = _hybrid_rows(spark, sf).select(F.col("seq").alias("id"), F.col("embedding").alias("features"))
     forest = fit_forest(rows)
@@ -710,6 +772,18 @@ def detect_event_logs(spark, sf):
     )
 
 
+def detected_responses(spark, sf):
+    """The flat view of the detector's nested results."""
+    lines = inputs.event_lines(spark, sf)
+    normal = lines.filter(~sev.is_anomaly_severity(F.col("severity")))
+    model = distance.fit(normal.select("seq", "raw_text"), DETECTOR)
+    r = hist.detection_response(distance.detect(lines.select("seq", "raw_text", "source"), model, ["source"]))
+    return r.select(
+        "seq", "log_id", six("score"), "is_anomaly", six("confidence"),
+        F.size("neighbors").alias("neighbors"), F.col("explanation.summary").alias("summary"),
+    )
+
+
 # --- streams ----------------------------------------------------------------------------------------------------
 
 
@@ -793,27 +867,28 @@ def stream_alert_rate(spark, sf):
     _finish(jobs.alert_stream(stream, out, rates, scratch_path(spark, "ckpt")))
     alerts = jobs.read_epochs(spark, out).agg(F.count(F.lit(1)).alias("stored_alerts"))
     totals = jobs.running_rate(spark, rates).withColumn("rate", F.round("rate", 6))
-    return totals.withColumn("stored_alerts", F.lit(alerts.first()[0]))
+    one = F.lit(1).alias("_all")  # one row each
+    return totals.select("*", one).join(alerts.select("*", one), "_all").drop("_all")
 
 
 def registry():
     named = [
-        parse_event_logs, level_counts, clean_documents, mask_paths, document_inputs,
+        parse_event_logs, line_formats, level_counts, clean_documents, mask_paths, document_inputs,
         log_file_scan, csv_scan, json_scan,
         siem_labels, siem_split, siem_metadata, siem_texts, siem_totals,
-        hash_encode_documents, neighborhood_stats, text_search, label_similarity,
+        hash_encode_documents, knn_label_cells, neighborhood_stats, text_search, label_similarity,
         neighbor_cosine, normalized_vectors, corpus_latest, corpus_lookup, corpus_stats,
         baseline_distances, baseline_threshold, anomaly_scores, unfitted_scores, reloaded_scores,
         sure_anomalies, burst_flags, score_windows, temporal_features, augmented_vectors,
         score_bands, recommendations, explanations, reports,
         hybrid_features, hybrid_distance_scores, isolation_forest, hybrid_detect,
-        hybrid_log_detect, document_table_scores,
+        hybrid_log_detect, document_table_scores, reloaded_hybrid_scores, isolation_forest_counts,
         scored_table_metrics, scored_table_top, scored_table_anomalies, scored_table_csv,
         hybrid_scores_given_forest, json_folder_scan,
         label_quality, quality_by_source, detection_rates, first_of_class_rates,
         history_status, history_rate, recent_history, recent_alerts, all_alerts,
         detection_responses, anomaly_trend, alerts_by_category, appended_history,
-        detect_event_logs,
+        detect_event_logs, detected_responses, stream_hybrid_scores,
         stream_parse, stream_scores, stream_windows, stream_trend, stream_alert_rate, stream_detect,
     ]
     out = {f.__name__: f for f in named}
