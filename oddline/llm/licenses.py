@@ -49,11 +49,25 @@ RULES = [
     ("ISC", "text", [21]),
 ]
 
+# What the splitter makes of sentences 12 and 13 as they are printed, with
+# a ':' or ';' inside.  Their numbers go on from SENTENCES; the SQL twin has not got them.
+SPLIT_SENTENCES = [
+    "this program is free software",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "this program is distributed in the hope that it will be useful but without any warranty",
+    "without even the implied warranty of merchantability or fitness for a particular purpose",
+]
+SPLIT_RULES = [
+    ("GPL-3.0-or-later", "notice", [22, 23, 24, 25, 14]),
+    ("GPL-3.0-or-later", "notice", [22, 23, 13, 14]),
+    ("GPL-3.0-or-later", "notice", [12, 24, 25, 14]),
+]
+
 # Where a sentence ends: at its sign and white space, or at a blank line; in the
 # second reading every line end is one, too.
 SENTENCE_END = r"[.!?:;]+(?:[ \t\r\n]+|$)|\n[ \t\r\n]*\n"
 LINE_END = r"[.!?:;]+(?:[ \t\r\n]+|$)|\n"
-HINT = "(?i)licens|permi|redistribut|software|program"
+HINT = "(?i)licens|permi|redistribut|software|program|warrant"
 
 
 def normalised(text: Column) -> Column:
@@ -62,7 +76,7 @@ def normalised(text: Column) -> Column:
 
 def _known(text: Column, end: str) -> Column:
     """Numbers of the licence sentences of a text, in order; the hint only saves work."""
-    numbers = F.create_map(*[x for i, s in enumerate(SENTENCES) for x in (F.lit(s), F.lit(i))])
+    numbers = F.create_map(*[x for i, s in enumerate(SENTENCES + SPLIT_SENTENCES) for x in (F.lit(s), F.lit(i))])
     likely = F.filter(F.split(text, end), lambda p: p.rlike(HINT))
     return F.filter(F.transform(likely, lambda p: F.try_element_at(numbers, normalised(p))), lambda n: n.isNotNull())
 
@@ -93,10 +107,10 @@ def license_scan(docs: DataFrame) -> DataFrame:
     rules = F.array(
         *[
             F.when(_holds(F.col("sentences"), rule) | _holds(F.col("lines"), rule), f"{name} ({kind})")
-            for name, kind, rule in RULES
+            for name, kind, rule in RULES + SPLIT_RULES
         ]
     )
-    matched = F.filter(rules, lambda r: r.isNotNull())
+    matched = F.array_distinct(F.filter(rules, lambda r: r.isNotNull()))
     names = F.array_sort(F.array_distinct(F.transform("rules", lambda r: F.split_part(r, F.lit(" ("), F.lit(1)))))
     return read.withColumn("rules", matched).select("doc_id", "sentences", "lines", names.alias("licenses"), "rules")
 

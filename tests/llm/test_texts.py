@@ -208,6 +208,106 @@ def test_licenses(spark, no_rows):
     assert licenses.license_scan(no_rows).collect() == []
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+BSD_2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_3 = BSD_2 + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+PRINTED = {
+    "Apache-2.0 (short notice)": "Licensed under the Apache License, Version 2.0.", "Apache-2.0 (notice)": APACHE,
+    "MIT (short notice)": "Released under the MIT License.", "MIT (text)": MIT,
+    "GPL-3.0-only (short notice)": "This work is licensed under the GNU General Public License, version 3.",
+    "GPL-3.0-or-later (notice)": GPL, "CC-BY-NC-4.0 (short notice)": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-4.0 (short notice)": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "BSD-2-Clause (text)": BSD_2, "BSD-3-Clause (text)": BSD_3, "ISC (text)": ISC,
+}
+
+
+def test_every_rule_finds_its_text_as_printed(spark):
+    assert list(PRINTED) == [f"{name} ({kind})" for name, kind, _ in licenses.RULES]
+    texts = [f"Copyright 2024 A. Author\n\n{t}\nimport os\n" for t in PRINTED.values()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.rules for r in licenses.license_scan(docs).collect()}
+    for i, rule in enumerate(PRINTED):
+        extra = ["BSD-2-Clause (text)"] if rule == "BSD-3-Clause (text)" else []
+        assert found[i] == [*extra, rule], (i, rule)
+
+
+def test_gpl_notice_with_other_signs(spark):
+    texts = [
+        GPL.replace("software:", "software;"), GPL.replace("software:", "software,"), GPL.replace("WARRANTY;", "WARRANTY,"),
+        GPL.replace("software:", "software,").replace("WARRANTY;", "WARRANTY,"), GPL.replace("either version 3", "either version 2"),
+        GPL.split("See the")[0],
+    ]
+    texts += ["".join(f"# {line}\n" for line in t.splitlines()) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.rules for r in licenses.license_scan(docs).collect()}
+    assert found == {i: ["GPL-3.0-or-later (notice)"] if i % 6 < 4 else [] for i in range(12)}
+
+
+def test_license_hint_lets_every_sentence_through():
+    import re
+
+    assert all(re.search(licenses.HINT, s) for s in licenses.SENTENCES + licenses.SPLIT_SENTENCES)
+
+
 def test_license_rules_use_their_sentences():
     assert {n for _, _, r in licenses.RULES for n in r} <= set(range(len(licenses.SENTENCES)))
 
