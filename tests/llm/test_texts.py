@@ -352,6 +352,26 @@ def test_windows(spark, n):
         assert [r.hash for r in found] == [hashes[p] for p in places]
 
 
+@pytest.mark.parametrize("n,more", [(60, 4), (131, 4), (132, 1), (132, 3), (135, 3), (140, 5), (300, 4)])
+def test_near_copies_are_alike_at_every_length(spark, n, more):
+    pairs = []
+    for seed in range(40):
+        words = [f"w{seed}x{i}" for i in range(n + more)]
+        pairs += [(2 * seed + 1, " ".join(words[:n])), (2 * seed, " ".join(words))]  # the next goes by descending id
+    found = w.compare_edited(spark.createDataFrame(pairs, "doc_id long, text string")).filter("doc_id % 2 = 1")
+    near = [r.near_next for r in found.collect()]
+    assert sum(near) / len(near) > 0.85 and min(near) > 0.6
+
+
+@pytest.mark.parametrize("n", [133, 134, 135, 136, 137, 138])
+def test_there_are_two_widths(spark, n):
+    """Up to 130 k-grams windows hold 4, from there on 16."""
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(n)))], "doc_id long, text string")
+    found = w.fingerprints(docs).first().fingerprint
+    places = np.array([r.place for r in found])
+    assert np.diff(places).max() > 4 and len(places) < n / 5
+
+
 def test_edited(odd, no_rows):
     texts = {i: t or "" for i, t, *_ in rows()}
     order = sorted(texts, reverse=True)
