@@ -1,26 +1,29 @@
 """A hidden Markov language model, trained by Baum-Welch and scored by the scaled forward recursion.
 
-Latent states emit classes of words; a word's share of its class is that of its
-add-one unigram probability.  So the model is a proper distribution over texts,
-has a size that does not grow with the corpus, and still rests on the counts of
-every word.  A class is the hash of a word's last four bytes, which keeps endings
-together and short words apart.
+Latent states emit words; a word's emission is its add-one unigram probability times
+a ratio per state, which Baum-Welch learns from the expected counts of that word.
+Words are spread by hash over buckets, and every round each bucket adds up the counts
+of its words and sends their ratios back to the blocks that hold them, so what is
+gathered grows with the vocabulary and no task or driver holds it all.  A class, the
+hash of a word's last four bytes, gives the ratio that rare words start from.  All
+emissions of a state add up to 1, so the model is a proper distribution over texts.
 """
 
 from __future__ import annotations
 
+import gc
 import zlib
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from oddline.llm.bpe import cut, pack_lists, unpack_lists
 from oddline.llm.common import columns, mix, partitions, slices, text_bytes
-from oddline.session import durable
+from oddline.session import durable, remove, scratch_path
 
 STATES = 6
 CLASSES = 1 << 14
@@ -28,6 +31,7 @@ UNKNOWN, END = CLASSES, CLASSES + 1  # classes of their own
 SUFFIX = 4
 ROUNDS = 6
 PRIOR = 10.0  # tokens without preference for a state, added to every class
+WORD_PRIOR = 10.0  # tokens with the preference of its class, added to every word
 STAY = 0.9  # at the start
 NOISE = 1.5
 SEED = 7
@@ -113,8 +117,13 @@ def _count(table: pa.Table) -> pa.Table:
         {
             "block": table["block"].combine_chunks(),
             "start": table["start"].combine_chunks(),
+            "bucket": table["bucket"].combine_chunks(),
             "counts": pa.array(each, pa.binary()),
-            # The sums stand in the first row only.
+            # The number of each own word among the bucket's.
+            "index": pa.array([zstandard.compress(c.tobytes(), 1) for c in np.split(codes, np.cumsum(sizes)[:-1])], pa.binary()),
+            # The bucket's words and sums stand in the first row only.
+            "total": pa.array([zstandard.compress(total.tobytes(), 1), *[None] * (n - 1)], pa.binary()),
+            "kinds": pa.array([zstandard.compress(kind.astype(np.uint16).tobytes(), 1), *[None] * (n - 1)], pa.binary()),
             "tokens": pa.array([int(total.sum()), *[0] * (n - 1)], pa.int64()),
             "types": pa.array([int(known.sum()), *[0] * (n - 1)], pa.int64()),
             "mass": pa.array([list(zip(used.tolist(), mass[used].tolist())), *[[]] * (n - 1)],
@@ -123,12 +132,39 @@ def _count(table: pa.Table) -> pa.Table:
     )
 
 
+COUNTED = (
+    "block long, start long, bucket long, counts binary, index binary, total binary, kinds binary, tokens long, types long,"
+    " mass array<struct<class:long,n:double>>"
+)
+
+
+def squeezed(x: np.ndarray) -> bytes:
+    """Non-negative numbers rounded to 9 bits, byte by byte."""
+    bits = ((np.ascontiguousarray(x, np.float32).view(np.uint32) + np.uint32(0x8000)) >> np.uint32(16)).astype(np.uint16)
+    return zstandard.compress(np.ascontiguousarray(bits.ravel().view(np.uint8).reshape(-1, 2).T).tobytes(), 1)
+
+
+def stretched(packed: bytes, columns: int) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(2, -1)
+    bits = np.ascontiguousarray(planes.T).view(np.uint16).ravel().astype(np.uint32)
+    return (bits << np.uint32(16)).view(np.float32).reshape(-1, columns)
+
+
+def _free(spark) -> None:
+    """Shuffle files go when the driver collects its garbage; a round's would else stay through the next ones."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 # --- the model -------------------------------------------------------------------
 
 
 @dataclass
 class Model:
-    """Start and transition probabilities, and per state and class the emission relative to the unigram's."""
+    """Start and transition probabilities, and per state and class the emission relative to the unigram's.
+
+    ``norm`` is what the stored ratios of words are to be divided by; without it words have those of their class.
+    """
 
     start: np.ndarray
     move: np.ndarray
@@ -136,6 +172,7 @@ class Model:
     tokens: int
     types: int
     ends: int
+    norm: np.ndarray | None = None
 
     def unigram(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 1.0) / (self.tokens + self.types + 1.0))
@@ -181,7 +218,7 @@ def expected(model: Model, r: Ragged):
     """Expected starts, moves and emissions (forward-backward), and the log10 likelihood ratio."""
     logs, alpha, scales = forward(model, r, keep=True)
     k = len(model.start)
-    moves, emitted = np.zeros((k, k)), np.zeros((CELLS, k))
+    moves, emitted = np.zeros((k, k)), np.zeros((len(model.ratio), k))
     beta, back = np.ones((len(r.order), k)), None
     for t in range(len(r.active) - 1, -1, -1):
         n, own = r.active[t], r.at(t)
@@ -195,17 +232,17 @@ def expected(model: Model, r: Ragged):
         alpha[own] = g  # from here on the state's share at this position
         beta = g
     for s in range(k):
-        emitted[:, s] = np.bincount(r.classes, alpha[:, s], CELLS)
+        emitted[:, s] = np.bincount(r.classes, alpha[:, s], len(emitted))
     first = beta.sum(axis=0) if len(r.active) else np.zeros(k)
     return first, moves * model.move, emitted, logs.sum()
 
 
-def _documents(row: dict, keep: np.ndarray | None, classes: np.ndarray):
+def _documents(row: dict, keep: np.ndarray | None, classes: np.ndarray, end: int = END):
     """Class sequences of a block's documents, each closed by the end."""
     lengths, body = unpack_lists(row["codes"])
     codes = np.frombuffer(body, np.int32)
     ends = np.cumsum(lengths + 1) - 1
-    out = np.full(len(codes) + len(lengths), END, dtype=np.int64)
+    out = np.full(len(codes) + len(lengths), end, dtype=np.int64)
     word = np.ones(len(out), dtype=bool)
     word[ends] = False
     out[word] = classes[codes]
@@ -214,6 +251,94 @@ def _documents(row: dict, keep: np.ndarray | None, classes: np.ndarray):
     return out, lengths + 1
 
 
+def _block_ratios(model: Model, kinds: np.ndarray, stored: list) -> np.ndarray:
+    """Per state the ratios of a block's words, of the unknown word and of the end."""
+    own = model.ratio[kinds]
+    if model.norm is not None and stored:
+        own = np.concatenate([stretched(x, len(model.start)) for x in stored]) / model.norm
+    return np.concatenate([own, model.ratio[[UNKNOWN, END]]])
+
+
+def _expect_words(sent):
+    """Of one block the expected counts of its words, bucket by bucket, and in a row without bucket the rest."""
+
+    def run(left, right):
+        model, rows = sent.value, []
+        answers = zip(*(right[c].to_pylist() for c in ("start", "bucket", "ratios")))
+        answers = sorted(answers, key=lambda x: x[0])
+        for row in left.to_pylist():
+            kinds = np.frombuffer(zstandard.decompress(row["classes"]), np.uint16)
+            n = len(kinds)
+            classes, lengths = _documents(row, ~np.frombuffer(row["held"], bool), np.arange(n), n + 1)
+            if not len(lengths):
+                continue
+            ratio = _block_ratios(model, kinds, [x for _, _, x in answers])
+            first, moves, emitted, logs = expected(replace(model, ratio=ratio), Ragged(classes, lengths))
+            head = np.concatenate([first, moves.ravel(), [logs], emitted[n + 1]])
+            rows.append((row["block"], -1, 0, head.tobytes(), None))
+            for (a, bucket, _), b in zip(answers, [*[x[0] for x in answers[1:]], n]):
+                rows.append((row["block"], bucket, a, squeezed(emitted[a:b]), kinds[a:b].tobytes()))
+        return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(SUMS)})
+
+    return run
+
+
+SUMS = [("block", pa.int64()), ("bucket", pa.int64()), ("start", pa.int64()), ("sums", pa.binary()), ("classes", pa.binary())]
+
+
+def _profile(states: int):
+    """A task's sums per class, from those of its words."""
+
+    def run(batches):
+        emitted, head = np.zeros((CELLS, states)), None
+        for batch in batches:
+            for bucket, sums, kinds in zip(*(batch.column(c).to_pylist() for c in ("bucket", "sums", "classes"))):
+                if bucket < 0:
+                    head = np.frombuffer(sums, np.float64) + (0 if head is None else head)
+                else:
+                    own, kinds = stretched(sums, states), np.frombuffer(kinds, np.uint16)
+                    for s in range(states):
+                        emitted[:, s] += np.bincount(kinds, own[:, s], CELLS)
+        parts = [(i, emitted[i : i + CHUNK]) for i in range(0, CELLS, CHUNK) if emitted[i : i + CHUNK].any()]
+        parts += [] if head is None else [(-1, head)]
+        yield pa.RecordBatch.from_pydict(
+            {"chunk": pa.array([i for i, _ in parts], pa.int64()), "sums": pa.array([x.tobytes() for _, x in parts], pa.binary())}
+        )
+
+    return run
+
+
+def _renew(sent):
+    """New ratios of one bucket's words for every block that holds them; before division by the norm."""
+
+    def run(left, right):
+        raw, weight, n = sent.value
+        packed = next(i for i, x in enumerate(left["total"].to_pylist()) if x is not None)
+        total = np.frombuffer(zstandard.decompress(left["total"][packed].as_py()), np.int64)
+        kinds = np.frombuffer(zstandard.decompress(left["kinds"][packed].as_py()), np.uint16)
+        index = {
+            x[:2]: np.frombuffer(zstandard.decompress(x[2]), np.int32)
+            for x in zip(*(left[c].to_pylist() for c in ("block", "start", "index")))
+        }
+        sums = np.zeros((len(total), len(weight)))
+        for block, start, own in zip(*(right[c].to_pylist() for c in ("block", "start", "sums"))):
+            sums[index[block, start]] += stretched(own, len(weight))  # a block's words differ
+        ratio = (sums / weight + WORD_PRIOR * raw[kinds]) / (sums.sum(axis=1, keepdims=True) + WORD_PRIOR)
+        ratio = stretched(squeezed(ratio), len(weight))
+        known = total > 0
+        norm = ((total[known, None] + 1.0) * ratio[known]).sum(axis=0) / n
+        return pa.table(
+            {
+                "block": pa.array([b for b, _ in index], pa.int64()), "bucket": left["bucket"].combine_chunks(),
+                "start": pa.array([a for _, a in index], pa.int64()),
+                "ratios": pa.array([squeezed(ratio[i]) for i in index.values()], pa.binary()),
+                "norm": pa.array([norm.tolist(), *[[]] * (len(index) - 1)], pa.list_(pa.float64())),
+            }
+        )
+
+    return run
+
+
 def _expect(sent):
     def run(batches):
         model, total = sent.value, None
@@ -242,15 +367,8 @@ def _add(table: pa.Table) -> pa.Table:
     return pa.table({"chunk": table["chunk"].combine_chunks()[:1], "sums": pa.array([np.sum(rows, axis=0).tobytes()], pa.binary())})
 
 
-def train(blocks: DataFrame, share: np.ndarray, tokens: int, types: int, ends: int,
-          states: int = STATES, rounds: int = ROUNDS) -> tuple[Model, list[float]]:
-    """Baum-Welch over all training documents; also the log10 likelihood ratio before each round.
-
-    ``share`` is the unigram probability of every class.  Each round tasks add up
-    expected counts, which are summed per range of classes; the sums, one number per
-    class and state, reach the driver.
-    """
-    spark, rng = blocks.sparkSession, np.random.default_rng(SEED)
+def _begin(share: np.ndarray, tokens: int, types: int, ends: int, states: int) -> Model:
+    rng = np.random.default_rng(SEED)
     ratio = np.exp(NOISE * rng.standard_normal((CELLS, states)))
     ratio[END] = 1.0
     ratio /= (share[:, None] * ratio).sum(axis=0)
@@ -258,38 +376,123 @@ def train(blocks: DataFrame, share: np.ndarray, tokens: int, types: int, ends: i
         ratio[:] = 1.0
     move = np.full((states, states), (1 - STAY) / max(states - 1, 1))
     np.fill_diagonal(move, STAY if states > 1 else 1.0)
-    model, history = Model(np.full(states, 1 / states), move, ratio, tokens, types, ends), []
+    return Model(np.full(states, 1 / states), move, ratio, tokens, types, ends)
+
+
+def _class_ratios(emitted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ratios of the classes, not yet adding up to 1, and the share of every state."""
+    weight = (emitted.sum(axis=0) + 1) / (emitted.sum() + emitted.shape[1])
+    return (emitted + PRIOR * weight) / (emitted.sum(axis=1, keepdims=True) + PRIOR) / weight, weight
+
+
+def _moved(model: Model, first: np.ndarray, moves: np.ndarray, ratio: np.ndarray, norm: np.ndarray | None = None) -> Model:
+    states = len(first)
+    return replace(
+        model, start=(first + 1) / (first.sum() + states), move=(moves + 1) / (moves.sum(axis=1, keepdims=True) + states),
+        ratio=ratio, norm=norm,
+    )
+
+
+def _gathered(sums: DataFrame) -> dict[int, np.ndarray]:
+    added = sums.groupBy("chunk").applyInArrow(_add, "chunk long, sums binary")
+    return {r["chunk"]: np.frombuffer(r["sums"], np.float64) for r in added.collect()}
+
+
+def train(blocks: DataFrame, share: np.ndarray, tokens: int, types: int, ends: int,
+          states: int = STATES, rounds: int = ROUNDS) -> tuple[Model, list[float]]:
+    """Baum-Welch over all training documents by classes only; also the log10 likelihood ratio before each round.
+
+    ``share`` is the unigram probability of every class.  Each round tasks add up
+    expected counts, which are summed per range of classes; the sums, one number per
+    class and state, reach the driver.
+    """
+    spark, model, history = blocks.sparkSession, _begin(share, tokens, types, ends, states), []
     for _ in range(rounds if ends else 0):
-        found = blocks.select("held", "codes", "classes").mapInArrow(
+        summed = _gathered(blocks.select("held", "codes", "classes").mapInArrow(
             _expect(spark.sparkContext.broadcast(model)), "chunk long, sums binary"
-        )
-        summed = {r["chunk"]: np.frombuffer(r["sums"], np.float64)
-                  for r in found.groupBy("chunk").applyInArrow(_add, "chunk long, sums binary").collect()}
+        ))
         head = summed.pop(-1)
         emitted = np.concatenate([summed[i] for i in sorted(summed)]).reshape(CELLS, states)
         first, moves = head[:states], head[states:-1].reshape(states, states)
         history.append(float(head[-1]))
-        weight = (emitted.sum(axis=0) + 1) / (emitted.sum() + states)
-        ratio = (emitted + PRIOR * weight) / (emitted.sum(axis=1, keepdims=True) + PRIOR) / weight
-        ratio /= (share[:, None] * ratio).sum(axis=0)  # every state's emissions add up to 1
-        model = Model(
-            (first + 1) / (first.sum() + states), (moves + 1) / (moves.sum(axis=1, keepdims=True) + states),
-            ratio, tokens, types, ends,
-        )
+        ratio, _ = _class_ratios(emitted)
+        model = _moved(model, first, moves, ratio / (share[:, None] * ratio).sum(axis=0))
     return model, history
 
 
+def train_words(blocks: DataFrame, counted: DataFrame, share: np.ndarray, tokens: int, types: int, ends: int,
+                states: int = STATES, rounds: int = ROUNDS) -> tuple[Model, DataFrame, list[float]]:
+    """Baum-Welch with a ratio for every distinct word; also these, per block and bucket, and the history as in ``train``.
+
+    Each round a block gives the expected counts of its words to their buckets, and
+    a bucket gives the new ratios back.  The driver gets one number per class and
+    state (the prior of rare words) and one per state (the norm).
+    """
+    spark, model, history = blocks.sparkSession, _begin(share, tokens, types, ends, states), []
+    ratios, paths = counted.select("block", "bucket", "start", F.lit(None).cast("binary").alias("ratios")), []
+
+    def stored(df: DataFrame, label: str) -> DataFrame:
+        paths.append(scratch_path(spark, label))
+        df.write.parquet(paths[-1])
+        return spark.read.schema(df.schema).parquet(paths[-1])
+
+    def old(used: list[str]) -> None:
+        for path in used:
+            remove(spark, path)
+            paths.remove(path)
+        _free(spark)
+
+    # Dealt by block once, not every round.
+    own = blocks.select("block", "held", "codes", "classes").repartition(partitions(blocks), "block").persist(StorageLevel.DISK_ONLY)
+    _free(spark)
+    for _ in range(rounds if ends else 0):
+        sums = stored(
+            own.groupBy("block").cogroup(ratios.select("block", "bucket", "start", "ratios").groupBy("block")).applyInArrow(
+                _expect_words(spark.sparkContext.broadcast(model)), "block long, bucket long, start long, sums binary, classes binary"
+            ),
+            "sums",
+        )
+        old(paths[:-1])  # the ratios are used up
+        summed = _gathered(sums.select("bucket", "sums", "classes").mapInArrow(_profile(states), "chunk long, sums binary"))
+        head = summed.pop(-1)
+        emitted = np.zeros((CELLS, states))
+        for i, x in summed.items():
+            emitted[i : i + CHUNK] = x.reshape(-1, states)
+        emitted[END] = head[-states:]
+        history.append(float(head[-states - 1]))
+        raw, weight = _class_ratios(emitted)
+        ratios = stored(
+            counted.select("block", "bucket", "start", "index", "total", "kinds").groupBy("bucket").cogroup(
+                sums.filter("bucket >= 0").select("block", "bucket", "start", "sums").groupBy("bucket")
+            ).applyInArrow(
+                _renew(spark.sparkContext.broadcast((raw, weight, tokens + types + 1.0))),
+                "block long, bucket long, start long, ratios binary, norm array<double>",
+            ),
+            "ratios",
+        )
+        norm = np.array(ratios.agg(*[F.sum(F.get("norm", F.lit(i))) for i in range(states)]).first(), dtype=float)
+        norm = np.nan_to_num(norm) + (share[[UNKNOWN, END], None] * raw[[UNKNOWN, END]]).sum(axis=0)
+        first, moves = head[:states], head[states : -states - 1].reshape(states, states)
+        model = _moved(model, first, moves, raw / norm, norm)  # every state's emissions add up to 1
+        old(paths[:-1])
+    own.unpersist()
+    _free(spark)
+    return model, ratios.select("block", "start", "ratios"), history
+
+
 def _score(sent):
     def run(left, right):
         model, out = sent.value, []
-        answers = sorted(zip(right["start"].to_pylist(), right["counts"].to_pylist()))
-        parts = [np.frombuffer(zstandard.decompress(c), np.int64) for _, c in answers]
+        answers = sorted(zip(*(right[c].to_pylist() for c in ("start", "counts", "ratios"))), key=lambda x: x[0])
+        parts = [np.frombuffer(zstandard.decompress(c), np.int64) for _, c, _ in answers if c is not None]
         counts = np.concatenate(parts) if parts else np.zeros(0, np.int64)
         for row in left.to_pylist():
             kinds = np.frombuffer(zstandard.decompress(row["classes"]), np.uint16).astype(np.int64)
-            kinds[counts == 0] = UNKNOWN
-            classes, lengths = _documents(row, None, kinds)
-            word = classes != END
+            ratio = _block_ratios(model, kinds, [x for _, _, x in answers if x is not None])
+            places, end = np.arange(len(kinds)), len(kinds) + 1
+            places[counts == 0] = len(kinds)
+            classes, lengths = _documents(row, None, places, end)
+            word = classes != end
             n, body = unpack_lists(row["codes"])
             codes = np.frombuffer(body, np.int32)
             base = np.full(len(classes), model.unigram(np.array(float(model.ends))))
@@ -304,7 +507,7 @@ def _score(sent):
                         "doc_id": pa.array(docs, mask=nulls), "held_out": np.frombuffer(row["held"], bool),
                         "n_tokens": lengths, "n_known": np.add.reduceat(known, starts),
                         "train_tokens": np.full(len(docs), model.tokens), "base_score": base,
-                        "score": base + forward(model, Ragged(classes, lengths)),
+                        "score": base + forward(replace(model, ratio=ratio), Ragged(classes, lengths)),
                     }
                 )
             )
@@ -332,9 +535,7 @@ def score_documents(docs: DataFrame, held: Column, states: int = STATES, rounds:
     coded = durable(docs.mapInArrow(_code(4 * partitions(docs)), _DDL), "coded")
     blocks, words = coded.filter("bucket < 0"), coded.filter("bucket >= 0")
     counted = durable(
-        words.select("bucket", "block", "start", "words", "counts", "classes").groupBy("bucket").applyInArrow(
-            _count, "block long, start long, counts binary, tokens long, types long, mass array<struct<class:long,n:double>>"
-        ),
+        words.select("bucket", "block", "start", "words", "counts", "classes").groupBy("bucket").applyInArrow(_count, COUNTED),
         "counts",
     )
     ends = blocks.agg(F.sum("trained")).first()[0] or 0
@@ -346,13 +547,13 @@ def score_documents(docs: DataFrame, held: Column, states: int = STATES, rounds:
         share[r["class"]] = r["n"]
     share[UNKNOWN], share[END] = 1.0, ends + 1.0 if ends else 0.0
     share /= tokens + types + 1.0
-    model, _ = train(blocks, share, tokens, types, ends, states, rounds)
+    model, ratios, _ = train_words(blocks, counted, share, tokens, types, ends, states, rounds)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     ddl = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return (
-        blocks.groupBy("block").cogroup(counted.select("block", "start", "counts").groupBy("block"))
-        .applyInArrow(_score(sent), ddl)
+    answers = counted.select("block", "start", "counts", F.lit(None).cast("binary").alias("ratios")).union(
+        ratios.select("block", "start", F.lit(None).cast("binary").alias("counts"), "ratios")
     )
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(sent), ddl)
 
 
 def op1_hmm(spark, sf_dir: str) -> DataFrame:

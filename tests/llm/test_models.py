@@ -5,6 +5,7 @@ from functools import lru_cache
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from oddline.llm import hmm, language_id as li
@@ -152,6 +153,39 @@ def test_language_model(spark, sf):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_words_with_one_ending_are_told_apart(spark):
+    """Two kinds of documents whose words all end alike, so that they share one class."""
+    rng = np.random.default_rng(3)
+    data = [(i, " ".join(f"{'ab'[i % 2]}{n}-same" for n in rng.integers(0, 40, 60))) for i in range(400)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    found = hmm.score_documents(docs, F.col("doc_id") % 7 == 2).filter("held_out").collect()
+    gain = sum(r.score - r.base_score for r in found) / sum(r.n_tokens for r in found)
+    assert gain > 0.2  # half the words are ruled out: at most log10(2)
+
+
+def test_word_emissions_of_a_state_add_up(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", F.lit(False).alias("held"))
+    coded = docs.mapInArrow(hmm._code(4), hmm._DDL).cache()
+    blocks = coded.filter("bucket < 0")
+    counted = coded.filter("bucket >= 0").groupBy("bucket").applyInArrow(hmm._count, hmm.COUNTED).cache()
+    share = np.full(hmm.CELLS, 0.0)
+    sums = counted.agg(F.sum("tokens"), F.sum("types")).first()
+    ends = docs.count()
+    tokens, types = sums[0] + ends, sums[1] + 1
+    share[hmm.UNKNOWN], share[hmm.END] = 1 / (tokens + types + 1), (ends + 1) / (tokens + types + 1)
+    for r in counted.select(F.explode("mass").alias("m")).select("m.*").collect():
+        share[r["class"]] += r["n"] / (tokens + types + 1)
+    model, ratios, history = hmm.train_words(blocks, counted, share, tokens, types, ends, rounds=3)
+    assert len(history) == 3 and history == sorted(history)
+    counts = {(r.block, r.start): np.frombuffer(zstandard.decompress(r.counts), np.int64) for r in counted.collect()}
+    rows = {(r.block, r.start): hmm.stretched(r.ratios, hmm.STATES) for r in ratios.collect()}
+    assert counts.keys() == rows.keys()
+    assert len({b for b, _ in counts}) == 1  # each word once
+    total = sum(((counts[k][:, None] + 1.0) * rows[k]).sum(axis=0) for k in rows) / (tokens + types + 1) / model.norm
+    total = total + (share[[hmm.UNKNOWN, hmm.END], None] * model.ratio[[hmm.UNKNOWN, hmm.END]]).sum(axis=0)
+    np.testing.assert_allclose(total, 1.0, rtol=1e-5)
+
+
 def test_language_model_odd(odd, no_rows):
     found = {r.doc_id: r for r in hmm.score_documents(odd, F.col("doc_id") % 3 == 0, rounds=2).collect()}
     check_base(found, brute_base(rows(), lambda i: i % 3 == 0))
