@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from oddline.llm import (
-    bpe, exact_dedup, hmm, kd_shards, language_id, licenses, near_dedup, packing, warc, winnowing,
+    bpe, exact_dedup, fill_middle, hmm, kd_shards, language_id, licenses, line_dedup, near_dedup, packing, vector_codes,
+    warc, winnowing,
 )
 
 
@@ -19,9 +20,12 @@ def queries() -> dict:
         bpe.op8_bpe,
         winnowing.op9_winnowing,
         exact_dedup.op10_exact_dedup,
+        line_dedup.op11_line_dedup,
+        vector_codes.op12_vector_codes,
+        fill_middle.op13_fill_middle,
     ]
     return {f.__name__: f for f in functions}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**warc.SQL, **licenses.SQL, **exact_dedup.SQL}
+    return {**warc.SQL, **licenses.SQL, **exact_dedup.SQL, **line_dedup.SQL, **vector_codes.SQL, **fill_middle.SQL}
