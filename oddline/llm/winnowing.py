@@ -7,10 +7,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from oddline.llm.common import columns, ranked
 
 GRAM = 3  # words of a k-gram
-WINDOW_BITS = 4  # a window has 2**4 k-grams
-SHORT_BITS = 2  # a short text's 2**2
-SHORT = 128  # narrow windows below which a text is short
-PLACE_BITS = 24
+WINDOW_BITS = 2  # a window has 2**2 k-grams
+PLACE_BITS = 31  # an array has no more places
 LAST_PLACE = (1 << PLACE_BITS) - 1
 BUCKET = 256  # document ids whose neighbours are looked up together
 
@@ -20,19 +18,18 @@ def _let(value: Column, then) -> Column:
     return F.transform(F.array(value), then)[0]
 
 
-def _minima(text: Column, then) -> Column:
-    """``then(short, narrow, wide)``: whether the text is short, and its packed minima by either window.
+def packed_minima(text: Column) -> Column:
+    """The selected k-grams of a text as longs.
 
-    Packed are 39 bits of the hash, then the place counted downwards.  The smaller
+    Packed are 33 bits of the hash, then the place counted downwards.  The smaller
     of two longs is the smaller hash and, of equal hashes, the one further right.
-    Windows of 2, 4, 8 and 16 are minima of two windows of half the width, so the
-    whole text costs a few passes.  Narrow windows keep all that wide ones keep,
-    and more.
+    A window is the minima of two windows of half its width, so the whole text costs
+    a few passes.  All texts have windows of one width; one with fewer k-grams is one window.
     """
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
     def pack(value: Column, place: Column) -> Column:
-        high = F.shiftleft(F.shiftrightunsigned(value, PLACE_BITS + 1), PLACE_BITS)
+        high = F.shiftleft(F.shiftright(value, PLACE_BITS), PLACE_BITS)
         return high.bitwiseOR(F.lit(LAST_PLACE) - place.bitwiseAND(LAST_PLACE))
 
     def grams(w: Column) -> Column:
@@ -51,31 +48,10 @@ def _minima(text: Column, then) -> Column:
             F.zip_with(F.slice(m, 1, F.size(m) - step), F.slice(m, step + 1, F.size(m) - step), lambda a, b: F.least(a, b)),
         ).when(F.size(m) > 0, F.array(F.array_min(m))).otherwise(m)
 
-    def doubled(m: Column, bits: range) -> Column:
-        for bit in bits:
-            m = _let(m, double(1 << bit))
-        return m
-
-    return _let(
-        doubled(_let(words, grams), range(SHORT_BITS)),
-        lambda m: then(F.size(m) < SHORT, m, doubled(m, range(SHORT_BITS, WINDOW_BITS))),
-    )
-
-
-def packed_minima(text: Column) -> Column:
-    """The selected k-grams as longs; short texts use narrow windows to have enough to compare."""
-    return _minima(text, lambda short, narrow, wide: F.array_distinct(F.when(short, narrow).otherwise(wide)))
-
-
-def comparable(text: Column) -> Column:
-    """``minima`` as ``packed_minima``, and the ``wide`` ones of a short text, by which it is compared with others (else null)."""
-    return _minima(
-        text,
-        lambda short, narrow, wide: F.struct(
-            F.array_distinct(F.when(short, narrow).otherwise(wide)).alias("minima"),
-            F.when(short, F.array_distinct(wide)).alias("wide"),
-        ),
-    )
+    selected = _let(words, grams)
+    for bit in range(WINDOW_BITS):
+        selected = _let(selected, double(1 << bit))
+    return F.array_distinct(selected)
 
 
 def hashes_of(minima: Column) -> Column:
@@ -83,7 +59,7 @@ def hashes_of(minima: Column) -> Column:
 
 
 def places_of(minima: Column) -> Column:
-    """Word numbers of the selected k-grams (of the first 2^24 words)."""
+    """Word numbers of the selected k-grams (in order of the text)."""
     return F.transform(minima, lambda v: F.lit(LAST_PLACE) - v.bitwiseAND(LAST_PLACE))
 
 
@@ -94,27 +70,12 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(both == 0, 1.0).otherwise(common / both).cast("double")
 
 
-def hashes_by_window(found: Column) -> Column:
-    """Hashes of what ``comparable`` gives."""
-    wide = found["wide"]
-    return F.struct(hashes_of(found["minima"]).alias("own"), F.when(wide.isNotNull(), hashes_of(wide)).alias("wide"))
-
-
-def likeness_by_window(a: Column, b: Column) -> Column:
-    """``likeness`` by the wider of the windows of two texts, as given by ``hashes_by_window``."""
-    both_short = a["wide"].isNotNull() & b["wide"].isNotNull()
-    return F.when(both_short, likeness(a["own"], b["own"])).otherwise(
-        likeness(F.coalesce(a["wide"], a["own"]), F.coalesce(b["wide"], b["own"]))
-    )
-
-
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id, fingerprint`` with ``hash`` and ``place`` of every selected k-gram.
 
-    Words are runs of letters and digits, lower-cased.  Of every 16 consecutive
-    k-grams of three words (every 4 in a text of up to 130) the smallest hash is kept, the
-    rightmost of equal ones, so texts with 18 common words in a row share at least
-    one.  Fewer k-grams than a window are one window; fewer than three words are
+    Words are runs of letters and digits, lower-cased.  Of every 4 consecutive
+    k-grams of three words the smallest hash is kept, the rightmost of equal ones, so
+    texts with 6 common words in a row share at least one.  Fewer k-grams than a window are one window; fewer than three words are
     one k-gram; no words (also a null text) give an empty list.
     """
     minima = columns(docs, "doc_id", "text").select("doc_id", packed_minima(F.col("text")).alias("m"))
@@ -145,12 +106,12 @@ def with_next(docs: DataFrame) -> DataFrame:
         order.select("_bucket", F.pmod(F.col("_rank") - 1, F.lit(n)).alias("_rank")), "_rank"
     )
     sent = heads.join(receivers, "_bucket").select(
-        F.col("_to").alias("_bucket"), "_head", hashes_by_window(comparable(F.col("_head"))).alias("_head_hashes")
+        F.col("_to").alias("_bucket"), "_head", hashes_of(packed_minima(F.col("_head"))).alias("_head_hashes")
     )
     window = Window.partitionBy("_bucket").orderBy(F.desc_nulls_last("doc_id"), "_tie")
-    own = placed.withColumn("_own", comparable(F.col("text")))
+    own = placed.withColumn("_own", packed_minima(F.col("text")))
     led = own.withColumn("_next", F.lead("text").over(window)).withColumn(
-        "_next_hashes", F.lead(hashes_by_window(F.col("_own"))).over(window)
+        "_next_hashes", F.lead(hashes_of(F.col("_own"))).over(window)
     )
     return led.join(sent, "_bucket").select(
         "doc_id", "text", F.col("_own").alias("found"),
@@ -168,7 +129,8 @@ def compare_edited(docs: DataFrame) -> DataFrame:
 
     Takes ``doc_id`` and ``text`` (null: empty).  In the edited text the last third
     of the code points is replaced by as many from the start of the next document.
-    Two texts are compared by the minima of the wider of their two windows.
+    ``near_edited`` is the likeness of the two fingerprints returned, ``near_next`` that
+    of ``fingerprint`` and the next document's: the hashes of both, without the places.
     """
     n = F.char_length("text")
     third = F.floor(n / 3).cast("int")
@@ -177,16 +139,14 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     )
     both = edited.select(
         "doc_id", n.cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "found",
-        comparable(F.col("edited")).alias("edited_found"), "next_hashes",
-    )
-    hashed = both.withColumn("_a", hashes_by_window(F.col("found"))).withColumn(
-        "_b", hashes_by_window(F.col("edited_found"))
+        packed_minima(F.col("edited")).alias("edited_found"), "next_hashes",
     )
+    hashed = both.withColumn("_a", hashes_of(F.col("found"))).withColumn("_b", hashes_of(F.col("edited_found")))
     return hashed.select(
-        "doc_id", "n_chars", "edited_sha256", _written(F.col("found.minima")).alias("fingerprint"),
-        _written(F.col("edited_found.minima")).alias("edited_fingerprint"),
-        likeness_by_window(F.col("_a"), F.col("_b")).alias("near_edited"),
-        likeness_by_window(F.col("_a"), F.col("next_hashes")).alias("near_next"),
+        "doc_id", "n_chars", "edited_sha256", _written(F.col("found")).alias("fingerprint"),
+        _written(F.col("edited_found")).alias("edited_fingerprint"),
+        likeness(F.col("_a"), F.col("_b")).alias("near_edited"),
+        likeness(F.col("_a"), F.col("next_hashes")).alias("near_next"),
     )
 
 

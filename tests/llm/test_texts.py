@@ -339,7 +339,7 @@ def test_windows(spark, n):
     docs = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
     grams = spark.createDataFrame([(i, *words[i : i + 3]) for i in range(n - 2)] or [(0, *(words + [None] * 3)[:3])],
                                   "i int, a string, b string, c string")
-    hashes = [r[0] for r in grams.orderBy("i").select(F.shiftrightunsigned(F.xxhash64("a", "b", "c"), 25)).collect()]
+    hashes = [r[0] for r in grams.orderBy("i").select(F.shiftright(F.xxhash64("a", "b", "c"), 31)).collect()]
     found = w.fingerprints(docs).first().fingerprint
     places = [r.place for r in found]
     if n == 0:
@@ -347,8 +347,7 @@ def test_windows(spark, n):
     elif n < 3:
         assert places == [0]
     else:
-        width = 4 if len(hashes) - 3 < w.SHORT else 16
-        assert places == brute_selected(hashes, width)
+        assert places == brute_selected(hashes, 4)
         assert [r.hash for r in found] == [hashes[p] for p in places]
 
 
@@ -363,13 +362,35 @@ def test_near_copies_are_alike_at_every_length(spark, n, more):
     assert sum(near) / len(near) > 0.85 and min(near) > 0.6
 
 
-@pytest.mark.parametrize("n", [133, 134, 135, 136, 137, 138])
-def test_there_are_two_widths(spark, n):
-    """Up to 130 k-grams windows hold 4, from there on 16."""
+@pytest.mark.parametrize("n", [20, 130, 135, 400])
+def test_there_is_one_width(spark, n):
+    """The gaps between selected places are those of one window at every length."""
     docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(n)))], "doc_id long, text string")
-    found = w.fingerprints(docs).first().fingerprint
-    places = np.array([r.place for r in found])
-    assert np.diff(places).max() > 4 and len(places) < n / 5
+    places = [r.place for r in w.fingerprints(docs).first().fingerprint]
+    assert max(np.diff([-1, *places, n - 2])) <= 4 and len(places) > n / 4
+
+
+def hashes_in(fingerprint):
+    """The hashes that a printed fingerprint holds."""
+    longs = [int(fingerprint[i : i + 16], 16) for i in range(0, len(fingerprint), 16)]
+    return {x >> 31 for x in longs}
+
+
+def brute_likeness(a, b):
+    a, b = hashes_in(a), hashes_in(b)
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def check_likeness(found):
+    """``near_*`` are those of the fingerprints returned."""
+    order = sorted(found, reverse=True)
+    for i, n in zip(order, order[1:] + order[:1]):
+        assert found[i].near_edited == brute_likeness(found[i].fingerprint, found[i].edited_fingerprint)
+        assert found[i].near_next == brute_likeness(found[i].fingerprint, found[n].fingerprint)
+
+
+def test_likeness_on_the_tables(spark, sf):
+    check_likeness({r.doc_id: r for r in w.op9_winnowing(spark, sf).collect()})
 
 
 def test_edited(odd, no_rows):
@@ -384,6 +405,7 @@ def test_edited(odd, no_rows):
         assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
         assert (r.fingerprint == r.edited_fingerprint) or edited != t
+    check_likeness(found)
     prints = collections.defaultdict(set)
     for i, t in texts.items():
         prints[t].add(found[i].fingerprint)
