@@ -442,11 +442,10 @@ def links_between(facts: DataFrame, rule: Rule, keep_all: bool = False) -> DataF
     smallest document takes part.
     """
     possible = facts.filter("text IS NOT NULL")
-    heads = possible.groupBy("set_key").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    docs = durable(
-        possible.join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "text"),
-        "possible",
-    )
+    heads = possible.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"))
+    held = possible.join(heads, ["doc_id", "set_key"], "left_semi").dropDuplicates(["doc_id", "set_key"])
+    # An id may be that of several texts; each takes part, told apart by its set.
+    docs = durable(held.select("doc_id", F.xxhash64("set_key").alias("_set"), "n_shingles", "text"), "possible")
     buckets = 4 * partitions(facts)
     packed = docs.select("doc_id", "text").mapInArrow(
         _packed_signatures(rule, buckets), "bucket long, sig binary, doc binary, count binary"
@@ -454,7 +453,7 @@ def links_between(facts: DataFrame, rule: Rule, keep_all: bool = False) -> DataF
     met = durable(packed.groupBy("bucket").applyInArrow(_meet, "a long, b long").distinct(), "met")
     clusters = components(met).withColumnRenamed("node", "doc_id")
     members = durable(
-        clusters.join(docs.select("doc_id", F.col("n_shingles").alias("n")), "doc_id"), "members"
+        clusters.join(docs.select("doc_id", "_set", F.col("n_shingles").alias("n")), "doc_id"), "members"
     )
     # A large cluster is cut by size class and hash into blocks; blocks of one or of
     # adjacent classes are compared, so every link is met once.
@@ -483,15 +482,15 @@ def links_between(facts: DataFrame, rule: Rule, keep_all: bool = False) -> DataF
                                    task.alias("task"), (~same).alias("cross"), F.lit(1).alias("side")))
     total = cut.agg(F.sum("_rows")).first()[0] or 0
     dealt = hot_lookup(classed, cut, ["component", "_class"], "_rows", total, ["doc_id"]).withColumn(
-        "_block", F.pmod(F.xxhash64("doc_id"), F.col("_blocks"))
+        "_block", F.pmod(F.xxhash64("doc_id", "_set"), F.col("_blocks"))
     )
-    wide = dealt.join(sides, ["component", "_class", "_block"]).select("doc_id", "component", "task", "cross", "side")
+    wide = dealt.join(sides, ["component", "_class", "_block"]).select("doc_id", "_set", "component", "task", "cross", "side")
     small = members.join(large, "component", "left_anti").select(
-        "doc_id", "component", F.pmod(F.xxhash64("component"), F.lit(16 * buckets)).alias("task"),
+        "doc_id", "_set", "component", F.pmod(F.xxhash64("component"), F.lit(16 * buckets)).alias("task"),
         F.lit(False).alias("cross"), F.lit(0).alias("side"),
     )
     placed = durable(small.union(wide).withColumnRenamed("component", "cluster"), "placed")
-    with_text = placed.join(docs.select("doc_id", "text"), "doc_id")
+    with_text = placed.join(docs.select("doc_id", "_set", "text"), ["doc_id", "_set"]).drop("_set")
     return with_text.groupBy("task", "cross").applyInArrow(_search(rule, keep_all), "a long, b long")
 
 

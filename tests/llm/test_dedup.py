@@ -128,6 +128,18 @@ def test_size_classes():
                 assert nd.size_class(m, percent) - nd.size_class(n, percent) in (0, 1)
 
 
+@pytest.mark.parametrize("order", [1, -1])
+def test_texts_of_one_id_keep_their_links(spark, order):
+    """Two texts share the id 5; each has a near copy, and both copies find it."""
+    a, b = (" ".join(f"{s}{i}" for i in range(60)) for s in "ab")
+    data = [(5, a), (5, b), (9, a + " more"), (10, b + " more"), (11, "alone")][::order]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    found = {(r.doc_id, r.component_id) for r in nd.near_dedup(docs).collect()}
+    assert found == {(5, 5), (9, 5), (10, 5), (11, 11)}
+    kept = nd.near_stage(spark, docs, "").collect()
+    assert {(r.doc_id, r.text) for r in kept} == {(5, a), (5, b), (11, "alone")}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (200, 201)]
     found = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
