@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from oddline.session import durable
 
+HOT_ROWS = 1_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -31,11 +32,11 @@ def hot_lookup(
 ) -> DataFrame:
     """Join ``left`` to ``right``, which has one row per key and in ``rows`` its number of left rows.
 
-    A key with more than a thousandth of all ``total`` rows is cut into that many
-    salted sub-keys.  There are fewer than a thousand such keys, at any size, so
-    their list can be broadcast.
+    A key with more than a thousandth of all ``total`` rows, or more than ``HOT_ROWS``,
+    is cut into salted sub-keys of at most so many.  Up to 10^9 rows there are fewer
+    than a thousand such keys, at 10^11 fewer than 100,000, so their list can be broadcast.
     """
-    share = max(total // 1000, 1)
+    share = max(min(total // 1000, HOT_ROWS), 1)
     heavy = right.filter(F.col(rows) > share).select(*on, F.ceil(F.col(rows) / share).alias("_salts"))
     salted = left.join(F.broadcast(heavy), on, "left").withColumn(
         "_salt", F.pmod(F.xxhash64(*spread), F.coalesce("_salts", F.lit(1)))
