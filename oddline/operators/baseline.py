@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from oddline import fixed_values as fv
 from oddline.functions import scoring
-from oddline.operators.knn import CellIndex, Neighbors, knn
+from oddline.operators.knn import CellIndex, Neighbors, fits, knn, neighbor_columns
 from oddline.operators.quantile import exact_percentile
 from oddline.session import durable
 
@@ -52,6 +52,35 @@ def neighbor_arrays(neighbors: Neighbors) -> DataFrame:
     )
 
 
+def neighbor_lists(
+    rows: DataFrame, index: CellIndex, k: int, id_col: str = "seq", vec_col: str = "embedding", probes: int | None = None
+) -> DataFrame:
+    """``(id_col, nearest_neighbors, distances)`` of every row; null lists for a row without vector.
+
+    Over a corpus that fits a task the rows stay where they are; else they are searched by :func:`knn`.
+    """
+    rows = rows.select(id_col, vec_col)
+    if fits(index):
+        return neighbor_columns(rows, index, k, vec_col, probes).drop(vec_col)
+    neighbors = knn(rows, index, k, id_col, vec_col, probes)
+    found = neighbors.expand(neighbor_arrays(neighbors)).withColumnRenamed("query_id", id_col)
+    return rows.select(id_col).join(found, id_col, "left")
+
+
+def self_distances(
+    corpus: DataFrame, index: CellIndex, k: int, id_col: str, vec_col: str = "embedding", probes: int | None = None,
+    skip_self_by_rank: bool = False,
+) -> DataFrame:
+    """``(mean_distance, n)`` of a self-search, as :func:`baseline_distances` has it; a corpus that fits moves no row."""
+    if not fits(index):
+        neighbors = knn(corpus, index, k + 1, id_col, vec_col, probes)
+        return baseline_distances(neighbors, skip_self_by_rank).select("mean_distance", "n")
+    lists = neighbor_lists(corpus, index, k + 1, id_col, vec_col, probes)
+    kept = F.slice("distances", 2, k) if skip_self_by_rank else F.filter("distances", lambda d: d > 0)
+    means = lists.select(scoring.stable(scoring.mean_valid(kept)).alias("mean_distance"), F.lit(1).alias("n"))
+    return means.filter("mean_distance IS NOT NULL")
+
+
 def baseline_distances(neighbors: Neighbors, skip_self_by_rank: bool = False) -> DataFrame:
     """``(vec_key, n, mean_distance)`` of a self-search with k + 1 neighbours.
 
@@ -83,8 +112,7 @@ def fit_baseline(
     probes: int | None = None,
 ) -> Baseline:
     """Threshold, mean and deviation from the corpus' own distances."""
-    neighbors = knn(corpus, index, k + 1, id_col, probes=probes)
-    means = durable(baseline_distances(neighbors), "baseline")
+    means = durable(self_distances(corpus, index, k, id_col, probes=probes), "baseline")
     threshold = exact_percentile(means, "mean_distance", percentile / 100.0, "n")
     mean, std = weighted_moments(means, "mean_distance", "n")
     return Baseline(threshold, mean, std)

@@ -1,11 +1,12 @@
-"""k-nearest-neighbour joins, exact and cell-pruned.
+"""k-nearest-neighbour joins over a stored corpus, exact and cell-pruned.
 
-The corpus is split into cells around pivots.  A query visits a cell only if the
-cell can hold one of its k nearest rows (exact), or if the cell is among the
-nearest ones (approximate).  Cells and the queries that visit them are cut into
-blocks of bounded size; one task compares one query block with one corpus block
-and keeps only the k best per query.  So no pair of rows is ever shuffled, no
-side is broadcast, and a hot cell is many blocks.
+The corpus lies in packed blocks (:mod:`oddline.operators.cells`).  A query visits a
+cell only if the cell can hold one of its k nearest rows (exact), or if the cell is
+among the nearest ones (approximate).  The blocks are read where they are stored:
+queries whose vectors fit ``SENT_BYTES`` are sent to the tasks that read blocks; a
+corpus that fits is sent to the tasks that read queries; else queries are shuffled to
+the blocks' buckets.  In no case is a vector of the corpus or a pair of rows shuffled,
+and each block gives only the k best per query.
 
 Equal vectors are handled before any distance is computed: on the query side
 they are searched once, on the corpus side only the first k ids of a group of
@@ -15,45 +16,30 @@ copies can be among the k nearest, because ties are ordered by id.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
-from math import ceil
+from contextlib import contextmanager
+from dataclasses import dataclass
+from functools import reduce
+from uuid import uuid4
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import DataType
 
 from oddline import fixed_values as fv
+from oddline.operators.cells import (  # noqa: F401  (the index is a part of the search's interface)
+    BLOCK_BYTES, MATRIX_VALUES, METRICS, CellIndex, as_euclidean, build_index, cells_to_visit, digest, extend,
+    kmeans_index, load_index, route, save_index, stack, unpacked,
+)
 from oddline.operators.skew import first_per_group, salted_lookup
 from oddline.session import durable
 
-METRICS = ("squared_l2", "euclidean", "inner_product")
-CELL_ROWS = 16_384
-# Every task that routes holds the pivots; the driver picks them.
-PIVOT_BYTES = 64 * 2**20
-BLOCK_BYTES = 48 * 2**20  # vectors of one side of a block, in double precision
-MATRIX_VALUES = 4_000_000
+SENT_BYTES = 64 * 2**20  # vectors and block lists of the queries that tasks hold whole
+WAVES = 16  # tasks that the queries of one block are spread over at most
 # Distances this close are ties and are ordered by id.
 TIE_DECIMALS = 9
 
 
-@dataclass(frozen=True)
-class CellIndex:
-    """A corpus with cells: ``rows(id, vec, cell)`` and the pivots of all cells."""
-
-    rows: DataFrame
-    pivots: np.ndarray
-    counts: np.ndarray  # rows per cell
-    reach: np.ndarray  # per cell, distances of the rows nearest to the pivot, padded with inf
-    radius: np.ndarray  # per cell, distance of the farthest row
-    metric: str
-    copies: int  # at most so many equal vectors are kept
-
-    @property
-    def size(self) -> int:
-        return int(self.counts.sum())
-
-
 @dataclass(frozen=True)
 class Neighbors:
     """Neighbours per distinct query vector, and who has that vector."""
@@ -81,151 +67,7 @@ class Neighbors:
         return self.expand(packed).select("query_id", F.inline("nn"))
 
 
-def stack(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(np.float64)
-
-
-# --- index ---------------------------------------------------------------------
-
-
-def build_index(
-    corpus: DataFrame,
-    k: int,
-    metric: str = "squared_l2",
-    id_col: str = "id",
-    vec_col: str = "embedding",
-    cells: int | None = None,
-    pivots: np.ndarray | None = None,
-    cell_rows: int = CELL_ROWS,
-) -> CellIndex:
-    """Split ``corpus`` into cells; the index serves searches for up to ``k`` rows.
-
-    ``corpus`` should be a stored table: it is counted first.
-    ``pivots`` are given (for example cluster centres) or picked by a hash of
-    the id, one for every ``cell_rows`` rows as far as they fit ``PIVOT_BYTES``;
-    beyond that cells grow, which costs time only, as they are cut into blocks.
-    A corpus that fits one cell skips the assignment.
-    """
-    if metric not in METRICS:
-        raise ValueError(f"metric must be one of {METRICS}")
-    spark = corpus.sparkSession
-    vectors = corpus.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec")).filter(
-        F.col("vec").isNotNull()
-    )
-    copies = first_per_group(vectors, [F.xxhash64("vec"), "vec"], ["id"], k, "_copy")
-    kept = copies.drop("_copy")
-    size = vectors.count()
-    if pivots is None:
-        wanted = cells or size // cell_rows
-        pivots = np.zeros((1, 0))
-        if wanted > 1:
-            pivots = _pick_pivots(copies.filter("_copy = 1"), wanted)
-    if len(pivots) <= 1:
-        return CellIndex(
-            kept.withColumn("cell", F.lit(0)), np.zeros((1, 0)), np.array([size]),
-            np.full((1, k), np.inf), np.array([np.inf]), metric, k,
-        )
-    assigned = durable(_assign(spark, kept, pivots), "knn-cells")
-    nearest = first_per_group(assigned.select("cell", "offset"), ["cell"], ["offset"], k)
-    reach = np.full((len(pivots), k), np.inf)
-    for row in nearest.collect():  # cells * k numbers
-        reach[row["cell"], row["rank"] - 1] = row["offset"]
-    counts = np.zeros(len(pivots), dtype=int)
-    radius = np.zeros(len(pivots))
-    for row in assigned.groupBy("cell").agg(F.count("*").alias("n"), F.max("offset").alias("r")).collect():
-        counts[row["cell"]], radius[row["cell"]] = row["n"], row["r"]
-    return CellIndex(
-        assigned.drop("offset"), pivots, counts, reach, radius, metric, k
-    )
-
-
-def _pick_pivots(different: DataFrame, wanted: int) -> np.ndarray:
-    """Up to ``wanted`` of the ``different`` vectors, by a hash of the id, in ``PIVOT_BYTES``."""
-    widest = different.agg(F.max(F.size("vec"))).first()[0] or 1
-    order = [F.xxhash64("id", F.lit(17)), "id"]
-    rows = different.orderBy(*order).limit(max(1, min(wanted, PIVOT_BYTES // (8 * widest))))
-    return stack(rows.select("vec").toPandas()["vec"])
-
-
-def _pivot_distances(q: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    squares = (q * q).sum(1)[:, None] + (pivots * pivots).sum(1)[None, :] - 2.0 * (q @ pivots.T)
-    return np.sqrt(np.maximum(squares, 0.0))
-
-
-def _slack(q: np.ndarray, pivots: np.ndarray) -> float:
-    """More than the rounding error of a distance to a pivot."""
-    scale = float((q * q).sum(1).max(initial=0.0) + (pivots * pivots).sum(1).max())
-    return 1e-6 * np.sqrt(scale) + 1e-9
-
-
-def _assign(spark: SparkSession, rows: DataFrame, pivots: np.ndarray) -> DataFrame:
-    shared = spark.sparkContext.broadcast(pivots)  # one vector per cell
-
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                d = _pivot_distances(stack(pdf["vec"]), shared.value)
-                pdf["cell"] = d.argmin(1).astype(np.int32)
-                pdf["offset"] = d.min(1)
-                yield pdf
-
-    id_type, vec_type = rows.schema["id"].dataType, rows.schema["vec"].dataType
-    return rows.mapInPandas(
-        nearest,
-        f"id {id_type.simpleString()}, vec {vec_type.simpleString()}, cell int, offset double",
-    )
-
-
-# --- routing ---------------------------------------------------------------------
-
-
-def _route(queries: DataFrame, index: CellIndex, k: int, probes: int | None) -> DataFrame:
-    """Add ``cells``: the cells each query has to visit."""
-    if index.pivots.shape[1] == 0:
-        return queries.withColumn("cells", F.array(F.lit(0)))
-    shared = queries.sparkSession.sparkContext.broadcast(
-        (index.pivots, index.counts, index.reach[:, :k], index.radius, index.metric)
-    )
-
-    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pivots, counts, reach, radius, metric = shared.value
-        full = counts > 0
-        step = max(1, MATRIX_VALUES // reach.size)
-        for pdf in batches:
-            cells: list[np.ndarray] = []
-            for start in range(0, len(pdf), step):
-                q = stack(pdf["vec"].iloc[start : start + step])
-                cells += _cells_to_visit(q, pivots, full, reach, radius, metric, probes)
-            if len(pdf):
-                yield pdf.assign(cells=cells)
-
-    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in queries.schema)
-    return queries.mapInPandas(visit, f"{types}, cells array<int>")
-
-
-def _cells_to_visit(q, pivots, full, reach, radius, metric, probes) -> list[np.ndarray]:
-    d = _pivot_distances(q, pivots)
-    d[:, ~full] = np.inf
-    if probes is not None:  # nearest cells by L2, also for the inner product
-        wanted = min(probes, int(full.sum()))
-        return list(np.argsort(d, axis=1, kind="stable")[:, :wanted].astype(np.int32))
-    slack = _slack(q, pivots)
-    if metric == "inner_product":
-        # Cost = minus the product; it changes by at most |q| per unit of distance.
-        base = -(q @ pivots.T)
-        base[:, ~full] = np.inf
-        step = np.sqrt((q * q).sum(1))[:, None]
-    else:
-        base, step = d, np.ones((len(q), 1))
-    k = reach.shape[1]
-    worst = (base[:, :, None] + step[:, :, None] * reach[None, :, :]).reshape(len(q), -1)
-    bound = np.partition(worst, k - 1, axis=1)[:, k - 1 : k]
-    best = base - step * radius[None, :]
-    visited = (best <= bound + slack * (1.0 + step)) & full[None, :]
-    return [np.flatnonzero(row).astype(np.int32) for row in visited]
-
-
-# --- search ---------------------------------------------------------------------
+# --- one block ---------------------------------------------------------------------
 
 
 def _nearest_in_block(
@@ -312,6 +154,9 @@ def _kth_bound(cost: np.ndarray, k: int, groups: int = 256) -> np.ndarray:
     return np.partition(minima, k - 1, axis=1)[:, k - 1]
 
 
+# --- search ------------------------------------------------------------------------
+
+
 def knn(
     queries: DataFrame,
     index: CellIndex,
@@ -319,90 +164,46 @@ def knn(
     id_col: str = "query_id",
     vec_col: str = "embedding",
     probes: int | None = None,
-    block_rows: int | None = None,
+    sent_bytes: int = SENT_BYTES,
+    block_queries: int | None = None,
 ) -> Neighbors:
     """The ``k`` nearest corpus rows of every query.
 
     Query ids must be unique; ``queries`` should be a stored table, as queries
     with equal vectors are looked up in it again.  Exact unless ``probes`` limits the
     search to that many nearest cells.  A corpus of fewer than ``k`` rows gives what it
-    has; ``k=0`` means the default.  A side of a block holds ``block_rows`` rows, by
-    default as many as fit ``BLOCK_BYTES``.
+    has; ``k=0`` means the default.  ``sent_bytes`` and ``block_queries`` (queries that meet
+    a block at once) change the way, not the result.
     """
     k = k or fv.K_NEIGHBORS
     if k > index.copies:
         raise ValueError(f"the index was built for k <= {index.copies}")
-    spark = queries.sparkSession
     queries = queries.select(F.col(id_col).alias("query_id"), F.col(vec_col).alias("vec")).filter(
         F.col("vec").isNotNull()
     )
-    grouped = queries.groupBy("vec").agg(
-        F.min("query_id").alias("vec_key"), F.count(F.lit(1)).alias("n")
+    grouped = queries.groupBy(*digest()).agg(
+        F.min("query_id").alias("vec_key"), F.first("vec").alias("vec"), F.count(F.lit(1)).alias("n")
     )
-    routed = durable(_route(grouped, index, k, probes), "knn-routed")
-    if block_rows is None:
-        widest = routed.agg(F.max(F.size("vec"))).first()[0] or 1
-        block_rows = max(1, BLOCK_BYTES // (8 * widest))
-    visits = np.zeros(len(index.counts), dtype=int)
-    most = 0
-    for row in (
-        routed.select("n", F.explode("cells").alias("cell"))
-        .groupBy("cell")
-        .agg(F.count(F.lit(1)).alias("visits"), F.max("n").alias("most"))
-        .collect()  # one row per cell
-    ):
-        visits[row["cell"]], most = row["visits"], max(most, row["most"])
-    unique = most <= 1
+    routed = durable(route(grouped, index, k, probes), "knn-routed")
+    size = routed.agg(
+        F.count(F.lit(1)).alias("rows"), F.max("n").alias("most"), F.max(F.size("vec")).alias("width"),
+        F.sum(8 * F.size("vec") + 4 * F.size("blocks")).alias("bytes"),
+    ).first()
+    unique = (size["most"] or 0) <= 1
     members = None
     if not unique:
         # Looked up by a 128-bit digest: the vectors themselves stay where they are.
-        digest = [F.xxhash64("vec").alias("_h1"), F.xxhash64(F.lit(1), "vec").alias("_h2")]
         members = salted_lookup(
-            queries.select("query_id", *digest), routed.select("vec_key", *digest),
+            queries.select("query_id", *digest()), routed.select("vec_key", "_h1", "_h2"),
             ["_h1", "_h2"], "inner", ["query_id"],
         ).drop("_h1", "_h2")
-    cuts = _cuts(index, visits, block_rows, spark.sparkContext.defaultParallelism)
-    # A fixed number of partitions: the blocks are small but take long, so they
-    # must not be merged by their size, and few should meet in one partition.
-    blocks = sum(query_blocks * corpus_blocks for _, query_blocks, corpus_blocks in cuts)
-    partitions = 4 * max(blocks, 1)
-    block = ["cell", "query_block", "corpus_block"]
-    query_side = _with_cuts(
-        routed.select("vec_key", "vec", F.explode("cells").alias("cell")), cuts
-    ).select(
-        "cell",
-        F.pmod(F.xxhash64("vec_key"), "query_blocks").cast("int").alias("query_block"),
-        F.explode(F.sequence(F.lit(0), F.col("corpus_blocks") - 1)).alias("corpus_block"),
-        "vec_key",
-        "vec",
-    )
-    corpus_side = _with_cuts(index.rows, cuts).select(
-        "cell",
-        F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("query_block"),
-        F.pmod(F.xxhash64("id", "vec"), "corpus_blocks").cast("int").alias("corpus_block"),
-        "id",
-        "vec",
-    )
-    metric = index.metric
-
-    def search(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(c):
-            return pd.DataFrame({"vec_key": [], "neighbor_id": [], "distance": []})
-        return _nearest_in_block(
-            q["vec_key"].to_numpy(), stack(q["vec"]), c["id"].to_numpy(), stack(c["vec"]), k, metric
-        )
-
-    key_type = _type(queries, "query_id")
-    found = (
-        query_side.repartition(partitions, *block)
-        .groupBy(*block)
-        .cogroup(corpus_side.repartition(partitions, *block).groupBy(*block))
-        .applyInPandas(
-            search,
-            f"vec_key {key_type}, neighbor_id {_type(index.rows, 'id')}, distance double",
-        )
-    )
-    sign = -1 if metric == "inner_product" else 1
+    if (size["bytes"] or 0) <= sent_bytes:
+        found = _sent(routed, index, k)
+    elif index.size * 8 * index.width <= sent_bytes:
+        found = _corpus_sent(routed, index, k)
+    else:
+        found = _shuffled(routed, index, k, block_queries or max(1, BLOCK_BYTES // (8 * size["width"])))
+    sign = -1 if index.metric == "inner_product" else 1
     ranked = first_per_group(
         found,
         ["vec_key"],
@@ -414,89 +215,199 @@ def knn(
     return Neighbors(rows, members, routed.select("vec_key", "n"), unique)
 
 
-def _cuts(index: CellIndex, visits: np.ndarray, block_rows: int, parallelism: int) -> list[tuple]:
-    """Blocks per cell: bounded blocks, and enough of them to keep all cores busy."""
-    live = [c for c in range(len(visits)) if visits[c] and index.counts[c]]
-    corpus_blocks = {c: ceil(index.counts[c] / block_rows) for c in live}
-    spread = ceil(3 * parallelism / max(1, sum(corpus_blocks.values())))
-    return [
-        (
-            int(c),
-            int(max(ceil(visits[c] / block_rows), min(spread, ceil(visits[c] / 64)))),
-            int(corpus_blocks[c]),
-        )
-        for c in live
-    ]
-
-
-def _with_cuts(rows: DataFrame, cuts: list[tuple]) -> DataFrame:
-    """Add the number of blocks of each row's cell (one row per cell to look up)."""
-    if len(cuts) == 1:
-        cell, query_blocks, corpus_blocks = cuts[0]
-        return rows.filter(F.col("cell") == cell).withColumns(
-            {"query_blocks": F.lit(query_blocks), "corpus_blocks": F.lit(corpus_blocks)}
-        )
-    plan = rows.sparkSession.createDataFrame(
-        cuts, "cell int, query_blocks int, corpus_blocks int"
-    )
-    return rows.join(F.broadcast(plan), "cell")
-
-
-def _type(df: DataFrame, column: str) -> str:
-    data_type: DataType = df.schema[column].dataType
-    return data_type.simpleString()
-
+def _found_schema(routed: DataFrame, index: CellIndex) -> str:
+    return f"vec_key {routed.schema['vec_key'].dataType.simpleString()}, neighbor_id {index.id_type}, distance double"
+
+
+def _sent(routed: DataFrame, index: CellIndex, k: int) -> DataFrame:
+    """Search where every task that reads blocks holds the queries, ``SENT_BYTES`` at most."""
+    held = routed.select("vec_key", "vec", "blocks").toPandas()
+    lists = [np.asarray(b, np.int32) for b in held["blocks"]]
+    block = np.concatenate(lists) if lists else np.zeros(0, np.int32)
+    row = np.repeat(np.arange(len(lists), dtype=np.int32), [len(b) for b in lists])
+    order = np.argsort(block, kind="stable")
+    block, row = block[order], row[order]
+    named, starts = np.unique(block, return_index=True)
+    asked = dict(zip(named.tolist(), np.split(row, starts[1:]))) if len(named) else {}
+    vectors = stack(held["vec"]) if len(held) else np.zeros((0, 1))
+    shared = index.spark.sparkContext.broadcast((held["vec_key"].to_numpy(), vectors, asked))
+    metric, kind = index.metric, index.kind
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, q, wanted = shared.value
+        best = None
+        for batch in batches:
+            for number, ids, c in unpacked(batch, kind):
+                rows = wanted.get(number)
+                if rows is None:
+                    continue
+                found = _nearest_in_block(rows, q[rows], ids, c, k, metric)
+                best = _best(found if best is None else pd.concat([best, found], ignore_index=True), k, metric)
+        if best is not None:
+            best["vec_key"] = keys[best["vec_key"].to_numpy()]
+            yield pa.RecordBatch.from_pandas(best, preserve_index=False)
+
+    blocks = index.blocks.select("block", "ids", "vecs")
+    if len(named) <= 1000:  # else nearly every file has one that is asked for
+        blocks = blocks.filter(F.col("block").isin(named.tolist()))
+    return blocks.mapInArrow(search, _found_schema(routed, index))
+
+
+def _best(found: pd.DataFrame, k: int, metric: str) -> pd.DataFrame:
+    """The ``k`` best rows of each query; ties go by id."""
+    at = found["vec_key"].to_numpy()
+    cost = np.round(found["distance"].to_numpy() * (-1 if metric == "inner_product" else 1), TIE_DECIMALS)
+    ids = found["neighbor_id"].to_numpy()
+    by_id = np.argsort(ids, kind="stable")
+    rank = np.empty(len(ids), np.int64)
+    rank[by_id] = np.arange(len(ids))
+    order = np.lexsort((rank, cost, at))
+    sorted_at = at[order]
+    first = np.searchsorted(sorted_at, sorted_at)
+    return found.iloc[order[np.arange(len(order)) - first < k]].reset_index(drop=True)
 
-def kmeans_index(
-    corpus: DataFrame,
-    k: int,
-    cells: int = fv.IVF_CELLS,
-    metric: str = "squared_l2",
-    id_col: str = "id",
-    vec_col: str = "embedding",
-    seed: int = 42,
-    iterations: int = 10,
-) -> CellIndex:
-    """Cells around k-means centres of all rows, for searches that probe a few cells."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    vectors = corpus.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec")).filter(
-        F.col("vec").isNotNull()
-    )
-    features = vectors.select(array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
-    model = KMeans(k=cells, seed=seed, maxIter=iterations).fit(features)
-    return build_index(
-        corpus, k, metric, id_col, vec_col, pivots=np.array(model.clusterCenters())
-    )
 
+def _corpus_sent(routed: DataFrame, index: CellIndex, k: int) -> DataFrame:
+    """Search where the tasks that read queries hold the corpus, ``SENT_BYTES`` at most."""
+    metric, shared = index.metric, index.sent()
 
-def save_index(index: CellIndex, path: str) -> None:
-    """The rows with their cells, and one row of numbers per cell."""
-    spark = index.rows.sparkSession
-    index.rows.write.parquet(f"{path}/rows")
-    cells = [
-        (i, pivot.tolist(), int(n), reach.tolist(), float(r), index.metric, index.copies)
-        for i, (pivot, n, reach, r) in enumerate(
-            zip(index.pivots, index.counts, index.reach, index.radius)
-        )
-    ]
-    spark.createDataFrame(cells, CELL_SCHEMA).coalesce(1).write.parquet(f"{path}/cells")
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            keys, q, best = pdf["vec_key"].to_numpy(), stack(pdf["vec"]), None
+            at = np.repeat(np.arange(len(pdf)), [len(b) for b in pdf["blocks"]])
+            asked = np.concatenate(pdf["blocks"].to_list())
+            for number, ids, c in shared.value:
+                rows = at[asked == number]
+                if len(rows):
+                    found = _nearest_in_block(rows, q[rows], ids, c, k, metric)
+                    best = _best(found if best is None else pd.concat([best, found], ignore_index=True), k, metric)
+            if best is not None:
+                yield best.assign(vec_key=keys[best["vec_key"].to_numpy()])
+
+    return routed.select("vec_key", "vec", "blocks").mapInPandas(search, _found_schema(routed, index))
+
+
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
 
 
-CELL_SCHEMA = (
-    "cell int, pivot array<double>, n long, reach array<double>, radius double, metric string, copies int"
-)
+def fits(index: CellIndex, sent_bytes: int = SENT_BYTES) -> bool:
+    """Whether a task can hold the whole corpus, by its size in double precision, and its cells."""
+    return index.cells is None and index.size * 8 * index.width <= sent_bytes
 
 
-def load_index(spark: SparkSession, path: str) -> CellIndex:
-    """A stored index; no row is assigned anew."""
-    cells = spark.read.schema(CELL_SCHEMA).parquet(f"{path}/cells").orderBy("cell").collect()
-    numbers = [np.array([c[name] for c in cells]) for name in ("pivot", "n", "reach", "radius")]
-    return CellIndex(
-        spark.read.parquet(f"{path}/rows"), *numbers, cells[0]["metric"], cells[0]["copies"]
-    )
+def neighbor_columns(
+    rows: DataFrame, index: CellIndex, k: int, vec_col: str = "embedding", probes: int | None = None
+) -> DataFrame:
+    """Adds ``nearest_neighbors`` and ``distances`` to ``rows`` without moving a row; null for no vector.
 
+    For a corpus that :func:`fits`; every task holds it.  The plan has no exchange and no
+    stored step, so it also runs on a stream.  Equal vectors of a batch are searched once.
+    """
+    if k > index.copies:
+        raise ValueError(f"the index was built for k <= {index.copies}")
+    if not fits(index):
+        raise ValueError("the corpus is too large to be sent: use knn")
+    metric, level, shared = index.metric, index.level, index.sent()
+    table = index.blocks_of_cells() if level.bounded else None
 
-def as_euclidean(index: CellIndex) -> CellIndex:
-    return replace(index, metric="euclidean")
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            has = pdf[vec_col].notna().to_numpy()
+            ids, away = np.full(len(pdf), None, object), np.full(len(pdf), None, object)
+            if has.any():
+                q, inverse = np.unique(stack(pdf.loc[has, vec_col]), axis=0, return_inverse=True)
+                names, distances = _search_all(q, shared.value, level, table, k, metric, probes)
+                of = inverse.ravel()
+                ids[has], away[has] = names[of], distances[of]
+            yield pdf.assign(nearest_neighbors=ids, distances=away)
+
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInPandas(search, f"{types}, nearest_neighbors array<{index.id_type}>, distances array<double>")
+
+
+def _search_all(q: np.ndarray, blocks, level, table, k: int, metric: str, probes: int | None):
+    """Ids and distances of the ``k`` best rows of every query, as arrays of arrays."""
+    asked = None
+    if table is not None:
+        step = max(1, MATRIX_VALUES // max(level.reach.size, 1))
+        visits = [c for start in range(0, len(q), step) for c in cells_to_visit(q[start : start + step], level, k, metric, probes)]
+        pairs = [(b, i) for i, own in enumerate(visits) for c in own for b in table.get(int(c), ())]
+        asked = {}
+        for b, i in pairs:
+            asked.setdefault(b, []).append(i)
+    best = None
+    for number, ids, c in blocks:
+        rows = np.arange(len(q)) if asked is None else np.array(asked.get(number, []), int)
+        if len(rows):
+            found = _nearest_in_block(rows, q[rows], ids, c, k, metric)
+            best = _best(found if best is None else pd.concat([best, found], ignore_index=True), k, metric)
+    names, distances = np.empty(len(q), object), np.empty(len(q), object)
+    at = np.zeros(0, int) if best is None else best["vec_key"].to_numpy()
+    order = np.argsort(at, kind="stable")
+    cuts = np.searchsorted(at[order], np.arange(1, len(q)))
+    ids = np.zeros(0, object) if best is None else best["neighbor_id"].to_numpy()
+    away = np.zeros(0) if best is None else best["distance"].to_numpy()
+    for i, (n, d) in enumerate(zip(np.split(ids[order], cuts), np.split(away[order], cuts))):
+        names[i], distances[i] = n, d
+    return names, distances
+
+
+def _shuffled(routed: DataFrame, index: CellIndex, k: int, block_queries: int) -> DataFrame:
+    """Search where queries are shuffled to the buckets of the blocks, which stay where they are.
+
+    The queries of a block are cut into groups of ``block_queries``; the groups of a
+    block asked by very many run in up to ``WAVES`` tasks, each reading it once.
+    """
+    spark = index.spark
+    asked = routed.select(F.explode("blocks").alias("block"), "vec_key", "vec")
+    counted = durable(
+        asked.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / block_queries).cast("int").alias("_groups")), "knn-asked"
+    )  # one row per block
+    most = counted.agg(F.max("_groups")).first()[0] or 1
+    waves = min(WAVES, most)
+    cut = asked.join(counted, "block").withColumn("_group", F.pmod(F.xxhash64("vec_key"), F.col("_groups"))).drop("_groups")
+    metric, kind, schema = index.metric, index.kind, _found_schema(routed, index)
+
+    def search(q: pa.Table, c: pa.Table) -> pa.Table:
+        if not len(q) or not len(c):
+            return pa.table({"vec_key": q["vec_key"][:0], "neighbor_id": c["ids"].combine_chunks().flatten()[:0], "distance": pa.array([], pa.float64())})
+        _, ids, vectors = next(unpacked(c.combine_chunks().to_batches()[0], kind))
+        asking = q["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(q), -1).astype(np.float64)
+        found = _nearest_in_block(q["vec_key"].to_numpy(), asking, ids, vectors, k, metric)
+        return pa.Table.from_pandas(found, preserve_index=False)
+
+    names, results = [], []
+    for part in index.parts:
+        names.append(f"oddline_{uuid4().hex}")
+        spark.sql(
+            f"CREATE TABLE {names[-1]} ({index.schema}) USING parquet CLUSTERED BY (block) SORTED BY (block) "
+            f"INTO {part.buckets} BUCKETS LOCATION '{part.path}'"
+        )
+        stored = spark.read.table(names[-1]).select("block", "ids", "vecs")
+        for wave in range(waves):
+            left = cut.filter(F.pmod("_group", F.lit(waves)) == wave)
+            # A block is repeated for the groups of this wave by the task that reads it.
+            groups = F.sequence(F.lit(wave), F.col("_groups") - 1, F.lit(waves))
+            right = stored.join(counted.filter(F.col("_groups") > wave), "block").select(
+                "block", "ids", "vecs", F.explode(groups.cast("array<bigint>")).alias("_group")
+            )
+            results.append(left.groupBy("block", "_group").cogroup(right.groupBy("block", "_group")).applyInArrow(search, schema))
+    try:
+        # Both sides lie by block, whatever the group: no exchange of the blocks.
+        with _setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false"):
+            return durable(reduce(DataFrame.union, results), "knn-found")
+    finally:
+        for name in names:
+            spark.sql(f"DROP TABLE {name}")  # the files stay

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from oddline import fixed_values as fv
 from oddline.functions import explain, scoring
 from oddline.functions.text import CleanOptions, parse_logs
-from oddline.operators.baseline import Baseline, fit_baseline, neighbor_arrays
+from oddline.operators.baseline import Baseline, fit_baseline, neighbor_lists
 from oddline.operators.encode import TokenHashEncoder
 from oddline.operators.knn import (
     CellIndex, build_index, kmeans_index, knn, load_index, save_index,
@@ -19,7 +19,7 @@ from oddline.operators.skew import salted_lookup
 from oddline.operators.windows import adjust_scores
 from oddline.session import durable
 from oddline.sources import models
-from oddline.sources.corpus import append_entries, last_given, latest_entries
+from oddline.sources.corpus import append_entries, last_given, latest_metadata
 
 
 @dataclass(frozen=True)
@@ -102,13 +102,9 @@ def score_vectors(rows: DataFrame, model: DistanceModel) -> DataFrame:
     """``(seq, nearest_neighbors, distances, mean_distance, score, is_anomaly,
     confidence)`` for stored ``rows(seq, embedding)``."""
     options = model.options
-    neighbors = knn(rows, model.index, options.k, "seq", probes=model.probes)
-    arrays = neighbor_arrays(neighbors).withColumn(
-        "mean_distance", scoring.mean_valid(F.col("distances"))
-    )
-    found = neighbors.expand(arrays).withColumnRenamed("query_id", "seq")
+    found = neighbor_lists(rows, model.index, options.k, probes=model.probes)
     scored = model.baseline.add_scores(
-        rows.select("seq").join(found, "seq", "left"), options.min_distance
+        found.withColumn("mean_distance", scoring.mean_valid(F.col("distances"))), options.min_distance
     )
     return scored.withColumns(
         {
@@ -181,7 +177,10 @@ def search_texts(
         model.options.encoder.encode(texts, text_col).select("query_id", "embedding"), "texts"
     )
     neighbors = knn(queries, model.index, k, probes=model.probes)
-    rows = with_neighbor_metadata(neighbors.long(), latest_entries(model.corpus))
+    found = neighbors.long()
+    # Only entries that are somebody's neighbour; vectors are not read.
+    named = model.corpus.join(found.select(F.col("neighbor_id").alias("id")).distinct(), "id", "left_semi")
+    rows = with_neighbor_metadata(found, latest_metadata(named))
     stats = neighborhood_stats(neighbors).drop("num_neighbors", "std_distance")
     return rows.join(stats, "query_id")
 

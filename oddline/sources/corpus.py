@@ -33,6 +33,11 @@ def latest_entries(corpus: DataFrame) -> DataFrame:
     return corpus.groupBy("id").agg(*[last_given(c) for c in ("embedding", "metadata", "ts")])
 
 
+def latest_metadata(corpus: DataFrame) -> DataFrame:
+    """``(id, metadata)``: the last given metadata of each id; vectors are not read."""
+    return corpus.groupBy("id").agg(last_given("metadata"))
+
+
 def lookup(corpus: DataFrame, id_value: str) -> DataFrame:
     """Vector, metadata and time of one id; no row if it is absent."""
     return latest_entries(corpus.filter(F.col("id") == id_value))

@@ -2,6 +2,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from oddline.operators import knn as search
+from oddline.operators.cells import extend, load_index, lloyd, route, save_index
 from oddline.operators.knn import _nearest_in_block, build_index, kmeans_index, knn
 
 
@@ -40,17 +42,18 @@ def clustered(n, seed=0, hot=0):
 def test_exact_with_cells_blocks_and_copies(spark, metric):
     x = clustered(900, hot=300)  # a third of all rows are copies of one vector
     data = frame(spark, x)
-    index = build_index(data, 5, metric, cells=15)
-    assert len(index.pivots) > 5
-    result = knn(data, index, 5, "id", block_rows=50)
-    assert not result.unique
-    assert (found(result, 5) == brute(x, x, 5, metric)).all()
+    index = build_index(data, 5, metric, cells=15, block_rows=50)
+    assert len(index.pivots) > 5 and index.layout.count() > 15
+    for way in ({}, {"sent_bytes": 60_000}, {"sent_bytes": 0}, {"sent_bytes": 0, "block_queries": 7}):
+        result = knn(data, index, 5, "id", **way)
+        assert not result.unique
+        assert (found(result, 5) == brute(x, x, 5, metric)).all(), way
 
 
 def test_copies_are_searched_once_and_kept_k_times(spark):
     x = clustered(600, hot=200)
     index = build_index(frame(spark, x), 4, cells=1)
-    assert index.rows.count() <= 400 + 4
+    assert index.layout.agg({"n": "sum"}).first()[0] <= 400 + 4
     result = knn(frame(spark, x), index, 4, "id")
     assert result.rows.count() == 4 * len(np.unique(x, axis=0))
     assert result.groups.agg({"n": "sum"}).first()[0] == 600
@@ -59,10 +62,8 @@ def test_copies_are_searched_once_and_kept_k_times(spark):
 def test_cells_are_skipped_when_they_cannot_help(spark):
     x = clustered(900, seed=3)
     index = build_index(frame(spark, x), 3, cells=40)
-    from oddline.operators.knn import _route
-
     queries = frame(spark, x[:100]).selectExpr("id AS vec_key", "embedding AS vec")
-    visited = _route(queries, index, 3, None).selectExpr("avg(size(cells))").first()[0]
+    visited = route(queries, index, 3, None).selectExpr("avg(size(blocks))").first()[0]
     assert visited < 20
 
 
@@ -94,6 +95,94 @@ def test_probing(spark):
     assert hits >= 0.9 * exact.size
 
 
+@pytest.mark.parametrize("metric", ["squared_l2", "inner_product"])
+def test_two_levels_are_exact(spark, metric):
+    x = clustered(900, seed=7, hot=100)
+    data = frame(spark, x)
+    index = build_index(data, 4, metric, cells=36, groups=6)
+    assert len(index.pivots) == 6 and index.cells.count() > 12
+    assert (found(knn(data, index, 4, "id"), 4) == brute(x, x, 4, metric)).all()
+
+
+def test_two_levels_of_trained_cells(spark):
+    """Probing six of about 64 cells finds nearly all of what all cells hold."""
+    x = clustered(1500, seed=11)
+    data = frame(spark, x)
+    index = kmeans_index(data, 5, cells=64, groups=8)
+    exact = brute(x, x, 5)
+    assert (found(knn(data, index, 5, "id"), 5) == exact).all()
+    some = knn(data, index, 5, "id", probes=6).long().toPandas().groupby("query_id")["neighbor_id"]
+    assert sum(len(set(ids) & set(exact[q])) for q, ids in some) >= 0.9 * exact.size
+
+
+def test_given_centres_on_two_levels(spark):
+    """A query meets only the nearest cells of the nearest groups."""
+    c = np.array([[0.0, 0.0], [0.0, 1.0], [10.0, 0.0], [10.0, 1.0]])
+    data = frame(spark, c)
+    index = build_index(data, 4, pivots=np.array([[0.0, 0.5], [10.0, 0.5]]), members=[c[:2], c[2:]])
+    rows = knn(data, index, 4, "id", probes=1).long().collect()
+    assert sorted((r.query_id, r.neighbor_id) for r in rows) == [(i, i) for i in range(4)]
+    assert len(knn(data, index, 4, "id", probes=2).long().collect()) == 8
+
+
+def test_the_corpus_is_not_shuffled(spark, monkeypatch):
+    """No way of searching has an exchange between the stored blocks and the search."""
+    plans = []
+    real = search.durable
+
+    def noted(df, label="stage"):
+        if label in ("neighbors", "knn-found"):
+            with search._setting(spark, "spark.sql.adaptive.enabled", "false"):
+                plans.append(df._jdf.queryExecution().sparkPlan().toString() and
+                             spark._jsparkSession.sessionState().executePlan(df._jdf.logicalPlan(), df._jdf.queryExecution().mode()).executedPlan().toString())
+        return real(df, label)
+
+    monkeypatch.setattr(search, "durable", noted)
+    x = clustered(400, seed=2)
+    data = frame(spark, x)
+    index = build_index(data, 3, cells=6)
+    for way in ({}, {"sent_bytes": 0}):
+        knn(data, index, 3, "id", **way)
+    for plan in plans:
+        lines = plan.splitlines()
+        for at, line in enumerate(lines):
+            if "vecs" in line and "FileScan" in line:
+                depth = len(line) - len(line.lstrip(" :+-"))
+                for above in reversed(lines[:at]):
+                    inside = len(above) - len(above.lstrip(" :+-"))
+                    if inside < depth:
+                        depth = inside
+                        if any(w in above for w in ("MapInArrow", "FlatMapCoGroups")):
+                            break
+                        assert "Exchange" not in above, plan
+    assert any("Bucketed: true" in p for p in plans)
+
+
+def test_extended_and_stored(spark, folder):
+    """New rows become blocks of their own; the index searches as one built of all rows."""
+    x = clustered(700, seed=4)
+    for cells in (1, 9):
+        index = extend(build_index(frame(spark, x[:500]), 3, cells=cells), frame(spark, x[500:], list(range(500, 700))))
+        assert len(index.parts) == 2 and extend(index, frame(spark, x[:1]).limit(0)) is index
+        save_index(index, f"{folder}/{cells}")
+        for way in ({}, {"sent_bytes": 0}):
+            result = knn(frame(spark, x), load_index(spark, f"{folder}/{cells}"), 3, "id", **way)
+            assert (found(result, 3) == brute(x, x, 3)).all()
+
+
+def test_empty_corpus_and_queries(spark):
+    none = frame(spark, np.eye(3)).limit(0)
+    data = frame(spark, np.eye(3))
+    assert knn(data, build_index(none, 2), 2, "id").long().collect() == []
+    assert knn(none, build_index(data, 2), 2, "id").long().collect() == []
+
+
+def test_centres_are_far_apart_and_few():
+    x = np.repeat(np.eye(4) * 9, 5, axis=0)
+    assert sorted(map(tuple, lloyd(x, 4, 5, 1))) == sorted(map(tuple, np.eye(4) * 9))
+    assert len(lloyd(x, 40, 5, 1)) == 4
+
+
 def test_block_kernel_far_from_origin_and_with_ties():
     rng = np.random.default_rng(1)
     far = rng.normal(size=(1500, 8)) + 1e4
