@@ -242,7 +242,25 @@ CELLS = """count(*) FILTER (toxic = 1 AND quality = 0) AS tp, count(*) FILTER (t
   count(*) FILTER (toxic = 0 AND quality = 0) AS fp, count(*) FILTER (toxic = 1 AND quality = 1) AS fn, count(*) AS n"""
 
 
+# The documents hold no time but numbers of 10 to 13 digits, and no level.
+_TEXT = "coalesce(text, '')"
+_EPOCH_MATCH = f"regexp_extract({_TEXT}, '{EPOCH}')"
+_NUMBER = f"nullif({_EPOCH_MATCH}, '')::BIGINT"
+DETECTED_TEXTS = clean(
+    f"CASE WHEN {_NUMBER} > 1000000000000 OR {_NUMBER} <= 253402300799 THEN {strip(f'regexp_replace({_TEXT}, {chr(39)}{EPOCH}{chr(39)}, {chr(39)}{chr(39)})')} ELSE {_TEXT} END",
+    None,
+)
+
+HYBRID_DISTANCES = """pairs AS (SELECT q.seq, q.normal, array_distance(q.e, c.e) AS d, c.id FROM f q, f c WHERE c.normal),
+near AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY round(d, 9), id) AS rank FROM pairs),
+means AS (SELECT seq, normal, round(avg(d), 9) AS m FROM near WHERE rank BETWEEN 2 AND 6 GROUP BY 1, 2),
+fit AS (SELECT avg(m) AS mu, stddev_pop(m) AS sd FROM means WHERE normal),
+far AS (SELECT seq, m, (m - mu) / greatest(sd, 0.01) AS z FROM means, fit)"""
+
+
 def registry() -> dict[str, str]:
+    from workload import forest_oracle  # it builds on the pieces above
+
     two_pi = "2 * pi()"
     features = (
         "[hour(ts) / 24.0, minute(ts) / 60.0, (isodow(ts) - 1) / 7.0, day(ts) / 31.0, month(ts) / 12.0, "
@@ -335,11 +353,8 @@ SELECT event_id, vec_id, len(f)::INTEGER AS dim, round(list_sum(f), 6) AS total,
   chr(10) || '--- Similar Logs ---', listed, chr(10) || '--- Recommendations ---',
   '  → ' || replace(advice, '|', chr(10) || '  → '), '╚════════════════════╝') AS report FROM explained""",
         "hybrid_features": f"WITH {HYBRID} SELECT seq, (i - 1)::INTEGER AS pos, round(e[i], 6) AS x FROM f, range(1, 67) t(i)",
-        "hybrid_distance_scores": f"""WITH {HYBRID}, pairs AS (SELECT q.seq, q.normal, array_distance(q.e, c.e) AS d, c.id FROM f q, f c WHERE c.normal),
-near AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY round(d, 9), id) AS rank FROM pairs),
-means AS (SELECT seq, normal, round(avg(d), 9) AS m FROM near WHERE rank BETWEEN 2 AND 6 GROUP BY 1, 2),
-fit AS (SELECT avg(m) AS mu, stddev_pop(m) AS sd FROM means WHERE normal)
-SELECT seq, round(m, 6) AS mean_distance, round((m - mu) / greatest(sd, 0.01), 6) AS distance_score FROM means, fit""",
+        "hybrid_distance_scores": f"""WITH {HYBRID}, {HYBRID_DISTANCES}
+SELECT seq, round(m, 6) AS mean_distance, round(z, 6) AS distance_score FROM far""",
         "scored_table_metrics": f"""WITH c AS (SELECT count(*) FILTER (toxic = 1 AND p) AS tp, count(*) FILTER (toxic = 0 AND NOT p) AS tn, count(*) FILTER (toxic = 0 AND p) AS fp,
   count(*) FILTER (toxic = 1 AND NOT p) AS fn, count(toxic) AS n, count(*) - count(toxic) AS unlabelled FROM (SELECT toxic, {DOC_SCORE} > 0.7 AS p FROM documents LEFT JOIN labels USING (doc_id))), {quality('c', 'unlabelled,')}
 SELECT tp, tn, fp, fn, n, unlabelled, round(accuracy, 6) AS accuracy, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM f1""",
@@ -398,6 +413,18 @@ SELECT strftime(b, '%Y-%m-%d %H:%M:%S.%f') AS bucket_start, total, anomalies FRO
     }
     out["line_formats"] = f"""WITH {FORMATS} SELECT seq, strftime(time, '%Y-%m-%d %H:%M:%S') AS ts_text, log_level, message, cleaned_text,
   log_id, length(raw_text) AS original_length, length(cleaned_text) AS cleaned_length FROM parsed"""
+    out["knn_two_levels"] = f"""WITH {VECTORS}, l AS (SELECT label, i, avg(e[i]) AS m FROM v, range(1, 65) t(i) GROUP BY 1, 2),
+cells AS MATERIALIZED (SELECT label % 5 AS node, label, 2 * (label % 5) + label // 5 AS cell, list(m ORDER BY i)::DOUBLE[64] AS e FROM l GROUP BY 2),
+g AS (SELECT label % 5 AS node, i, avg(e[i]) AS m FROM v, range(1, 65) t(i) GROUP BY 1, 2),
+nodes AS MATERIALIZED (SELECT node, list(m ORDER BY i)::DOUBLE[64] AS e FROM g GROUP BY 1),
+routed AS MATERIALIZED (SELECT vec_id, node, row_number() OVER (PARTITION BY vec_id ORDER BY array_distance(v.e, nodes.e), node) AS place FROM v, nodes),
+homes AS MATERIALIZED (SELECT vec_id, arg_min(cell, array_distance(v.e, cells.e)) AS cell FROM v JOIN routed USING (vec_id) JOIN cells USING (node) WHERE place = 1 GROUP BY 1),
+asked AS (SELECT vec_id, cell, row_number() OVER (PARTITION BY vec_id ORDER BY array_distance(v.e, cells.e), cell) AS place
+  FROM v JOIN routed USING (vec_id) JOIN cells USING (node) WHERE routed.place <= 3 AND cell IN (SELECT cell FROM homes)),
+d AS (SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id, {SQUARE} AS distance
+  FROM asked JOIN homes USING (cell) JOIN v a ON a.vec_id = asked.vec_id JOIN v b ON b.vec_id = homes.vec_id WHERE place <= 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), neighbor_id) AS rank FROM d)
+SELECT query_id, rank::INTEGER AS rank, neighbor_id, round(distance, 6) AS distance FROM r WHERE rank <= 5"""
     out["knn_label_cells"] = f"""WITH {VECTORS}, l AS (SELECT label, i, avg(e[i]) AS m FROM v, range(1, 65) t(i) GROUP BY 1, 2),
 means AS (SELECT label AS cell, list(m ORDER BY i)::DOUBLE[64] AS e FROM l GROUP BY 1),
 homes AS (SELECT vec_id, arg_min(cell, array_distance(v.e, means.e)) AS cell FROM v, means GROUP BY 1),
@@ -419,4 +446,6 @@ SELECT query_id, rank::INTEGER AS rank, neighbor_id, round(distance, 6) AS dista
     out["stream_detect"] = (
         f"SELECT seq, log_id, score, original_score, weight, is_anomaly, confidence FROM ({out['detect_event_logs']})"
     )
-    return out
+    out["stream_keyed_detect"], out["stream_keyed_windows"] = out["stream_detect"], out["stream_windows"]
+    out["stream_event_trend"] = out["stream_trend"]
+    return {**out, **forest_oracle.registry()}

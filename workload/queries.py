@@ -17,7 +17,7 @@ from oddline.plans import distance_detector as distance, hybrid_detector as hybr
 from oddline.plans.table_scoring import ScoredTable, score_table
 from oddline.session import durable, scratch_path
 from oddline.sources import corpus as store, logs as files, siem
-from oddline.streaming import jobs
+from oddline.streaming import jobs, keyed
 from workload import inputs
 
 DETECTOR = distance.DetectorOptions(encoder=inputs.ENCODER)
@@ -193,8 +193,9 @@ def knn_cells(probes, cells, spark, sf):
     return found.select("query_id", "rank", "neighbor_id", six("distance"))
 
 
-def _label_means(spark, sf) -> DataFrame:
+def _label_means(spark, sf, label: Column | None = None) -> DataFrame:
     v = inputs.table(spark, sf, "embeddings")
+    v = v if label is None else v.withColumn("label", label)
     return (
         v.select("label", F.posexplode_outer("embedding").alias("pos", "x"))
         .groupBy("label", "pos")
@@ -214,6 +215,19 @@ def knn_label_cells(spark, sf):
     return found.select("query_id", "rank", "neighbor_id", six("distance"))
 
 
+def knn_two_levels(spark, sf):
+    """Groups around the mean of two labels each, their cells around the mean of each: three groups, three cells."""
+    e = inputs.table(spark, sf, "embeddings")
+    means = [np.array(m["embedding"]) for m in _label_means(spark, sf).orderBy("label").collect()]  # one per label
+    pairs = _label_means(spark, sf, F.col("label") % 5).orderBy("label").collect()
+    index = build_index(
+        e, fv.K_NEIGHBORS, id_col="vec_id", pivots=np.array([p["embedding"] for p in pairs]),
+        members=[np.array(means[g::5]) for g in range(5)],
+    )
+    found = knn(e, index, fv.K_NEIGHBORS, "vec_id", probes=3).long()
+    return found.select("query_id", "rank", "neighbor_id", six("distance"))
+
+
 def neighborhood_stats(spark, sf):
     e = inputs.table(spark, sf, "embeddings")
     index = build_index(e, fv.K_NEIGHBORS, "squared_l2", "vec_id")
@@ -560,15 +574,14 @@ def isolation_forest_counts(spark, sf):
 def isolation_forest(spark, sf):
     rows = _hybrid_rows(spark, sf).select(F.col("seq").alias("id"), F.col("embedding").alias("features"))
     forest = fit_forest(rows)
-    return rows.select("id", forest.decision(F.col("features")).alias("decision")).withColumn(
-        "is_outlier", F.col("decision") < 0
-    )
+    decided = rows.select("id", forest.decision(F.col("features")).alias("decision"))
+    return decided.select("id", six("decision"), (F.col("decision") < 0).alias("is_outlier"))
 
 
 def hybrid_detect(spark, sf):
     rows, model = _hybrid_model(spark, sf)
     scored = hybrid.score_vectors(rows, model)
-    return scored.select("seq", "score", "is_anomaly", "distance_score", "iso_score")
+    return scored.select("seq", six("score"), "is_anomaly", six("distance_score"), six("iso_score"))
 
 
 def hybrid_log_detect(spark, sf):
@@ -577,11 +590,14 @@ def hybrid_log_detect(spark, sf):
     normal = lines.filter(~sev.is_anomaly_severity(F.col("severity")))
     path = scratch_path(spark, "hybrid-model")
     hybrid.save(hybrid.fit(normal, HYBRID), path)
-    found = hybrid.detect(lines, hybrid.load(spark, path, HYBRID))
-    return hist.detection_response(found)
+    found = hist.detection_response(hybrid.detect(lines, hybrid.load(spark, path, HYBRID)))
+    return found.select(
+        "seq", "log_id", six("score"), "is_anomaly", "confidence",
+        F.size("neighbors").alias("neighbors"), F.col("explanation.summary").alias("summary"),
+    )
 
 
-def document_table_scores(spark, sf):
+def _score_documents(spark, sf) -> ScoredTable:
     """Custom-table scoring of all documents, trained on those labelled not toxic."""
     d = inputs.documents(spark, sf).join(inputs.table(spark, sf, "labels"), "doc_id", "left")
     d = d.select(
@@ -594,12 +610,26 @@ def document_table_scores(spark, sf):
         semantic_weight=HYBRID.semantic_weight, encoder=inputs.ENCODER, clean=inputs.WHOLE
     )
     train = d.filter("label = 0").select("seq", F.col("description").alias("raw_text"), "risk_score")
-    scored = score_table(d, hybrid.fit(train, options), label_col="label")
-    return scored.metrics()
+    return score_table(d, hybrid.fit(train, options), label_col="label")
+
+
+def _quality(m: DataFrame) -> DataFrame:
+    return m.select("tp", "tn", "fp", "fn", "n", "unlabelled", *[six(c) for c in ("accuracy", "precision", "recall", "f1")])
+
+
+def document_table_scores(spark, sf):
+    """How well the flags of the scored table meet its labels."""
+    return _quality(_score_documents(spark, sf).metrics())
+
+
+def document_scores(spark, sf):
+    """Score and flag of every row of the scored table."""
+    return _score_documents(spark, sf).rows.select("seq", six("anomaly_score"), "is_anomaly_pred")
 
 
 def _scored_documents(spark, sf) -> ScoredTable:
-    """A scored table whose scores follow from the number of the document."""
+    """A scored table whose scores follow from the number of the document: for what is done
+    with scores.  The scoring itself is in ``document_scores``."""
     d = inputs.documents(spark, sf).join(inputs.table(spark, sf, "labels"), "doc_id", "left")
     score = ((F.col("doc_id") * 37) % 1009) / 1009.0
     rows = d.select(
@@ -610,8 +640,7 @@ def _scored_documents(spark, sf) -> ScoredTable:
 
 
 def scored_table_metrics(spark, sf):
-    m = _scored_documents(spark, sf).metrics()
-    return m.select("tp", "tn", "fp", "fn", "n", "unlabelled", *[six(c) for c in ("accuracy", "precision", "recall", "f1")])
+    return _quality(_scored_documents(spark, sf).metrics())
 
 
 def scored_table_top(spark, sf):
@@ -838,27 +867,100 @@ def stream_trend(spark, sf):
     return jobs.running_trend(spark, out).withColumn("bucket_start", when_text("bucket_start"))
 
 
+class _Arriving:
+    """Rows in arrival order as parts of equally many files; a micro-batch reads one part."""
+
+    def __init__(self, spark, rows: DataFrame, parts: int = 3):
+        numbers = rows.agg(F.max("seq").alias("last"), F.count(F.lit(1)).alias("n")).first()
+        self.files = max(1, numbers["n"] // (parts * 250_000))
+        self.path, self.spark, self.schema = scratch_path(spark, "arriving"), spark, rows.schema
+        part = F.least(F.floor(F.col("seq") * parts / ((numbers["last"] or 0) + 1)), F.lit(parts - 1))
+        self.rows = durable(rows.withColumn("_part", part), "arriving-rows")
+
+    def add(self, *parts: int) -> None:
+        for part in parts:
+            rows = self.rows.filter(F.col("_part") == part).drop("_part")
+            rows.repartition(self.files, "seq").write.mode("append").parquet(self.path)
+
+    def stream(self) -> DataFrame:
+        return jobs.read_files(self.spark, self.path, self.schema, max_files=self.files)
+
+
+def _event_model(spark, lines: DataFrame) -> distance.DistanceModel:
+    normal = lines.filter(~sev.is_anomaly_severity(F.col("severity")))
+    return distance.fit(normal.select("seq", "raw_text"), DETECTOR)
+
+
+def _detected(found: DataFrame) -> DataFrame:
+    return found.select(
+        "seq", "log_id", six("time_adjusted_score", "score"), six("score", "original_score"),
+        six("temporal_weight", "weight"), "is_anomaly", six("confidence"),
+    )
+
+
 def stream_detect(spark, sf):
-    """The detector on a stream of three files, one per micro-batch: the windows go on."""
+    """The detector on a stream of three micro-batches: the windows go on."""
     lines = inputs.event_lines(spark, sf)
-    normal = lines.filter(~sev.is_anomaly_severity(F.col("severity")))
-    model = distance.fit(normal.select("seq", "raw_text"), DETECTOR)
-    arriving = lines.select("seq", "raw_text", "source")
-    path, last = scratch_path(spark, "arriving"), lines.agg(F.max("seq")).first()[0]
-    for part in range(3):
-        arriving.filter(F.floor(F.col("seq") * 3 / (last + 1)) == part).coalesce(1).write.mode("append").parquet(path)
+    arriving = _Arriving(spark, lines.select("seq", "raw_text", "source"))
+    arriving.add(0, 1, 2)
     out = scratch_path(spark, "stream-detect")
-    stream = jobs.read_files(spark, path, arriving.schema, max_files=1)
     _finish(
         jobs.detect_stream(
-            stream, model, ["source"], out, scratch_path(spark, "state"), scratch_path(spark, "ckpt"),
-            source=F.col("source"),
+            arriving.stream(), _event_model(spark, lines), ["source"], out, scratch_path(spark, "state"),
+            scratch_path(spark, "ckpt"), source=F.col("source"),
         )
     )
-    return jobs.read_epochs(spark, out).select(
-        "seq", "log_id", six("time_adjusted_score", "score"), six("score", "original_score"),
-        six("temporal_weight", "weight"), "is_anomaly", six("confidence"),
-    )
+    return _detected(jobs.read_epochs(spark, out))
+
+
+def _two_runs(arriving: _Arriving, start) -> None:
+    """Two micro-batches, a stop, and a third one by a new query from the checkpoint."""
+    arriving.add(0, 1)
+    _finish(start())
+    arriving.add(2)
+    _finish(start())
+
+
+def stream_keyed_detect(spark, sf):
+    """The same detector as one streaming plan with a state per key, stopped and started again."""
+    lines = inputs.event_lines(spark, sf)
+    arriving = _Arriving(spark, lines.select("seq", "raw_text", "source"))
+    model, out, kept = _event_model(spark, lines), scratch_path(spark, "stream-keyed"), scratch_path(spark, "ckpt")
+
+    def start():
+        with keyed.keyed_state(spark):
+            found = keyed.detect_keyed(arriving.stream(), model, ["source"], F.col("source"))
+            return jobs.write_append(found, out, kept)
+
+    _two_runs(arriving, start)
+    return _detected(spark.read.parquet(out))
+
+
+def stream_keyed_windows(spark, sf):
+    """Score windows with a state per key over three micro-batches and a restart."""
+    arriving = _Arriving(spark, inputs.score_series(spark, sf))
+    out, kept = scratch_path(spark, "stream-keyed"), scratch_path(spark, "ckpt")
+
+    def start():
+        with keyed.keyed_state(spark):
+            return jobs.write_append(keyed.keyed_windows(arriving.stream(), ["source"]), out, kept)
+
+    _two_runs(arriving, start)
+    return spark.read.parquet(out).select("seq", six("temporal_weight"), six("time_adjusted_score"), "is_burst")
+
+
+def stream_event_trend(spark, sf):
+    """Event-time buckets with a watermark; rows behind it are counted as late and not lost."""
+    arriving = _Arriving(spark, inputs.score_series(spark, sf))
+    out, kept = scratch_path(spark, "stream-trend"), scratch_path(spark, "ckpt")
+
+    def start():
+        with keyed.keyed_state(spark):
+            return jobs.write_append(keyed.event_time_trend(arriving.stream()), out, kept)
+
+    _two_runs(arriving, start)
+    found = keyed.trend_of_epochs(spark.read.parquet(out))
+    return found.select(when_text("bucket_start").alias("bucket_start"), "total", "anomalies")
 
 
 def stream_alert_rate(spark, sf):
@@ -876,20 +978,21 @@ def registry():
         parse_event_logs, line_formats, level_counts, clean_documents, mask_paths, document_inputs,
         log_file_scan, csv_scan, json_scan,
         siem_labels, siem_split, siem_metadata, siem_texts, siem_totals,
-        hash_encode_documents, knn_label_cells, neighborhood_stats, text_search, label_similarity,
+        hash_encode_documents, knn_label_cells, knn_two_levels, neighborhood_stats, text_search, label_similarity,
         neighbor_cosine, normalized_vectors, corpus_latest, corpus_lookup, corpus_stats,
         baseline_distances, baseline_threshold, anomaly_scores, unfitted_scores, reloaded_scores,
         sure_anomalies, burst_flags, score_windows, temporal_features, augmented_vectors,
         score_bands, recommendations, explanations, reports,
         hybrid_features, hybrid_distance_scores, isolation_forest, hybrid_detect,
-        hybrid_log_detect, document_table_scores, reloaded_hybrid_scores, isolation_forest_counts,
+        hybrid_log_detect, document_table_scores, document_scores, reloaded_hybrid_scores, isolation_forest_counts,
         scored_table_metrics, scored_table_top, scored_table_anomalies, scored_table_csv,
         hybrid_scores_given_forest, json_folder_scan,
         label_quality, quality_by_source, detection_rates, first_of_class_rates,
         history_status, history_rate, recent_history, recent_alerts, all_alerts,
         detection_responses, anomaly_trend, alerts_by_category, appended_history,
         detect_event_logs, detected_responses, stream_hybrid_scores,
-        stream_parse, stream_scores, stream_windows, stream_trend, stream_alert_rate, stream_detect,
+        stream_parse, stream_scores, stream_windows, stream_trend, stream_alert_rate, stream_detect, stream_keyed_detect,
+        stream_keyed_windows, stream_event_trend,
     ]
     out = {f.__name__: f for f in named}
     out["siem_stats_by_type"] = partial(siem_value_counts, "event_type")
