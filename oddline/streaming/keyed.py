@@ -88,7 +88,7 @@ def window_columns(
         burst = np.nansum(recent, 1) / np.maximum(recent_n, 1) > np.nansum(older, 1) / np.maximum(older_n, 1) * factor
         for name, values in zip(
             (*STATS, "count", "temporal_weight", "time_adjusted_score", "is_burst"),
-            (mean, std, low, high, count, timed, np.minimum(in_context * timed, 1.0), enough & burst),
+            (mean, std, low, high, count, timed, np.fmin(in_context * timed, 1.0), enough & burst),
         ):
             out[name][rows] = values
     return out
@@ -138,10 +138,10 @@ def keyed_windows(
     ]
     out = grouped.groupBy(*(key or ["_all"])).transformWithStateInPandas(
         statefulProcessor=_ScoreWindows(order, score, ts, window_size, weight),
-        outputStructType=StructType([*grouped.schema.fields, *added]), outputMode="Append", timeMode="None",
+        outputStructType=StructType([*stream.schema.fields, *added]), outputMode="Append", timeMode="None",
     )
     stats = F.struct(*[F.col(f"_{c}").alias(c) for c in (*STATS, "count")])
-    return out.withColumn("window_stats", stats).drop("_all", *[f"_{c}" for c in (*STATS, "count")])
+    return out.withColumn("window_stats", stats).drop(*[f"_{c}" for c in (*STATS, "count")])
 
 
 def detect_keyed(
