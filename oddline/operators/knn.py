@@ -36,6 +36,7 @@ from oddline.session import durable
 
 SENT_BYTES = 64 * 2**20  # vectors and block lists of the queries that tasks hold whole
 WAVES = 16  # tasks that the queries of one block are spread over at most
+KERNEL_VALUES = 500_000  # products at once, few enough to stay in a cache
 # Distances this close are ties and are ordered by id.
 TIE_DECIMALS = 9
 
@@ -71,9 +72,10 @@ class Neighbors:
 
 
 def _nearest_in_block(
-    query_keys, q: np.ndarray, ids: np.ndarray, c: np.ndarray, k: int, metric: str
+    query_keys, q: np.ndarray, ids: np.ndarray, c: np.ndarray, k: int, metric: str, worst: np.ndarray | None = None
 ) -> pd.DataFrame:
-    """The k best of one corpus block for each row of one query block.
+    """The k best of one corpus block for each row of one query block, or fewer:
+    rows beyond ``worst``, the k-th best distance of a query so far, may be left out.
 
     A matrix product in single precision narrows the candidates; every candidate
     that its rounding leaves in question gets its distance from direct
@@ -95,12 +97,17 @@ def _nearest_in_block(
         right = np.hstack([near_c, c_squares[:, None]])
     left, right = left.astype(np.float32), np.ascontiguousarray(right.T, dtype=np.float32)
     rounding = 4.0 * (q.shape[1] + 4) * 2.0**-24 * (q_squares + c_squares.max())
-    parts = []
-    step = max(1, MATRIX_VALUES // len(c))
+    so_far = None
+    if worst is not None:  # as costs
+        so_far = -worst if metric == "inner_product" else (worst**2 if metric == "euclidean" else worst) - q_squares
+    keys_found, ids_found, exact_found = [], [], []
+    step = max(1, KERNEL_VALUES // len(c))
     for start in range(0, len(q), step):
         rows = slice(start, start + step)
         cost = left[rows] @ right
         bound = _kth_bound(cost, k).astype(np.float64)
+        if so_far is not None:
+            bound = np.minimum(bound, so_far[rows])
         # Values this much above the bound may still belong to the k best.
         square = bound if metric == "inner_product" else bound + q_squares[rows]
         tie = 4.0 * 10.0**-TIE_DECIMALS * (1.0 + np.abs(square))
@@ -115,16 +122,27 @@ def _nearest_in_block(
         at, hit, exact = at[order], hit[order], exact[order]
         first = np.searchsorted(at, np.arange(len(cost)))
         keep = np.arange(len(at)) - first[at] < k
-        parts.append(
-            pd.DataFrame(
-                {
-                    "vec_key": query_keys[rows][at[keep]],
-                    "neighbor_id": ids[hit[keep]],
-                    "distance": exact[keep],
-                }
-            )
-        )
-    return pd.concat(parts, ignore_index=True)
+        keys_found.append(query_keys[rows][at[keep]])
+        ids_found.append(ids[hit[keep]])
+        exact_found.append(exact[keep])
+    found = map(np.concatenate, (keys_found, ids_found, exact_found))
+    return pd.DataFrame(dict(zip(("vec_key", "neighbor_id", "distance"), found)))
+
+
+class _Best:
+    """The k best rows of each of ``n`` queries over the blocks seen so far."""
+
+    def __init__(self, n: int, k: int, metric: str):
+        self.k, self.metric, self.rows = k, metric, None
+        self.worst = np.full(n, -np.inf if metric == "inner_product" else np.inf)
+
+    def add(self, at: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarray) -> None:
+        found = _nearest_in_block(at, q, ids, c, self.k, self.metric, self.worst[at])
+        self.rows = _best(found if self.rows is None else pd.concat([self.rows, found], ignore_index=True), self.k, self.metric)
+        key, distance = self.rows["vec_key"].to_numpy(), self.rows["distance"].to_numpy()
+        ends = np.flatnonzero(np.r_[key[1:] != key[:-1], True]) if len(key) else np.zeros(0, int)
+        full = ends[np.diff(np.r_[-1, ends]) == self.k]
+        self.worst[key[full]] = distance[full]
 
 
 def _exact(q: np.ndarray, c: np.ndarray, at: np.ndarray, hit: np.ndarray, metric: str) -> np.ndarray:
@@ -235,17 +253,15 @@ def _sent(routed: DataFrame, index: CellIndex, k: int) -> DataFrame:
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, q, wanted = shared.value
-        best = None
+        best = _Best(len(q), k, metric)
         for batch in batches:
             for number, ids, c in unpacked(batch, kind):
                 rows = wanted.get(number)
-                if rows is None:
-                    continue
-                found = _nearest_in_block(rows, q[rows], ids, c, k, metric)
-                best = _best(found if best is None else pd.concat([best, found], ignore_index=True), k, metric)
-        if best is not None:
-            best["vec_key"] = keys[best["vec_key"].to_numpy()]
-            yield pa.RecordBatch.from_pandas(best, preserve_index=False)
+                if rows is not None:
+                    best.add(rows, q[rows], ids, c)
+        if best.rows is not None:
+            found = best.rows.assign(vec_key=keys[best.rows["vec_key"].to_numpy()])
+            yield pa.RecordBatch.from_pandas(found, preserve_index=False)
 
     blocks = index.blocks.select("block", "ids", "vecs")
     if len(named) <= 1000:  # else nearly every file has one that is asked for
@@ -275,16 +291,15 @@ def _corpus_sent(routed: DataFrame, index: CellIndex, k: int) -> DataFrame:
         for pdf in batches:
             if not len(pdf):
                 continue
-            keys, q, best = pdf["vec_key"].to_numpy(), stack(pdf["vec"]), None
+            keys, q, best = pdf["vec_key"].to_numpy(), stack(pdf["vec"]), _Best(len(pdf), k, metric)
             at = np.repeat(np.arange(len(pdf)), [len(b) for b in pdf["blocks"]])
             asked = np.concatenate(pdf["blocks"].to_list())
             for number, ids, c in shared.value:
                 rows = at[asked == number]
                 if len(rows):
-                    found = _nearest_in_block(rows, q[rows], ids, c, k, metric)
-                    best = _best(found if best is None else pd.concat([best, found], ignore_index=True), k, metric)
-            if best is not None:
-                yield best.assign(vec_key=keys[best["vec_key"].to_numpy()])
+                    best.add(rows, q[rows], ids, c)
+            if best.rows is not None:
+                yield best.rows.assign(vec_key=keys[best.rows["vec_key"].to_numpy()])
 
     return routed.select("vec_key", "vec", "blocks").mapInPandas(search, _found_schema(routed, index))
 
@@ -347,12 +362,12 @@ def _search_all(q: np.ndarray, blocks, level, table, k: int, metric: str, probes
         asked = {}
         for b, i in pairs:
             asked.setdefault(b, []).append(i)
-    best = None
+    nearest = _Best(len(q), k, metric)
     for number, ids, c in blocks:
         rows = np.arange(len(q)) if asked is None else np.array(asked.get(number, []), int)
         if len(rows):
-            found = _nearest_in_block(rows, q[rows], ids, c, k, metric)
-            best = _best(found if best is None else pd.concat([best, found], ignore_index=True), k, metric)
+            nearest.add(rows, q[rows], ids, c)
+    best = nearest.rows
     names, distances = np.empty(len(q), object), np.empty(len(q), object)
     at = np.zeros(0, int) if best is None else best["vec_key"].to_numpy()
     order = np.argsort(at, kind="stable")

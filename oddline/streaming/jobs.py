@@ -53,6 +53,11 @@ def epoch_path(root: str, epoch: int) -> str:
     return f"{root}/epoch={epoch}"
 
 
+def spread(batch: DataFrame) -> DataFrame:
+    """A micro-batch over all cores: it may be one file, and its rows are searched where they lie."""
+    return batch.repartition(batch.sparkSession.sparkContext.defaultParallelism)
+
+
 def for_each_epoch(
     stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, **trigger
 ) -> StreamingQuery:
@@ -83,7 +88,7 @@ def score_stream(
     """
 
     def work(batch: DataFrame, epoch: int) -> None:
-        score(batch).write.mode("overwrite").parquet(epoch_path(output, epoch))
+        score(spread(batch)).write.mode("overwrite").parquet(epoch_path(output, epoch))
 
     return for_each_epoch(stream, work, checkpoint, **trigger)
 
@@ -177,7 +182,7 @@ def detect_stream(
     options = model.options
 
     def work(batch: DataFrame, epoch: int) -> None:
-        stored = encode_queries(batch, options, source)
+        stored = encode_queries(spread(batch), options, source)
         found = score_vectors(stored.select("seq", "embedding"), model)
         clock = stored.select(
             "seq", *key, "log_id", "cleaned_text", F.coalesce("timestamp", F.current_timestamp()).alias("ts")

@@ -24,6 +24,7 @@ from oddline.functions import scoring
 from oddline.functions.text import parse_logs
 from oddline.operators.knn import neighbor_columns
 from oddline.plans.distance_detector import DistanceModel
+from oddline.streaming.jobs import spread
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -154,7 +155,7 @@ def detect_keyed(
     hot keys there is ``jobs.detect_stream`` with the same rows.
     """
     options = model.options
-    parsed = parse_logs(stream, source=source, options=options.clean)
+    parsed = parse_logs(spread(stream), source=source, options=options.clean)
     encoded = options.encoder.encode(parsed, "cleaned_text").select(
         "seq", *key, "log_id", "cleaned_text", F.coalesce("timestamp", F.current_timestamp()).alias("ts"), "embedding"
     )
