@@ -118,6 +118,13 @@ def fit_baseline(
     return Baseline(threshold, mean, std)
 
 
+def baseline_of_lists(lists: DataFrame, percentile: float = fv.THRESHOLD_PERCENTILE) -> Baseline:
+    """The same from stored ``(seq, distances)`` of a self-search with k + 1 neighbours."""
+    kept = F.filter("distances", lambda d: d > 0)
+    means = lists.select(scoring.stable(scoring.mean_valid(kept)).alias("mean_distance"))
+    return fit_from_distances(durable(means.filter("mean_distance IS NOT NULL"), "baseline"), "mean_distance", percentile)
+
+
 def fit_from_distances(
     df: DataFrame, value: str, percentile: float = fv.THRESHOLD_PERCENTILE
 ) -> Baseline:

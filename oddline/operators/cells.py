@@ -502,6 +502,15 @@ def extend(index: CellIndex, corpus: DataFrame, id_col: str = "id", vec_col: str
     return _with_blocks(replace(index, level=level), assigned, counts, first, size, width, None)
 
 
+def replace_parts(index: CellIndex, parts: tuple[Part, ...]) -> CellIndex:
+    """The same cells with only the blocks of ``parts``, to be searched without bounds."""
+    blocks = index.spark.read.schema(index.schema).parquet(*[p.path for p in parts])
+    layout = durable(blocks.select(F.lit(0).alias("cell"), "block", F.size("ids").alias("n")), "knn-layout")
+    size = layout.agg(F.sum("n")).first()[0] or 0
+    level = Level(np.zeros((1, 0)), np.array([size]), np.full((1, index.copies), np.inf), np.array([np.inf]))
+    return replace(index, parts=parts, layout=layout, level=level, cells=None)
+
+
 # --- routing ---------------------------------------------------------------------
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from oddline import fixed_values as fv
 from oddline.operators.cells import (  # noqa: F401  (the index is a part of the search's interface)
     BLOCK_BYTES, MATRIX_VALUES, METRICS, CellIndex, as_euclidean, build_index, cells_to_visit, digest, extend,
-    kmeans_index, load_index, route, save_index, stack, unpacked,
+    kmeans_index, load_index, replace_parts, route, save_index, stack, unpacked,
 )
 from oddline.operators.skew import first_per_group, salted_lookup
 from oddline.session import durable

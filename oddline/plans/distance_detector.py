@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from oddline import fixed_values as fv
 from oddline.functions import explain, scoring
 from oddline.functions.text import CleanOptions, parse_logs
-from oddline.operators.baseline import Baseline, fit_baseline, neighbor_lists
+from oddline.operators.baseline import Baseline, baseline_of_lists, fit_baseline, neighbor_lists
 from oddline.operators.encode import TokenHashEncoder
 from oddline.operators.knn import (
-    CellIndex, build_index, kmeans_index, knn, load_index, save_index,
+    CellIndex, build_index, extend, fits, kmeans_index, knn, load_index, replace_parts, save_index,
 )
 from oddline.operators.similarity import neighborhood_stats, with_neighbor_metadata
 from oddline.operators.skew import salted_lookup
@@ -30,6 +30,7 @@ class DetectorOptions:
     window_size: int = fv.WINDOW_SIZE
     temporal_weight: float = fv.TEMPORAL_WEIGHT
     index_type: str = "Flat"
+    metric: str = "L2"
     cells: int = fv.IVF_CELLS
     probes: int = fv.IVF_PROBES
     clean: CleanOptions = CleanOptions()
@@ -42,6 +43,7 @@ class DistanceModel:
     index: CellIndex
     baseline: Baseline
     options: DetectorOptions
+    near: DataFrame | None = None  # (seq, distances): what the baseline was made of
 
     @property
     def probes(self) -> int | None:
@@ -65,10 +67,16 @@ def corpus_entries(
     )
 
 
+# L2: squared distances.  IP: products, of which the largest are the nearest; scores take
+# them as they take distances.
+METRICS = {"L2": "squared_l2", "IP": "inner_product"}
+
+
 def _index(corpus: DataFrame, options: DetectorOptions) -> CellIndex:
+    metric = METRICS[options.metric]
     if options.index_type == "IVF":
-        return kmeans_index(corpus, options.k + 1, options.cells)
-    return build_index(corpus, options.k + 1)
+        return kmeans_index(corpus, options.k + 1, options.cells, metric)
+    return build_index(corpus, options.k + 1, metric)
 
 
 def fit(
@@ -83,7 +91,18 @@ def fit(
     With ``previous`` the corpus grows; the baseline then comes from all rows,
     or from the new ones only with ``refit_on_all=False``.
     """
-    new = durable(corpus_entries(logs, options, source), "corpus")
+    return fit_entries(durable(corpus_entries(logs, options, source), "corpus"), options, previous, refit_on_all)
+
+
+def fit_entries(
+    new: DataFrame, options: DetectorOptions, previous: DistanceModel | None = None, refit_on_all: bool = True
+) -> DistanceModel:
+    """The model of stored corpus rows ``new``, after those of ``previous``.
+
+    An exact index of one level grows: the new rows become blocks of their own.  Rows of
+    before are compared with those blocks only, new rows with all, which gives the same
+    baseline as a new model of all rows.
+    """
     if previous:
         # Numbers are arrival order and identity: a batch that counts anew goes on after the old ones.
         last = previous.corpus.agg(F.max("seq")).first()[0]
@@ -91,11 +110,37 @@ def fit(
         if last is not None and first is not None and first <= last:
             new = durable(new.withColumn("seq", F.col("seq") - first + last + 1), "corpus")
     corpus = append_entries(previous.corpus, new) if previous else new
-    index = _index(corpus, options)
-    probes = options.probes if options.index_type == "IVF" else None
-    base_rows = corpus if refit_on_all else new
-    baseline = fit_baseline(base_rows, index, options.k, options.percentile, probes=probes)
-    return DistanceModel(corpus, index, baseline, options)
+    k, probes = options.k, options.probes if options.index_type == "IVF" else None
+    near = None
+    if previous and _grows(previous, options):
+        index = extend(previous.index, new)
+        if refit_on_all and previous.near is not None and index is not previous.index:
+            near = durable(_renewed(previous, new, index, k), "near")
+    else:
+        index = _index(corpus, options)
+    if near is None:
+        rows = corpus if refit_on_all else new
+        if not fits(index):  # grouped by vector, which keeps no list per row
+            return DistanceModel(corpus, index, fit_baseline(rows, index, k, options.percentile, probes=probes), options)
+        near = durable(neighbor_lists(rows, index, k + 1, probes=probes).select("seq", "distances"), "near")
+    baseline = baseline_of_lists(near, options.percentile)
+    return DistanceModel(corpus, index, baseline, options, near if refit_on_all or not previous else None)
+
+
+def _grows(previous: DistanceModel, options: DetectorOptions) -> bool:
+    same = all(getattr(previous.options, o) == getattr(options, o) for o in ("k", "metric", "index_type"))
+    return same and options.index_type == "Flat" and previous.index.cells is None
+
+
+def _renewed(previous: DistanceModel, new: DataFrame, index: CellIndex, k: int) -> DataFrame:
+    """``(seq, distances)`` of all rows: the lists of before with what the new blocks bring, and the new rows' own."""
+    delta = replace_parts(index, index.parts[len(previous.index.parts) :])
+    came = neighbor_lists(previous.corpus, delta, k + 1).select("seq", F.col("distances").alias("_new"))
+    nothing = F.array().cast("array<double>")
+    both = F.concat(F.coalesce("distances", nothing), F.coalesce("_new", nothing))
+    nearest = F.sort_array(both, asc=index.metric != "inner_product")
+    old = previous.near.join(came, "seq").select("seq", F.slice(nearest, 1, k + 1).alias("distances"))
+    return old.union(neighbor_lists(new, index, k + 1).select("seq", "distances"))
 
 
 def score_vectors(rows: DataFrame, model: DistanceModel) -> DataFrame:
@@ -252,7 +297,7 @@ def detect(
 
 STORED_OPTIONS = {
     "k": int, "percentile": float, "min_distance": float, "window_size": int,
-    "temporal_weight": float, "index_type": str, "cells": int, "probes": int,
+    "temporal_weight": float, "index_type": str, "metric": str, "cells": int, "probes": int,
 }
 
 
@@ -271,6 +316,9 @@ def save(model: DistanceModel, path: str) -> None:
     spark.createDataFrame(
         [(b.threshold, b.mean, b.std)], "threshold double, mean double, std double"
     ).coalesce(1).write.parquet(f"{version}/baseline")
+    if model.near is not None:
+        model.near.write.parquet(f"{version}/near")
+    spark.createDataFrame([(model.near is not None,)], "near boolean").coalesce(1).write.parquet(f"{version}/holds")
     models.publish(spark, path, version)
 
 
@@ -295,4 +343,5 @@ def load(
         row = spark.read.parquet(f"{version}/baseline").first()
         baseline = Baseline(row["threshold"], row["mean"], row["std"])
     corpus = spark.read.parquet(f"{version}/corpus")
-    return DistanceModel(corpus, load_index(spark, f"{version}/index"), baseline, options)
+    near = spark.read.parquet(f"{version}/near") if spark.read.parquet(f"{version}/holds").first()["near"] else None
+    return DistanceModel(corpus, load_index(spark, f"{version}/index"), baseline, options, near)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from oddline.functions.text import strip
@@ -55,24 +55,40 @@ def read_json(
     reader = (spark.read if schema is None else spark.read.schema(schema)).option("mode", "FAILFAST")
     if whole is not None:
         return reader.option("multiLine", whole).json(path)
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    return _parsed(reader, json_records(spark, path))
+
+
+def json_records(spark: SparkSession, path: str) -> DataFrame:
+    """``value``: a JSON text per record line, and one per file that is a document.
+
+    Which files are documents is a table that lines are joined with; no list of files
+    reaches the driver.  A document's lines are put together in one row, as the
+    document reader would have it in one row, too.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("pos"), "value",
+    )
     record = _one_value(F.col("value"))
-    kinds = lines.filter(F.trim("value") != "").groupBy("file").agg(F.bool_and(record).alias("by_line"))
-    files = {r["file"]: r["by_line"] for r in kinds.collect()}  # one row per file
-    by_line = sorted(f for f, kind in files.items() if kind)
-    documents = sorted(f for f, kind in files.items() if not kind)
-    if not documents:
-        return reader.json(by_line or path)
-    # The document reader stops after the first value; what follows would be lost.
-    text = spark.read.text(documents, wholetext=True)
-    broken = text.filter(~_one_value(F.col("value"))).select("_metadata.file_path").limit(5).collect()
-    if broken:
-        raise ValueError(f"neither JSON lines nor one document: {[r[0] for r in broken]}")
-    one_each = reader.option("multiLine", True).json(documents)
-    if not by_line:
-        return one_each
-    reader = (spark.read if schema is None else spark.read.schema(schema)).option("mode", "FAILFAST")
-    return reader.json(by_line).unionByName(one_each, allowMissingColumns=True)
+    filled = lines.filter(F.trim("value") != "")
+    kinds = durable(filled.groupBy("file").agg(F.bool_and(record).alias("by_line")), "json-kinds")
+    by_line = filled.join(kinds.filter("by_line"), "file", "left_semi").select("value")
+    ordered = F.sort_array(F.collect_list(F.struct("block", "pos", "value")))
+    whole = (
+        lines.join(kinds.filter("NOT by_line"), "file", "left_semi")
+        .groupBy("file")
+        .agg(F.array_join(F.transform(ordered, lambda x: x["value"]), "\n").alias("value"))
+    )
+    # The parser would stop after the first value; what follows would be lost.
+    broken = F.raise_error(F.concat(F.lit("neither JSON lines nor one document: "), "file"))
+    return by_line.union(whole.select(F.when(_one_value(F.col("value")), F.col("value")).otherwise(broken)))
+
+
+def _parsed(reader: DataFrameReader, records: DataFrame) -> DataFrame:
+    """The JSON reader over a column of texts; a top-level array gives a row per element."""
+    spark = records.sparkSession
+    texts = getattr(records._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    return DataFrame(reader._jreader.json(texts), spark)
 
 
 def read_table(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:

@@ -10,30 +10,25 @@ def parse(spark, lines):
     return parse_logs(df, source="unit").orderBy("seq").collect()
 
 
-def test_sample_lines(spark):
-    rows = parse(
-        spark,
-        [
-            "2023-03-09T04:05:06.789Z ERROR [Billing] Card 7 refused for host 172.16.0.9 - no funds",
-            "Feb 28 23:59:01 gate sshd: [77.5] Session from 192.0.2.44 closed",
-            "INFO 2023-03-09 04:05:08 Report written in 1.5s to /var/out/9",
-            "[WARNING] Queue at 70% on worker-3, add more",
-        ],
-    )
-    assert [r.timestamp for r in rows] == [
-        datetime(2023, 3, 9, 4, 5, 6), None, datetime(2023, 3, 9, 4, 5, 8), None,
-    ]
-    assert [r.log_level for r in rows] == ["ERROR", None, "INFO", "WARNING"]
-    assert [r.cleaned_text for r in rows] == [
-        "[billing] card 7 refused for host <ip> - no funds",
-        "<timestamp> gate sshd: [77.5] session from <ip> closed",
-        "report written in 1.5s to varout9",
-        "[] queue at 70 on worker-3 add more",
-    ]
-    assert rows[2].message == "Report written in 1.5s to /var/out/9"
-    assert {r.source for r in rows} == {"unit"}
-    assert rows[3].metadata.original_length == 44
-    assert rows[3].metadata.cleaned_length == len(rows[3].cleaned_text)
+def test_what_is_taken_out_of_a_line(spark):
+    """One line for each rule: a time, a level, an address, signs, white space, and what stays."""
+    lines = {
+        "time in front": ("2031-12-24 18:00:00 bells", datetime(2031, 12, 24, 18), None, "bells"),
+        "time behind": ("bells at 2031-12-24T18:00:00+01:00", datetime(2031, 12, 24, 18), None, "bells at"),
+        "level anywhere": ("tower debug bells", None, "DEBUG", "tower bells"),
+        "level in brackets": ("<Critical> bells", None, "CRITICAL", "<> bells"),
+        "address": ("bells from 198.51.100.200:8080", None, None, "bells from <ip>:8080"),
+        "second time": ("2031-12-24 18:00:00 till 2031-12-24 19:00:00", datetime(2031, 12, 24, 18), None, "till <timestamp>"),
+        "time without a year": ("Dec 24 18:00:00 bells", None, None, "<timestamp> bells"),
+        "signs": ("bells, {loud} & 100% [3]; -x_y.z: (a)", None, None, "bells loud  100 [3] -x_y.z: (a)"),
+        "white space": ("\tbells \u3000 ring\x0b", None, None, "bells ring"),
+    }
+    rows = parse(spark, [line for line, *_ in lines.values()])
+    for name, row, (line, time, level, cleaned) in zip(lines, rows, lines.values()):
+        assert (row.timestamp, row.log_level, row.cleaned_text) == (time, level, cleaned), name
+        assert (row.metadata.original_length, row.metadata.cleaned_length) == (len(line), len(cleaned)), name
+        assert row.source == "unit"
+    assert rows[1].message == "bells at" and rows[7].message == lines["signs"][0]
 
 
 def test_time_formats(spark):

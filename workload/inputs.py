@@ -2,14 +2,44 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from oddline.operators.encode import TokenHashEncoder
+from oddline.operators.encode import ModelEncoder, TokenHashEncoder
 from oddline.functions.text import CleanOptions
 from oddline.sources.logs import spread
 
 DIM = 64
 ENCODER = TokenHashEncoder(DIM)
+SIGNS = 384  # three MD5 digests of a word
+
+
+def sign_model():
+    """A model as a caller would plug one in: a word is a vector of signs, a text their sum."""
+    import hashlib
+
+    known: dict[str, np.ndarray] = {}
+
+    def signs(word: str) -> np.ndarray:
+        if word not in known:
+            if len(known) >= 100_000:
+                known.clear()
+            digits = b"".join(hashlib.md5(f"{i}:{word}".encode()).digest() for i in range(3))
+            known[word] = 2.0 * np.unpackbits(np.frombuffer(digits, np.uint8)) - 1.0
+        return known[word]
+
+    def predict(texts: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(texts), SIGNS), np.float64)
+        for row, text in zip(out, texts):
+            for word in (text or "").split(" "):
+                if word:
+                    row += signs(word)
+        return out.astype(np.float32)
+
+    return predict
+
+
+SIGN_MODEL = ModelEncoder(sign_model, SIGNS, name="word-signs")
 WHOLE = CleanOptions(max_length=None)
 
 

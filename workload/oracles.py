@@ -448,4 +448,21 @@ SELECT query_id, rank::INTEGER AS rank, neighbor_id, round(distance, 6) AS dista
     )
     out["stream_keyed_detect"], out["stream_keyed_windows"] = out["stream_detect"], out["stream_windows"]
     out["stream_event_trend"] = out["stream_trend"]
+    out["grown_scores"] = f"""WITH {NORMALS}, {fitted(0.95)}, {SCORED} SELECT seq, round(m, 6) AS mean_distance, round(score, 6) AS score, is_anomaly,
+  round(confidence, 6) AS confidence FROM scored"""
+    products = NORMALS.replace(
+        "array_distance(q.e, c.e) * array_distance(q.e, c.e) AS d", "array_inner_product(q.e, c.e) AS d"
+    ).replace("round(d, 9), id", "round(-d, 9), id")
+    out["anomaly_scores_ip"] = f"""WITH {products}, {fitted(0.95)}, {SCORED.replace("rank <= 5", "rank <= 5 AND d >= 0")}
+SELECT seq, round(m, 6) AS mean_distance, round(score, 6) AS score, is_anomaly, round(confidence, 6) AS confidence FROM scored"""
+    out["model_encode_documents"] = f"""WITH c AS (SELECT doc_id, {clean('text', None)} AS t FROM documents),
+words AS MATERIALIZED (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(string_split(t, ' ')) AS w FROM c) WHERE w <> '' GROUP BY ALL),
+digits AS (SELECT w, md5('0:' || w) || md5('1:' || w) || md5('2:' || w) AS h FROM (SELECT DISTINCT w FROM words)),
+signs AS MATERIALIZED (SELECT w, i, 2 * (('0x' || h[i // 4 + 1])::INTEGER >> (3 - i % 4) & 1) - 1 AS s FROM digits, range(384) r(i)),
+sums AS MATERIALIZED (SELECT doc_id, i, sum(n * s)::DOUBLE AS x FROM words JOIN signs USING (w) GROUP BY ALL),
+norms AS (SELECT doc_id, sqrt(sum(x * x)) AS l FROM sums GROUP BY 1),
+unit AS (SELECT doc_id, i, (x / CASE WHEN l = 0 THEN 1 ELSE l END)::FLOAT::DOUBLE AS x FROM sums JOIN norms USING (doc_id))
+SELECT c.doc_id, 'word-signs' AS model_name, 384 AS embedding_dim, 384 AS "values", round(coalesce(max(x) FILTER (i = 0), 0), 5) AS "first",
+  round(coalesce(max(x) FILTER (i = 383), 0), 5) AS "last", round(coalesce(sum(x * (i + 1)), 0), 3) AS weighted
+FROM c LEFT JOIN unit USING (doc_id) GROUP BY 1"""
     return {**out, **forest_oracle.registry()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import partial
 
 import numpy as np
@@ -179,6 +180,22 @@ def hash_encode_documents(spark, sf):
     ).filter("weight > 0").withColumn("weight", F.round(F.col("weight").cast("double"), 6))
 
 
+def model_encode_documents(spark, sf):
+    """A model applied in batches to every different text: fixed random signs per word, 384 values."""
+    d = inputs.documents(spark, sf).select(
+        "doc_id", text.clean_text(F.col("text"), inputs.WHOLE).alias("cleaned")
+    )
+    e = encode_with_metadata(d, "cleaned", inputs.SIGN_MODEL)
+    weighted = F.aggregate(
+        F.transform("embedding", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x
+    )
+    return e.select(
+        "doc_id", "model_name", "embedding_dim", F.size("embedding").alias("values"),
+        F.round(F.get("embedding", F.lit(0)).cast("double"), 5).alias("first"),
+        F.round(F.get("embedding", F.lit(383)).cast("double"), 5).alias("last"), F.round(weighted, 3).alias("weighted"),
+    )
+
+
 def knn_rows(metric, spark, sf):
     e = inputs.table(spark, sf, "embeddings")
     index = build_index(e, fv.K_NEIGHBORS + 1, metric, "vec_id")
@@ -382,6 +399,28 @@ def reloaded_scores(spark, sf):
     return scored.select("seq", six("score"), "is_anomaly", six("confidence"))
 
 
+def grown_scores(spark, sf):
+    """A model that grew: the first half of the corpus, stored, read, and the other half added."""
+    corpus = durable(inputs.vector_corpus(spark, sf), "vector-corpus")
+    middle = corpus.agg(F.max("seq")).first()[0] // 2
+    half = distance.fit_entries(durable(corpus.filter(F.col("seq") <= middle)), DETECTOR)
+    path = scratch_path(spark, "model")
+    distance.save(half, path)
+    model = distance.fit_entries(
+        durable(corpus.filter(F.col("seq") > middle)), DETECTOR, distance.load(spark, path, DETECTOR)
+    )
+    scored = distance.score_vectors(inputs.vectors(spark, sf), model)
+    return scored.select("seq", six("mean_distance"), six("score"), "is_anomaly", six("confidence"))
+
+
+def anomaly_scores_ip(spark, sf):
+    """The detector with products in place of distances."""
+    options = replace(DETECTOR, metric="IP")
+    model = distance.fit_entries(durable(inputs.vector_corpus(spark, sf), "vector-corpus"), options)
+    scored = distance.score_vectors(inputs.vectors(spark, sf), model)
+    return scored.select("seq", six("mean_distance"), six("score"), "is_anomaly", six("confidence"))
+
+
 def sure_anomalies(spark, sf):
     model = vector_model(spark, sf)
     scored = distance.score_vectors(inputs.vectors(spark, sf), model)
@@ -978,10 +1017,10 @@ def registry():
         parse_event_logs, line_formats, level_counts, clean_documents, mask_paths, document_inputs,
         log_file_scan, csv_scan, json_scan,
         siem_labels, siem_split, siem_metadata, siem_texts, siem_totals,
-        hash_encode_documents, knn_label_cells, knn_two_levels, neighborhood_stats, text_search, label_similarity,
+        hash_encode_documents, model_encode_documents, knn_label_cells, knn_two_levels, neighborhood_stats, text_search, label_similarity,
         neighbor_cosine, normalized_vectors, corpus_latest, corpus_lookup, corpus_stats,
         baseline_distances, baseline_threshold, anomaly_scores, unfitted_scores, reloaded_scores,
-        sure_anomalies, burst_flags, score_windows, temporal_features, augmented_vectors,
+        grown_scores, anomaly_scores_ip, sure_anomalies, burst_flags, score_windows, temporal_features, augmented_vectors,
         score_bands, recommendations, explanations, reports,
         hybrid_features, hybrid_distance_scores, isolation_forest, hybrid_detect,
         hybrid_log_detect, document_table_scores, document_scores, reloaded_hybrid_scores, isolation_forest_counts,
