@@ -237,3 +237,53 @@ def test_hybrid_with_probed_cells_and_without_forest(spark, folder, queries, nor
         return [r.distance_score for r in hybrid.score_vectors(rows, m).orderBy("seq").collect()]
 
     assert scores(loaded) == pytest.approx(scores(flat))
+
+
+@pytest.mark.parametrize("metric", ["L2", "IP"])
+def test_a_grown_model_is_the_model_of_all_rows(spark, folder, metric):
+    """Copies, ties and rows nearer than any before; stored and read in between."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(240, 5)) + 2, 1)
+    x[40:80] = x[40]
+    x[150:170] = x[41]
+    table = spark.createDataFrame(
+        [(i, f"r{i:03d}", list(map(float, v))) for i, v in enumerate(x)], "seq long, id string, embedding array<float>"
+    )
+    options = distance.DetectorOptions(metric=metric)
+    model = distance.fit_entries(table.filter("seq < 100"), options)
+    distance.save(model, folder + "/m")
+    for low, high in ((100, 160), (160, 240)):
+        model = distance.fit_entries(table.filter(f"seq >= {low} AND seq < {high}"), options, distance.load(spark, folder + "/m"))
+        distance.save(model, folder + "/m")
+    whole = distance.fit_entries(table, options)
+    assert len(model.index.parts) == 3 and model.near.count() == 240
+    for name in ("threshold", "mean", "std"):
+        assert getattr(model.baseline, name) == pytest.approx(getattr(whole.baseline, name), abs=1e-9)
+    queries = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(rng.normal(size=(30, 5)) + 2)], "seq long, embedding array<float>")
+    a, b = (
+        sorted((r.seq, r.nearest_neighbors, round(r.mean_distance, 9)) for r in distance.score_vectors(queries, m).collect())
+        for m in (model, whole)
+    )
+    assert a == b
+
+
+def test_scores_do_not_depend_on_the_way_of_searching(spark, monkeypatch):
+    """A corpus too large for a task is searched by a join, with the same baseline and scores."""
+    from oddline.operators import baseline
+    from oddline.plans import distance_detector
+
+    rows = [(i, f"r{i}", [float(i % 7), float(i % 11), 1.0]) for i in range(90)]
+    table = spark.createDataFrame(rows, "seq long, id string, embedding array<double>")
+
+    def scores():
+        model = distance.fit_entries(table, distance.DetectorOptions())
+        found = distance.score_vectors(table.select("seq", "embedding"), model).collect()
+        return model.baseline, sorted((r.seq, r.nearest_neighbors, round(r.score, 9)) for r in found)
+
+    first, one = scores()
+    for module in (baseline, distance_detector):
+        monkeypatch.setattr(module, "fits", lambda index: False)
+    second, two = scores()
+    assert one == two and first.threshold == pytest.approx(second.threshold, abs=1e-9)

@@ -147,3 +147,19 @@ def test_scratch_is_the_configured_folder(spark):
     assert stored.count() == 5 and stored.inputFiles()[0].split(":", 1)[1].lstrip("/").startswith(
         shared_dir(spark).split(":", 1)[-1].lstrip("/")
     )
+
+
+def test_json_documents_keep_their_lines_in_order(spark, folder):
+    """Documents over many lines and files of one record, some with blank lines; types are inferred over all."""
+    os.makedirs(folder + "/many")
+    for i in range(60):
+        with open(f"{folder}/many/{i}.json", "w") as out:
+            if i % 3:
+                out.write(json.dumps({"a": i, "b": "x\ny"}) + "\n\n")
+            else:
+                out.write(json.dumps([{"a": i, "c": [1, 2]}, {"a": -i}], indent=2))
+    rows = files.read_json(spark, folder + "/many")
+    assert set(rows.columns) == {"a", "b", "c"} and rows.count() == 80
+    assert rows.agg(F.sum("a"), F.sum(F.aggregate("c", F.lit(0).cast("bigint"), lambda x, y: x + y))).first()[:] == (
+        sum(i for i in range(60) if i % 3), 60
+    )
