@@ -520,8 +520,11 @@ def _slack(q: np.ndarray, pivots: np.ndarray) -> float:
     return 1e-6 * np.sqrt(scale) + 1e-9
 
 
-def cells_to_visit(q: np.ndarray, level: Level, k: int, metric: str, probes: int | None) -> list[np.ndarray]:
-    """Positions of the cells each query has to visit: the ``probes`` nearest, or all that bounds leave."""
+def cells_to_visit(
+    q: np.ndarray, level: Level, k: int, metric: str, probes: int | None, within: float | None = None
+) -> list[np.ndarray]:
+    """Positions of the cells each query has to visit: the ``probes`` nearest, those that can
+    hold a row at most ``within`` away, or all that bounds for ``k`` rows leave."""
     pivots, full, reach, radius = level.pivots, level.counts > 0, level.reach[:, :k], level.radius
     d = _pivot_distances(q, pivots)
     d[:, ~full] = np.inf
@@ -529,6 +532,8 @@ def cells_to_visit(q: np.ndarray, level: Level, k: int, metric: str, probes: int
         wanted = min(probes, int(full.sum()))
         return list(np.argsort(d, axis=1, kind="stable")[:, :wanted].astype(np.int32))
     slack = _slack(q, pivots)
+    if within is not None:
+        return [np.flatnonzero(row).astype(np.int32) for row in (d - radius[None, :] <= within + slack) & full[None, :]]
     if metric == "inner_product":
         # Cost = minus the product; it changes by at most |q| per unit of distance.
         base = -(q @ pivots.T)
@@ -543,18 +548,20 @@ def cells_to_visit(q: np.ndarray, level: Level, k: int, metric: str, probes: int
     return [np.flatnonzero(row).astype(np.int32) for row in visited]
 
 
-def route(queries: DataFrame, index: CellIndex, k: int, probes: int | None) -> DataFrame:
+def route(queries: DataFrame, index: CellIndex, k: int, probes: int | None, within: float | None = None) -> DataFrame:
     """Adds ``blocks`` to ``queries(vec_key, vec, ...)``: the blocks each query has to be compared with."""
     if index.cells is not None:
-        return _route_grouped(queries, index, k, probes)
+        return _route_grouped(queries, index, k, probes, within)
     of_cell = index.blocks_of_cells()
     if not index.level.bounded:
         every = of_cell.get(0, np.zeros(0, np.int32)).tolist()
         return queries.withColumn("blocks", F.array(*[F.lit(b) for b in every]).cast("array<int>"))
-    return _visiting(queries, index, k, probes, of_cell, "blocks")
+    return _visiting(queries, index, k, probes, within, of_cell, "blocks")
 
 
-def _visiting(queries: DataFrame, index: CellIndex, k: int, probes: int | None, of_cell, name: str) -> DataFrame:
+def _visiting(
+    queries: DataFrame, index: CellIndex, k: int, probes: int | None, within: float | None, of_cell, name: str
+) -> DataFrame:
     """Adds what the first level leaves: blocks of cells by ``of_cell``, or nodes."""
     shared = queries.sparkSession.sparkContext.broadcast((index.level, of_cell, index.metric))
 
@@ -565,7 +572,7 @@ def _visiting(queries: DataFrame, index: CellIndex, k: int, probes: int | None,
             found: list[np.ndarray] = []
             for start in range(0, len(pdf), step):
                 q = stack(pdf["vec"].iloc[start : start + step])
-                found += cells_to_visit(q, level, k, metric, probes)
+                found += cells_to_visit(q, level, k, metric, probes, within)
             if table is not None:
                 found = [np.concatenate([table[int(c)] for c in own if int(c) in table] or [np.zeros(0, np.int32)]) for own in found]
             if len(pdf):
@@ -575,14 +582,16 @@ def _visiting(queries: DataFrame, index: CellIndex, k: int, probes: int | None,
     return queries.mapInPandas(visit, f"{types}, {name} array<int>")
 
 
-def _route_grouped(queries: DataFrame, index: CellIndex, k: int, probes: int | None) -> DataFrame:
+def _route_grouped(
+    queries: DataFrame, index: CellIndex, k: int, probes: int | None, within: float | None
+) -> DataFrame:
     """Level by level: queries go to groups, and there to cells.
 
     Exact: what a group's own cells bound is at least what all rows bound, so nothing
     near is missed.  Probing: the ``probes`` nearest groups, of their cells the
     ``probes`` nearest.
     """
-    to_nodes = durable(_visiting(queries.select("vec_key", "vec"), index, k, probes, None, "nodes"), "knn-to-nodes")
+    to_nodes = durable(_visiting(queries.select("vec_key", "vec"), index, k, probes, within, None, "nodes"), "knn-to-nodes")
     asked = to_nodes.select(F.explode("nodes").alias("node"), "vec_key", "vec")
     visits = {r["node"]: r["count"] for r in asked.groupBy("node").count().collect()}  # one row per node
     metric, key_type = index.metric, _type(queries, "vec_key")
@@ -599,7 +608,7 @@ def _route_grouped(queries: DataFrame, index: CellIndex, k: int, probes: int | N
         for start in range(0, len(rows), step):
             part = rows.iloc[start : start + step]
             q = stack(part["vec"])
-            found = cells_to_visit(q, level, k, metric, probes)
+            found = cells_to_visit(q, level, k, metric, probes, within)
             at, of = np.repeat(np.arange(len(q)), [len(f) for f in found]), np.concatenate(found)
             away = _pivot_distances(q, level.pivots)[at, of]
             parts.append(pd.DataFrame({"vec_key": part["vec_key"].to_numpy()[at], "cell": cells[of], "away": away}))

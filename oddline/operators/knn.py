@@ -220,7 +220,11 @@ def knn(
     elif index.size * 8 * index.width <= sent_bytes:
         found = _corpus_sent(routed, index, k)
     else:
-        found = _shuffled(routed, index, k, block_queries or max(1, BLOCK_BYTES // (8 * size["width"])))
+        metric = index.metric
+        found = search_blocks(
+            routed, index, lambda keys, q, ids, c: _nearest_in_block(keys, q, ids, c, k, metric),
+            block_queries or max(1, BLOCK_BYTES // (8 * size["width"])),
+        )
     sign = -1 if index.metric == "inner_product" else 1
     ranked = first_per_group(
         found,
@@ -379,8 +383,10 @@ def _search_all(q: np.ndarray, blocks, level, table, k: int, metric: str, probes
     return names, distances
 
 
-def _shuffled(routed: DataFrame, index: CellIndex, k: int, block_queries: int) -> DataFrame:
-    """Search where queries are shuffled to the buckets of the blocks, which stay where they are.
+def search_blocks(routed: DataFrame, index: CellIndex, kernel, block_queries: int) -> DataFrame:
+    """Compare queries with their blocks; they are shuffled to the blocks' buckets, and blocks stay where they are.
+
+    ``kernel(keys, vectors, ids, block_vectors)`` gives rows ``vec_key, neighbor_id, distance``.
 
     The queries of a block are cut into groups of ``block_queries``; the groups of a
     block asked by very many run in up to ``WAVES`` tasks, each reading it once.
@@ -393,15 +399,14 @@ def _shuffled(routed: DataFrame, index: CellIndex, k: int, block_queries: int) -
     most = counted.agg(F.max("_groups")).first()[0] or 1
     waves = min(WAVES, most)
     cut = asked.join(counted, "block").withColumn("_group", F.pmod(F.xxhash64("vec_key"), F.col("_groups"))).drop("_groups")
-    metric, kind, schema = index.metric, index.kind, _found_schema(routed, index)
+    kind, schema = index.kind, _found_schema(routed, index)
 
     def search(q: pa.Table, c: pa.Table) -> pa.Table:
         if not len(q) or not len(c):
             return pa.table({"vec_key": q["vec_key"][:0], "neighbor_id": c["ids"].combine_chunks().flatten()[:0], "distance": pa.array([], pa.float64())})
         _, ids, vectors = next(unpacked(c.combine_chunks().to_batches()[0], kind))
         asking = q["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(q), -1).astype(np.float64)
-        found = _nearest_in_block(q["vec_key"].to_numpy(), asking, ids, vectors, k, metric)
-        return pa.Table.from_pandas(found, preserve_index=False)
+        return pa.Table.from_pandas(kernel(q["vec_key"].to_numpy(), asking, ids, vectors), preserve_index=False)
 
     names, results = [], []
     for part in index.parts:

@@ -2,11 +2,95 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from oddline.functions.vectors import cosine
-from oddline.operators.knn import Neighbors
+from oddline.functions.vectors import cosine, l2_normalize
+from oddline.operators.cells import BLOCK_BYTES, build_index, digest, route, stack
+from oddline.operators.knn import KERNEL_VALUES, Neighbors, fits, search_blocks
 from oddline.operators.skew import salted_lookup
+from oddline.session import durable
+
+SIMILAR_DECIMALS = 9  # a similarity this near the threshold reaches it
+
+
+@dataclass(frozen=True)
+class SimilarPairs:
+    """All pairs of different directions that are similar, and who has a direction."""
+
+    pairs: DataFrame  # (left_id, right_id, similarity), left_id < right_id, both smallest of their class
+    members: DataFrame  # (id, class_id): rows with the same direction
+
+
+def _similar_in_block(keys: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarray, threshold: float) -> pd.DataFrame:
+    """Pairs of one block with at least the similarity, the smaller key first.
+
+    Products in single precision narrow the candidates; each gets its exact product.
+    """
+    right = np.ascontiguousarray(c.T, dtype=np.float32)
+    low = np.float32(threshold - 1e-5)
+    at_found, hit_found, found = [], [], []
+    step = max(1, KERNEL_VALUES // len(c))
+    for start in range(0, len(q), step):
+        at, hit = np.divmod(np.flatnonzero(q[start : start + step].astype(np.float32) @ right >= low), len(c))
+        for part in range(0, len(at), 65_536):
+            a, h = start + at[part : part + 65_536], hit[part : part + 65_536]
+            value = (q[a] * c[h]).sum(1)
+            keep = (np.round(value, SIMILAR_DECIMALS) >= threshold) & (keys[a] < ids[h])
+            at_found.append(a[keep]), hit_found.append(h[keep]), found.append(value[keep])
+    if not found:
+        return pd.DataFrame({"vec_key": keys[:0], "neighbor_id": ids[:0], "distance": np.zeros(0)})
+    a, h = np.concatenate(at_found), np.concatenate(hit_found)
+    return pd.DataFrame({"vec_key": keys[a], "neighbor_id": ids[h], "distance": np.concatenate(found)})
+
+
+def similar_pairs(
+    rows: DataFrame, threshold: float, id_col: str = "id", vec_col: str = "embedding", cells: int | None = None
+) -> SimilarPairs:
+    """All pairs of ``rows`` whose cosine is at least ``threshold``.
+
+    Rows of one direction form a class, so a group of copies is one vector.  Unit vectors
+    of cosine ``t`` are ``sqrt(2 - 2 t)`` apart, so a vector meets only cells whose centre,
+    less their radius, is that near.  Candidates never leave the task that finds them.
+    Rows without vector, or of length 0, have no direction and no class.
+    """
+    unit = rows.select(F.col(id_col).alias("id"), l2_normalize(F.col(vec_col).cast("array<double>")).alias("vec"))
+    length = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)
+    unit = durable(unit.filter(length > 0.5), "directions")
+    keyed = unit.select("id", *digest(), "vec")
+    classes = durable(
+        keyed.groupBy("_h1", "_h2").agg(F.min("id").alias("vec_key"), F.first("vec").alias("vec")), "classes"
+    )
+    members = salted_lookup(keyed.drop("vec"), classes.select("_h1", "_h2", F.col("vec_key").alias("class_id")), ["_h1", "_h2"], "inner", ["id"])
+    heads = classes.select("vec_key", "vec")
+    index = build_index(heads, 1, "squared_l2", "vec_key", "vec", cells=cells)
+    routed = route(heads, index, 1, None, within=float(np.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6))
+    if fits(index):
+        shared = index.sent()
+
+        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                keys, asked = pdf["vec_key"].to_numpy(), [set(b) for b in pdf["blocks"]]
+                q = stack(pdf["vec"]) if len(pdf) else None
+                for number, ids, c in shared.value:
+                    at = np.flatnonzero([number in own for own in asked])
+                    if len(at):
+                        yield _similar_in_block(keys[at], q[at], ids, c, threshold)
+
+        kind = index.id_type
+        found = routed.mapInPandas(search, f"vec_key {kind}, neighbor_id {kind}, distance double")
+    else:
+        width = max(index.width, 1)
+        found = search_blocks(
+            durable(routed, "knn-routed"), index,
+            lambda keys, q, ids, c: _similar_in_block(keys, q, ids, c, threshold), max(1, BLOCK_BYTES // (8 * width)),
+        )
+    pairs = found.select(F.col("vec_key").alias("left_id"), F.col("neighbor_id").alias("right_id"), F.col("distance").alias("similarity"))
+    return SimilarPairs(pairs, members.select("id", "class_id"))
 
 
 def pair_similarity(

@@ -193,3 +193,23 @@ def test_block_kernel_far_from_origin_and_with_ties():
             if metric == "inner_product" and x is far:
                 continue  # products near 8e8 have no nine decimals to compare
             assert (out["neighbor_id"].to_numpy().reshape(-1, 6) == brute(x[:200], x, 6, metric)).all()
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_all_similar_pairs(spark, monkeypatch, large):
+    """Every pair above the threshold, once; copies and multiples are one class, zeros have none."""
+    from oddline.operators import similarity
+
+    x = clustered(300, seed=6, hot=60)
+    x[100] = 2 * x[101]
+    x[7] = 0
+    if large:
+        monkeypatch.setattr(similarity, "fits", lambda index: False)
+    found = similarity.similar_pairs(frame(spark, x), 0.99, cells=8)
+    of = {r.id: r.class_id for r in found.members.collect()}
+    assert 7 not in of and of[101] == 100 and {of[i] for i in range(60) if i != 7} == {0}
+    unit = x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
+    heads = sorted(set(of.values()))
+    close = np.round(unit @ unit.T, 9) >= 0.99
+    want = [(a, b) for i, a in enumerate(heads) for b in heads[i + 1 :] if close[a, b]]
+    assert sorted((r.left_id, r.right_id) for r in found.pairs.collect()) == want and len(want) > 100

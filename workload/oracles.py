@@ -448,6 +448,9 @@ SELECT query_id, rank::INTEGER AS rank, neighbor_id, round(distance, 6) AS dista
     )
     out["stream_keyed_detect"], out["stream_keyed_windows"] = out["stream_detect"], out["stream_windows"]
     out["stream_event_trend"] = out["stream_trend"]
+    out["similar_vectors"] = """WITH u AS MATERIALIZED (SELECT min(vec_id) AS id, count(*) AS n, any_value(list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y))))::DOUBLE[64]) AS e FROM embeddings GROUP BY embedding)
+SELECT a.id AS left_id, b.id AS right_id, round(array_inner_product(a.e, b.e), 6) AS similarity, a.n AS left_rows, b.n AS right_rows
+FROM u a JOIN u b ON a.id < b.id WHERE round(array_inner_product(a.e, b.e), 9) >= 0.3"""
     out["grown_scores"] = f"""WITH {NORMALS}, {fitted(0.95)}, {SCORED} SELECT seq, round(m, 6) AS mean_distance, round(score, 6) AS score, is_anomaly,
   round(confidence, 6) AS confidence FROM scored"""
     products = NORMALS.replace(

@@ -290,6 +290,16 @@ def label_similarity(spark, sf):
     return out.select(F.col("left_id").alias("vec_id"), F.col("right_id").alias("label"), six("similarity"))
 
 
+def similar_vectors(spark, sf):
+    """All pairs of different vectors with a cosine of at least 0.3, and how many rows each has."""
+    found = similarity.similar_pairs(inputs.table(spark, sf, "embeddings"), 0.3, "vec_id", cells=12)
+    sizes = found.members.groupBy("class_id").agg(F.count(F.lit(1)).alias("rows"))
+    left = sizes.select(F.col("class_id").alias("left_id"), F.col("rows").alias("left_rows"))
+    right = sizes.select(F.col("class_id").alias("right_id"), F.col("rows").alias("right_rows"))
+    both = found.pairs.join(left, "left_id").join(right, "right_id")
+    return both.select("left_id", "right_id", six("similarity"), "left_rows", "right_rows")
+
+
 def neighbor_cosine(spark, sf):
     e = inputs.table(spark, sf, "embeddings")
     index = build_index(e, 2, "squared_l2", "vec_id")
@@ -1018,7 +1028,7 @@ def registry():
         log_file_scan, csv_scan, json_scan,
         siem_labels, siem_split, siem_metadata, siem_texts, siem_totals,
         hash_encode_documents, model_encode_documents, knn_label_cells, knn_two_levels, neighborhood_stats, text_search, label_similarity,
-        neighbor_cosine, normalized_vectors, corpus_latest, corpus_lookup, corpus_stats,
+        similar_vectors, neighbor_cosine, normalized_vectors, corpus_latest, corpus_lookup, corpus_stats,
         baseline_distances, baseline_threshold, anomaly_scores, unfitted_scores, reloaded_scores,
         grown_scores, anomaly_scores_ip, sure_anomalies, burst_flags, score_windows, temporal_features, augmented_vectors,
         score_bands, recommendations, explanations, reports,
