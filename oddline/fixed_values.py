@@ -63,7 +63,6 @@ FOREST_SAMPLE = 256
 FOREST_CONTAMINATION = 0.1
 FOREST_SEED = 42
 HYBRID_CONFIDENCE = 0.5
-EVALUATION_ROWS = 100
 
 # --- Fixed values: explanation texts ------------------------------------------------
 # (upper bound, band, sentence); a score outside [0, 1) gets OUT_OF_BAND.

@@ -724,11 +724,12 @@ def json_folder_scan(spark, sf):
     path = scratch_path(spark, "mixed-json")
     rows = inputs.siem_records(spark, sf).select("event_id", "severity")
     rows.filter("event_id % 3 <> 0").write.json(path)
-    listed = rows.filter("event_id % 3 = 0").groupBy((F.col("event_id") % 97).alias("part")).agg(
+    # Documents of 1,000 records each, so that their number grows with the table.
+    listed = rows.filter("event_id % 3 = 0").groupBy(F.floor(F.col("event_id") / 3000).alias("part")).agg(
         F.sort_array(F.collect_list(F.struct("event_id", "severity"))).alias("all")
     )
     pretty = F.concat(F.lit("[\n"), F.concat_ws(",\n", F.transform("all", lambda r: F.to_json(r))), F.lit("\n]"))
-    listed.repartition(97, "part").select(pretty.alias("value")).write.mode("append").option("maxRecordsPerFile", 1).text(path)
+    listed.select(pretty.alias("value")).write.mode("append").option("maxRecordsPerFile", 1).text(path)
     return files.read_json(spark, path, "event_id bigint, severity string")
 
 
@@ -896,26 +897,6 @@ def stream_scores(spark, sf):
     return jobs.read_epochs(spark, out).select("seq", six("score"), "is_anomaly", six("confidence"))
 
 
-def stream_windows(spark, sf):
-    stream = inputs.series_of(_event_stream(spark, sf))
-    out = scratch_path(spark, "stream-windows")
-    _finish(
-        jobs.window_stream(
-            stream, ["source"], ["seq"], out, scratch_path(spark, "state"), scratch_path(spark, "ckpt")
-        )
-    )
-    return jobs.read_epochs(spark, out).select(
-        "seq", six("temporal_weight"), six("time_adjusted_score"), "is_burst"
-    )
-
-
-def stream_trend(spark, sf):
-    out = scratch_path(spark, "stream-trend")
-    stream = inputs.series_of(_event_stream(spark, sf))
-    _finish(jobs.trend_stream(stream, out, scratch_path(spark, "ckpt")))
-    return jobs.running_trend(spark, out).withColumn("bucket_start", when_text("bucket_start"))
-
-
 class _Arriving:
     """Rows in arrival order as parts of equally many files; a micro-batch reads one part."""
 
@@ -947,6 +928,30 @@ def _detected(found: DataFrame) -> DataFrame:
     )
 
 
+def stream_windows(spark, sf):
+    """Score windows over three micro-batches; their state is kept by the job."""
+    arriving = _Arriving(spark, inputs.score_series(spark, sf))
+    arriving.add(0, 1, 2)
+    out = scratch_path(spark, "stream-windows")
+    _finish(
+        jobs.window_stream(
+            arriving.stream(), ["source"], ["seq"], out, scratch_path(spark, "state"), scratch_path(spark, "ckpt")
+        )
+    )
+    return jobs.read_epochs(spark, out).select(
+        "seq", six("temporal_weight"), six("time_adjusted_score"), "is_burst"
+    )
+
+
+def stream_trend(spark, sf):
+    """Counts per bucket and epoch, added up; three micro-batches."""
+    arriving = _Arriving(spark, inputs.score_series(spark, sf))
+    arriving.add(0, 1, 2)
+    out = scratch_path(spark, "stream-trend")
+    _finish(jobs.trend_stream(arriving.stream(), out, scratch_path(spark, "ckpt")))
+    return jobs.running_trend(spark, out).withColumn("bucket_start", when_text("bucket_start"))
+
+
 def stream_detect(spark, sf):
     """The detector on a stream of three micro-batches: the windows go on."""
     lines = inputs.event_lines(spark, sf)
