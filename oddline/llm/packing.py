@@ -122,8 +122,9 @@ def pack_items(items: DataFrame, capacity: int, group_items: int = GROUP_ITEMS)
 
     Partitions that reach their lower bound are proved best and closed, full bins
     are closed too; the rest exchanges its documents among an eighth as many
-    partitions.  It ends when all are proved, when one partition is left, or when
-    an exchange saves no bin.
+    partitions, or as many as hold ``group_items`` each if that is more.  It ends when
+    all are proved, when one partition is left, when an exchange saves no bin, or, among
+    as many partitions as before, less than one in each.
     """
     placed, waiting, level, before = None, items, 0, None
     groups = max(1, -(-items.count() // group_items))
@@ -148,11 +149,17 @@ def pack_items(items: DataFrame, capacity: int, group_items: int = GROUP_ITEMS)
         rest = numbered.filter(loose)
         settled = kept if level == 0 else closed.union(kept)
         placed = settled.union(rest.select("uid", "sequence_id", "offset"))
-        before = rest.select("group", "bin").distinct().count()
+        loosely, saved = rest.agg(
+            F.count_distinct("group", "bin").alias("bins"), F.count(F.lit(1)).alias("items")
+        ).first(), None if before is None else before - used
+        before = loosely["bins"]
         if groups == 1 or before == 0:
             return placed
         closed, waiting, level = settled, rest.select("uid", "length"), level + 1
-        groups = max(1, groups // FAN_IN)
+        fewer = max(1, groups // FAN_IN, -(-loosely["items"] // group_items))
+        if fewer == groups and saved is not None and saved < groups:
+            return placed
+        groups = fewer
 
 
 def pack(
