@@ -25,6 +25,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from oddline import fixed_values as fv
 from oddline.operators.cells import (  # noqa: F401  (the index is a part of the search's interface)
@@ -341,19 +343,25 @@ def neighbor_columns(
     metric, level, shared = index.metric, index.level, index.sent()
     table = index.blocks_of_cells() if level.bounded else None
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            has = pdf[vec_col].notna().to_numpy()
-            ids, away = np.full(len(pdf), None, object), np.full(len(pdf), None, object)
-            if has.any():
-                q, inverse = np.unique(stack(pdf.loc[has, vec_col]), axis=0, return_inverse=True)
+    id_type = to_arrow_type(DataType.fromDDL(index.id_type))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(batch.schema.get_field_index(vec_col))
+            has = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+            ids, away = np.full(len(column), None, object), np.full(len(column), None, object)
+            if len(has):
+                values = column.take(pa.array(has)).flatten().to_numpy(zero_copy_only=False).reshape(len(has), -1)
+                q, inverse = np.unique(values.astype(np.float64), axis=0, return_inverse=True)
                 names, distances = _search_all(q, shared.value, level, table, k, metric, probes)
-                of = inverse.ravel()
-                ids[has], away[has] = names[of], distances[of]
-            yield pdf.assign(nearest_neighbors=ids, distances=away)
+                ids[has], away[has] = names[inverse.ravel()], distances[inverse.ravel()]
+            added = [pa.array(ids.tolist(), pa.list_(id_type)), pa.array(away.tolist(), pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, *added], [*batch.schema.names, "nearest_neighbors", "distances"]
+            )
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInPandas(search, f"{types}, nearest_neighbors array<{index.id_type}>, distances array<double>")
+    return rows.mapInArrow(search, f"{types}, nearest_neighbors array<{index.id_type}>, distances array<double>")
 
 
 def _search_all(q: np.ndarray, blocks, level, table, k: int, metric: str, probes: int | None):

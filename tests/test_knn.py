@@ -213,3 +213,16 @@ def test_all_similar_pairs(spark, monkeypatch, large):
     close = np.round(unit @ unit.T, 9) >= 0.99
     want = [(a, b) for i, a in enumerate(heads) for b in heads[i + 1 :] if close[a, b]]
     assert sorted((r.left_id, r.right_id) for r in found.pairs.collect()) == want and len(want) > 100
+
+
+def test_columns_are_added_without_touching_the_others(spark):
+    """Nulls in numbers and vectors, times and texts stay; a row without vector gets null lists."""
+    from datetime import datetime
+
+    rows = [(1, [0.0, 1.0], None, "a", datetime(2024, 1, 1, 5)), (2, None, 7, None, None), (3, [0.0, 1.0], 2**60 + 1, "c", None)]
+    data = spark.createDataFrame(rows, "seq long, embedding array<double>, number long, text string, ts timestamp")
+    index = build_index(frame(spark, np.eye(2), ["x", "y"]), 2)
+    found = {r.seq: r for r in search.neighbor_columns(data, index, 2).collect()}
+    assert {tuple(r)[2:5] for r in found.values()} == {r[2:] for r in rows}
+    assert found[1].nearest_neighbors == ["y", "x"] and found[3].distances == [0.0, 2.0]
+    assert found[2].nearest_neighbors is None and found[2].distances is None
