@@ -38,6 +38,7 @@ SEED = 7
 BLOCK_BYTES = 12 << 20
 CHUNK = 1 << 10  # classes summed together
 CELLS = CLASSES + 2
+PIECE = 1 << 10  # positions of a document walked in one go; results do not depend on it
 
 
 # --- blocks of coded documents ---------------------------------------------------
@@ -179,61 +180,124 @@ class Model:
 
 
 class Ragged:
-    """Documents of unequal length, the longest first, walked one position at a time."""
-
-    def __init__(self, classes: np.ndarray, lengths: np.ndarray):
-        self.order = np.argsort(-lengths, kind="stable")
-        self.lengths = lengths[self.order]
-        starts = (np.cumsum(lengths) - lengths)[self.order]
-        steps = int(self.lengths[0]) if len(lengths) else 0
-        self.active = np.searchsorted(-self.lengths, -np.arange(steps), "left")  # lengths > t
+    """Documents of unequal length in pieces, the longest first, walked one position at a time.
+
+    Documents of more than ``PIECE`` positions are cut, so that the number of steps is
+    bounded.  What a piece does to any vector of states that enters it is a matrix
+    (``transfers``); the product of those before it gives what enters it (``entering``),
+    and of those behind it what comes back at its end (``leaving``), so sums are exact.
+    """
+
+    def __init__(self, classes: np.ndarray, lengths: np.ndarray, piece: int | None = None):
+        piece = piece or PIECE
+        self.documents, cuts = len(lengths), -(-lengths // piece)
+        document = np.repeat(np.arange(len(lengths)), cuts)
+        number = np.arange(len(document)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+        sizes = np.minimum(lengths[document] - number * piece, piece)
+        starts = (np.cumsum(lengths) - lengths)[document] + number * piece
+        order = np.argsort(-sizes, kind="stable")
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        self.source, self.starts, self.sizes, number = classes, starts[order], sizes[order], number[order]
+        self.before = rank[order - 1]  # the piece in front, where there is one
+        steps = int(self.sizes[0]) if len(order) else 0
+        self.active = np.searchsorted(-self.sizes, -np.arange(steps), "left")  # sizes > t
         self.offset = np.r_[0, np.cumsum(self.active)]
-        position = np.arange(self.offset[-1]) - np.repeat(self.offset[:-1], self.active)
-        self.classes = classes[starts[position] + np.repeat(np.arange(steps), self.active)]
+        place = np.arange(self.offset[-1]) - np.repeat(self.offset[:-1], self.active)
+        self.document = document[order][place]
+        self.classes = classes[self.starts[place] + np.repeat(np.arange(steps), self.active)]
+        # Pieces of cut documents, and the second, third, ... pieces of all documents.
+        self.cut = np.flatnonzero(cuts[document[order]] > 1)
+        self.slot = np.zeros(len(order), dtype=np.int64)
+        self.slot[self.cut] = np.arange(len(self.cut))
+        later = np.argsort(number, kind="stable")
+        self.waves = np.split(later, np.flatnonzero(np.diff(number[later])) + 1)[1:]
 
     def at(self, t: int) -> slice:
         return slice(self.offset[t], self.offset[t + 1])
 
+    def transfers(self, ratio: np.ndarray, move: np.ndarray) -> np.ndarray:
+        """Per piece of a cut document the matrix from first to last state, up to a factor."""
+        k, sizes, starts = len(ratio), self.sizes[self.cut], self.starts[self.cut]
+        found = np.repeat(np.eye(k, dtype=ratio.dtype)[:, :, None], len(sizes), axis=2)
+        for t in range(int(sizes[0]) if len(sizes) else 0):
+            n = np.searchsorted(-sizes, -t, "left")
+            v = found[:, :, :n]
+            if t:
+                v = (move @ v.reshape(k, k * n)).reshape(k, k, n)
+            v = v * np.take(ratio, self.source[starts[:n] + t], axis=1)[:, None]
+            v /= np.add.reduce(v.reshape(k * k, n))
+            found[:, :, :n] = v
+        return found
+
+    def entering(self, start: np.ndarray, move: np.ndarray, found: np.ndarray):
+        """The states' shares that enter every piece, and those at the end of pieces that others follow."""
+        enter = np.repeat(start[:, None], len(self.sizes), axis=1)
+        ends = np.ones_like(enter)
+        for own in self.waves:
+            before = self.before[own]
+            end = np.einsum("ijn,jn->in", found[:, :, self.slot[before]], enter[:, before])
+            ends[:, before] = end / end.sum(axis=0)
+            enter[:, own] = move @ ends[:, before]
+        return enter, ends
+
+    def leaving(self, ends: np.ndarray, move: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """The backward values at the end of every piece; 1 at the end of a document."""
+        leave = np.ones_like(ends)
+        for own in reversed(self.waves):
+            before = self.before[own]
+            back = move.T @ np.einsum("ijn,in->jn", found[:, :, self.slot[own]], leave[:, own])
+            leave[:, before] = back / (back * ends[:, before]).sum(axis=0)
+        return leave
+
 
 def forward(model: Model, r: Ragged, keep: bool = False):
-    """Log10 of the likelihood ratio of every document; with ``keep`` the scaled forward values, too."""
-    logs = np.zeros(len(r.order))
-    values = np.empty((len(r.classes), len(model.start)), dtype=np.float32) if keep else None
-    scales = np.empty(len(r.classes)) if keep else None
-    a = np.tile(model.start, (len(r.order), 1))
+    """Log10 of the likelihood ratio of every document; with ``keep`` what ``expected`` needs, too.
+
+    States are rows and pieces columns, so that every step is a few operations on
+    long rows.  Kept values are in single precision; they are scaled at every position.
+    """
+    kind = np.float32 if keep else np.float64
+    ratio, move = np.ascontiguousarray(model.ratio.T, kind), np.ascontiguousarray(model.move.T, kind)
+    found = r.transfers(ratio, move)
+    a, ends = r.entering(model.start.astype(kind), move, found)
+    emissions = np.take(ratio, r.classes, axis=1) if keep else None
+    values, scales = np.empty_like(emissions) if keep else None, np.empty(len(r.classes), kind)
     for t in range(len(r.active)):
-        n, own = r.active[t], r.at(t)
-        a = (a[:n] @ model.move if t else a[:n]) * model.ratio[r.classes[own]]
-        s = a.sum(axis=1)
-        a /= s[:, None]
-        logs[:n] += np.log10(s)
-        if keep:
-            values[own], scales[own] = a, s
-    out = np.empty_like(logs)
-    out[r.order] = logs
-    return (out, values, scales) if keep else out
+        own = r.at(t)
+        e = emissions[:, own] if keep else np.take(ratio, r.classes[own], axis=1)
+        a = np.multiply(e, move @ a[:, : r.active[t]] if t else a, out=values[:, own] if keep else e)
+        a /= np.add.reduce(a, 0, None, scales[own])
+    logs = np.bincount(r.document, np.log10(scales, dtype=np.float64), r.documents)
+    return (logs, values, emissions, scales, r.leaving(ends, move, found), ends) if keep else logs
 
 
 def expected(model: Model, r: Ragged):
     """Expected starts, moves and emissions (forward-backward), and the log10 likelihood ratio."""
-    logs, alpha, scales = forward(model, r, keep=True)
+    logs, alpha, emissions, scales, leave, ends = forward(model, r, keep=True)
     k = len(model.start)
-    moves, emitted = np.zeros((k, k)), np.zeros((len(model.ratio), k))
-    beta, back = np.ones((len(r.order), k)), None
+    move = model.move.astype(np.float32)
+    moves, emitted = np.zeros((k, k)), np.empty((len(model.ratio), k))
+    back = np.empty((k, 0), np.float32)
     for t in range(len(r.active) - 1, -1, -1):
-        n, own = r.active[t], r.at(t)
-        b = np.ones((n, k))
-        if back is not None:
-            n1 = len(back)
-            moves += alpha[own][:n1].T @ back
-            b[:n1] = back @ model.move.T
-        g = alpha[own] * b
-        back = b * model.ratio[r.classes[own]] / scales[own][:, None]
-        alpha[own] = g  # from here on the state's share at this position
-        beta = g
+        own, n, on = r.at(t), r.active[t], back.shape[1]  # on: pieces that go on after this position
+        g, b = alpha[:, own], move @ back
+        moves += g[:, :on] @ back.T
+        if on < n:
+            b = np.concatenate([b, leave[:, on:n]], axis=1)
+        g *= b  # from here on the state's share at this position
+        b /= scales[own]
+        back = np.multiply(b, emissions[:, own], out=b)
+    for own in r.waves:  # moves from one piece to the next
+        moves += ends[:, r.before[own]] @ back[:, own].T
     for s in range(k):
-        emitted[:, s] = np.bincount(r.classes, alpha[:, s], len(emitted))
-    first = beta.sum(axis=0) if len(r.active) else np.zeros(k)
+        emitted[:, s] = np.bincount(r.classes, alpha[s], len(emitted))
+    first = np.zeros(k)
+    if len(r.active):
+        heads = np.ones(r.active[0], dtype=bool)
+        for own in r.waves:
+            heads[own] = False
+        first = alpha[:, r.at(0)][:, heads].sum(axis=1, dtype=float)
     return first, moves * model.move, emitted, logs.sum()
 
 

@@ -125,6 +125,20 @@ def test_forward_against_all_paths():
         np.testing.assert_allclose(a, b, rtol=1e-4, atol=1e-6)
 
 
+def test_pieces_change_nothing():
+    rng = np.random.default_rng(2)
+    model = hmm.Model(rng.dirichlet([1, 1, 1]), rng.dirichlet([1, 1, 1], 3), rng.random((50, 3)) + 0.1, 1, 1, 1)
+    lengths = np.array([1, 40, 7, 8, 9, 5000, 16, 2])
+    classes = rng.integers(0, 50, lengths.sum())
+    whole, cut = (hmm.Ragged(classes, lengths, p) for p in (10_000, 8))
+    assert len(cut.active) == 8
+    np.testing.assert_allclose(hmm.forward(model, cut), hmm.forward(model, whole), rtol=1e-9)
+    for a, b in zip(hmm.expected(model, cut), hmm.expected(model, whole)):
+        np.testing.assert_allclose(a, b, rtol=1e-4, atol=1e-4)
+    none = hmm.expected(model, hmm.Ragged(classes[:0], lengths[:0]))
+    assert all(not np.any(x) for x in none)
+
+
 def brute_base(data, held):
     tokens = {i: (t or "").encode().lower().split() + [b""] for i, t, *_ in data}
     c = collections.Counter(w for i, ws in tokens.items() if not held(i) for w in ws)
