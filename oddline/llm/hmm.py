@@ -14,16 +14,17 @@ from __future__ import annotations
 import gc
 import zlib
 from dataclasses import dataclass, replace
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import StorageLevel, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from oddline.llm.bpe import cut, pack_lists, unpack_lists
 from oddline.llm.common import columns, mix, partitions, slices, text_bytes
-from oddline.session import durable, remove, scratch_path
+from oddline.session import remove, scratch_path
 
 STATES = 6
 CLASSES = 1 << 14
@@ -151,6 +152,18 @@ def stretched(packed: bytes, columns: int) -> np.ndarray:
     return (bits << np.uint32(16)).view(np.float32).reshape(-1, columns)
 
 
+def _bucketed(df: DataFrame, by: str, parts: int) -> DataFrame:
+    """``df`` in files bucketed by a column: no later grouping by it moves these rows again.
+
+    The table's name is given up at once; of a table with a path the files stay.
+    """
+    spark, name = df.sparkSession, f"oddline_{uuid4().hex}"
+    df.write.format("parquet").bucketBy(parts, by).sortBy(by).option("path", scratch_path(spark, by)).saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
 def _free(spark) -> None:
     """Shuffle files go when the driver collects its garbage; a round's would else stay through the next ones."""
     gc.collect()
@@ -489,7 +502,8 @@ def train_words(blocks: DataFrame, counted: DataFrame, share: np.ndarray, tokens
     """Baum-Welch with a ratio for every distinct word; also these, per block and bucket, and the history as in ``train``.
 
     Each round a block gives the expected counts of its words to their buckets, and
-    a bucket gives the new ratios back.  The driver gets one number per class and
+    a bucket gives the new ratios back; where both tables are bucketed (``_bucketed``),
+    nothing else is shuffled.  The driver gets one number per class and
     state (the prior of rare words) and one per state (the norm).
     """
     spark, model, history = blocks.sparkSession, _begin(share, tokens, types, ends, states), []
@@ -506,9 +520,7 @@ def train_words(blocks: DataFrame, counted: DataFrame, share: np.ndarray, tokens
             paths.remove(path)
         _free(spark)
 
-    # Dealt by block once, not every round.
-    own = blocks.select("block", "held", "codes", "classes").repartition(partitions(blocks), "block").persist(StorageLevel.DISK_ONLY)
-    _free(spark)
+    own = blocks.select("block", "held", "codes", "classes")
     for _ in range(rounds if ends else 0):
         sums = stored(
             own.groupBy("block").cogroup(ratios.select("block", "bucket", "start", "ratios").groupBy("block")).applyInArrow(
@@ -539,8 +551,6 @@ def train_words(blocks: DataFrame, counted: DataFrame, share: np.ndarray, tokens
         first, moves = head[:states], head[states : -states - 1].reshape(states, states)
         model = _moved(model, first, moves, raw / norm, norm)  # every state's emissions add up to 1
         old(paths[:-1])
-    own.unpersist()
-    _free(spark)
     return model, ratios.select("block", "start", "ratios"), history
 
 
@@ -596,12 +606,15 @@ def score_documents(docs: DataFrame, held: Column, states: int = STATES, rounds:
     """
     held = F.coalesce(held, F.lit(False))
     docs = docs.select(docs["doc_id"], docs["text"], held.alias("held"))
-    coded = durable(docs.mapInArrow(_code(4 * partitions(docs)), _DDL), "coded")
-    blocks, words = coded.filter("bucket < 0"), coded.filter("bucket >= 0")
-    counted = durable(
-        words.select("bucket", "block", "start", "words", "counts", "classes").groupBy("bucket").applyInArrow(_count, COUNTED),
-        "counts",
-    )
+    spark, parts, path = docs.sparkSession, partitions(docs), scratch_path(docs.sparkSession, "coded")
+    docs.mapInArrow(_code(4 * parts), _DDL).write.parquet(path)
+    coded = spark.read.schema(_DDL).parquet(path)
+    blocks = coded.filter("bucket < 0").select("block", "trained", "docs", "nulls", "held", "codes", "classes")
+    blocks = _bucketed(blocks.repartition(parts, "block"), "block", parts)
+    words = coded.filter("bucket >= 0").select("bucket", "block", "start", "words", "counts", "classes")
+    counted = _bucketed(words.groupBy("bucket").applyInArrow(_count, COUNTED), "bucket", parts)
+    remove(spark, path)
+    _free(spark)
     ends = blocks.agg(F.sum("trained")).first()[0] or 0
     sums = counted.agg(F.sum("tokens").alias("n"), F.sum("types").alias("v")).first()
     tokens, types = (sums["n"] or 0) + ends, (sums["v"] or 0) + (ends > 0)
@@ -612,7 +625,7 @@ def score_documents(docs: DataFrame, held: Column, states: int = STATES, rounds:
     share[UNKNOWN], share[END] = 1.0, ends + 1.0 if ends else 0.0
     share /= tokens + types + 1.0
     model, ratios, _ = train_words(blocks, counted, share, tokens, types, ends, states, rounds)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = spark.sparkContext.broadcast(model)
     ddl = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     answers = counted.select("block", "start", "counts", F.lit(None).cast("binary").alias("ratios")).union(
         ratios.select("block", "start", F.lit(None).cast("binary").alias("counts"), "ratios")
