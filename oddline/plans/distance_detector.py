@@ -111,7 +111,7 @@ def fit_entries(
             new = durable(new.withColumn("seq", F.col("seq") - first + last + 1), "corpus")
     corpus = append_entries(previous.corpus, new) if previous else new
     k, probes = options.k, options.probes if options.index_type == "IVF" else None
-    near = None
+    near, rows = None, corpus if refit_on_all else new
     if previous and _grows(previous, options):
         index = extend(previous.index, new)
         if refit_on_all and previous.near is not None and index is not previous.index:
@@ -119,11 +119,10 @@ def fit_entries(
     else:
         index = _index(corpus, options)
     if near is None:
-        rows = corpus if refit_on_all else new
         if not fits(index):  # grouped by vector, which keeps no list per row
             return DistanceModel(corpus, index, fit_baseline(rows, index, k, options.percentile, probes=probes), options)
         near = durable(neighbor_lists(rows, index, k + 1, probes=probes).select("seq", "distances"), "near")
-    baseline = baseline_of_lists(near, options.percentile)
+    baseline = baseline_of_lists(near, rows, options.percentile)
     return DistanceModel(corpus, index, baseline, options, near if refit_on_all or not previous else None)
 
 

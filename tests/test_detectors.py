@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from oddline.functions.text import CleanOptions
-from oddline.operators import history
+from oddline.operators import baseline, history
 from oddline.operators.encode import ModelEncoder, TokenHashEncoder, encode_with_metadata
 from oddline.plans import distance_detector as distance, hybrid_detector as hybrid
 from oddline.plans.table_scoring import score_file, score_table
@@ -64,6 +64,21 @@ def test_baseline_ignores_copies(spark, model):
     assert 0 < model.baseline.threshold < 2
 
 
+@pytest.mark.parametrize("sent", [True, False])
+def test_more_copies_than_neighbours_of_every_text(spark, folder, monkeypatch, sent):
+    """No row has a distance left, so there is no threshold: scores go by the fixed distance."""
+    if not sent:
+        for place in (baseline, distance):
+            monkeypatch.setattr(place, "fits", lambda index: False)
+    lines = spark.createDataFrame([(i, f"text number {i % 3}") for i in range(24)], "seq long, raw_text string")
+    fitted = distance.fit(lines, DISTANCE)
+    assert fitted.baseline == baseline.Baseline()
+    distance.save(fitted, folder)
+    new = spark.createDataFrame([(1, "text number 2"), (2, "all else")], "seq long, raw_text string")
+    found = distance.detect(new, distance.load(spark, folder, DISTANCE), processing_time=now()).orderBy("seq").collect()
+    assert [tuple(r.anomaly_score)[:3] for r in found] == [(0.0, False, 0.0), (1.0, True, 1.0)]
+
+
 def test_distance_model_round_trip(spark, folder, queries, model):
     distance.save(model, folder)
     loaded = distance.load(spark, folder, DISTANCE)
