@@ -98,3 +98,44 @@ def test_trend_closes_buckets_and_keeps_late_rows(spark, folder):
     # 3 came when 5 had been seen and the watermark was at 4, 1 and 2 after 9, 0 and the second 5 after 30.
     assert {int((at - day).total_seconds() // 3600): r.late for at, r in found.items() if r.late} == {0: 4, 4: 1}
     assert stored.filter("kind = 'closed'").groupBy("bucket_start").count().agg(F.max("count")).first()[0] == 1
+
+
+def test_a_corpus_too_large_for_a_task(spark, folder, monkeypatch):
+    """Searched by the batch plan, over three micro-batches and a restart: the rows of the one plan."""
+    from oddline.plans import distance_detector as distance
+    from oddline.operators.encode import TokenHashEncoder
+
+    options = distance.DetectorOptions(encoder=TokenHashEncoder(16))
+    lines = [(i, f"2024-01-15 10:{i % 60:02d}:00 INFO user {i % 7} read file {i % 13}", f"s{i % 2}") for i in range(150)]
+    schema = "seq long, raw_text string, source string"
+    model = distance.fit(spark.createDataFrame(lines[:100], schema).drop("source"), options)
+
+    def start(out):
+        with keyed.keyed_state(spark):
+            stream = jobs.read_files(spark, folder + "/in", schema, max_files=1)
+            return keyed.write_detected(stream, model, ["source"], f"{folder}/{out}", f"{folder}/{out}-ckpt", F.col("source"))
+
+    add(spark, lines[:50], folder + "/in", schema)
+    add(spark, lines[50:100], folder + "/in", schema)
+    monkeypatch.setattr(keyed, "fits", lambda index: False)
+    run(start("large"))
+    add(spark, lines[100:], folder + "/in", schema)
+    run(start("large"))
+    run(start("large"))  # nothing new
+    monkeypatch.undo()
+    run(start("small"))
+    columns = ["seq", "source", "log_id", "nearest_neighbors", "score", "is_anomaly", "window_stats", "time_adjusted_score", "is_burst"]
+    large, small = (spark.read.parquet(f"{folder}/{out}").select(columns).orderBy("seq").collect() for out in ("large", "small"))
+    assert large == small and [r.seq for r in large] == list(range(150))
+
+
+def test_tables_that_are_folders_of_files(spark, sf, folder):
+    """A stream of a table reads it as one file and as a folder of part files."""
+    from workload import queries
+
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    e.repartition(3).write.parquet(f"{folder}/embeddings.parquet")
+    streamed = queries.stream_hybrid_scores(spark, folder)
+    assert streamed.count() == e.count() > 0
+    assert streamed.exceptAll(queries.hybrid_distance_scores(spark, sf)).isEmpty()
+    assert queries.stream_hybrid_scores(spark, sf).count() == e.count()
