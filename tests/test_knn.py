@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from oddline.operators import knn as search
 from oddline.operators.cells import extend, load_index, lloyd, route, save_index
@@ -50,6 +51,15 @@ def test_exact_with_cells_blocks_and_copies(spark, metric):
         assert (found(result, 5) == brute(x, x, 5, metric)).all(), way
 
 
+def test_queries_held_by_a_task_are_compared_piece_by_piece(spark, monkeypatch):
+    monkeypatch.setattr(search, "HELD_ROWS", 70)
+    x = clustered(500, seed=6)
+    for data in (frame(spark, x), frame(spark, x).withColumn("embedding", F.col("embedding").cast("array<float>"))):
+        exact = np.array([r[0] for r in data.sort("id").select("embedding").collect()])
+        index = build_index(data, 4, cells=9, block_rows=40)
+        assert (found(knn(data, index, 4, "id"), 4) == brute(exact, exact, 4)).all()
+
+
 def test_copies_are_searched_once_and_kept_k_times(spark):
     x = clustered(600, hot=200)
     index = build_index(frame(spark, x), 4, cells=1)
