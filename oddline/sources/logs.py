@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from oddline.functions.text import strip
 from oddline.session import durable
 
+SPREAD_ROWS = 250_000  # rows of one task, at most, where an input is dealt anew
 BAD_BYTES = "�"
 
 
@@ -121,12 +124,14 @@ def with_seq(df: DataFrame, seq: str = "seq") -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give every core work where the input has fewer splits than cores.
+    """Give every core work where the input has fewer splits than cores or than ``SPREAD_ROWS`` asks for.
 
-    Large inputs have many splits and pass unchanged.
+    ``df`` should be a stored table: counting it reads no rows.  Narrow rows lie in few
+    splits, so without a bound a task would grow with the input.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    parts = max(cores, ceil(df.count() / SPREAD_ROWS))
+    return df.repartition(parts) if df.rdd.getNumPartitions() < parts else df
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -163,3 +163,11 @@ def test_json_documents_keep_their_lines_in_order(spark, folder):
     assert rows.agg(F.sum("a"), F.sum(F.aggregate("c", F.lit(0).cast("bigint"), lambda x, y: x + y))).first()[:] == (
         sum(i for i in range(60) if i % 3), 60
     )
+
+
+def test_tasks_do_not_grow_with_a_table_of_few_splits(spark, folder, monkeypatch):
+    monkeypatch.setattr(files, "SPREAD_ROWS", 100)
+    spark.range(3000).coalesce(1).write.parquet(folder + "/one")
+    dealt = files.spread(spark.read.parquet(folder + "/one"))
+    sizes = [len(p) for p in dealt.rdd.glom().collect()]
+    assert len(sizes) == 30 and max(sizes) <= 110 and sum(sizes) == 3000
