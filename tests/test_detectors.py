@@ -129,6 +129,23 @@ def test_model_encoder_encodes_each_text_once(spark):
     assert (rows[0].model_name, rows[0].embedding_dim) == ("lengths", 2)
 
 
+def test_model_encoder_makes_each_text_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def make():
+        return lambda texts: np.array([[len(t), 1.0] for t in texts], dtype=np.float32)
+
+    @F.udf("string")
+    def text(i):
+        made.add(1)
+        return "ab" * (i % 2 + 1)
+
+    df = spark.range(4).select("id", text("id").alias("t"))
+    rows = ModelEncoder(make, 2, normalize=False).encode(df, "t").orderBy("id").collect()
+    assert [r.embedding[0] for r in rows] == [2.0, 4.0, 2.0, 4.0]
+    assert made.value == 4
+
+
 @pytest.fixture(scope="module")
 def hybrid_model(normal):
     with_meta = normal.withColumns(
