@@ -26,14 +26,16 @@ class SimilarPairs:
     members: DataFrame  # (id, class_id): rows with the same direction
 
 
-def _similar_in_block(keys: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarray, threshold: float) -> pd.DataFrame:
-    """Pairs of one block with at least the similarity, the smaller key first.
+def _similar_in_block(
+    keys: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarray, threshold: float
+) -> Iterator[pd.DataFrame]:
+    """Pairs of one block with at least the similarity, the smaller key first, in pieces.
 
-    Products in single precision narrow the candidates; each gets its exact product.
+    Products in single precision narrow the candidates; each gets its exact product.  A piece has
+    65,536 pairs at most, however many are similar.
     """
     right = np.ascontiguousarray(c.T, dtype=np.float32)
     low = np.float32(threshold - 1e-5)
-    at_found, hit_found, found = [], [], []
     step = max(1, KERNEL_VALUES // len(c))
     for start in range(0, len(q), step):
         at, hit = np.divmod(np.flatnonzero(q[start : start + step].astype(np.float32) @ right >= low), len(c))
@@ -41,11 +43,8 @@ def _similar_in_block(keys: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.nd
             a, h = start + at[part : part + 65_536], hit[part : part + 65_536]
             value = (q[a] * c[h]).sum(1)
             keep = (np.round(value, SIMILAR_DECIMALS) >= threshold) & (keys[a] < ids[h])
-            at_found.append(a[keep]), hit_found.append(h[keep]), found.append(value[keep])
-    if not found:
-        return pd.DataFrame({"vec_key": keys[:0], "neighbor_id": ids[:0], "distance": np.zeros(0)})
-    a, h = np.concatenate(at_found), np.concatenate(hit_found)
-    return pd.DataFrame({"vec_key": keys[a], "neighbor_id": ids[h], "distance": np.concatenate(found)})
+            if keep.any():
+                yield pd.DataFrame({"vec_key": keys[a[keep]], "neighbor_id": ids[h[keep]], "distance": value[keep]})
 
 
 def similar_pairs(
@@ -79,7 +78,7 @@ def similar_pairs(
                 for number, ids, c in shared.value:
                     at = np.flatnonzero([number in own for own in asked])
                     if len(at):
-                        yield _similar_in_block(keys[at], q[at], ids, c, threshold)
+                        yield from _similar_in_block(keys[at], q[at], ids, c, threshold)
 
         kind = index.id_type
         found = routed.mapInPandas(search, f"vec_key {kind}, neighbor_id {kind}, distance double")

@@ -236,3 +236,18 @@ def test_columns_are_added_without_touching_the_others(spark):
     assert {tuple(r)[2:5] for r in found.values()} == {r[2:] for r in rows}
     assert found[1].nearest_neighbors == ["y", "x"] and found[3].distances == [0.0, 2.0]
     assert found[2].nearest_neighbors is None and found[2].distances is None
+
+
+def test_similar_pairs_of_a_block_come_in_bounded_pieces():
+    from oddline.operators import similarity
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1200, 6)) + 10  # every pair is similar
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    ids = np.arange(len(x))
+    pieces = list(similarity._similar_in_block(ids, x, ids, x, 0.5))
+    assert max(len(p) for p in pieces) <= 65_536
+    pairs = pd.concat(pieces)
+    assert len(pairs) == len(pairs.drop_duplicates(["vec_key", "neighbor_id"])) == 1200 * 1199 // 2
+    left, right = pairs["vec_key"].to_numpy(), pairs["neighbor_id"].to_numpy()
+    assert (left < right).all() and np.allclose(pairs["distance"], (x[left] * x[right]).sum(1))
