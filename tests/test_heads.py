@@ -4,7 +4,7 @@ import pytest
 
 from oddline.operators import knn as search
 from oddline.operators.cells import load_index, save_index
-from oddline.operators.heads import nearest_by_head
+from oddline.operators.heads import HeldHeads, heads_of, nearest_by_head
 from tests.test_knn import brute, found, frame
 
 
@@ -76,3 +76,53 @@ def test_rows_of_a_head_share_a_block(spark):
             of_head.setdefault(tuple(vector[:6]), set()).add(row.block)
     few = pd.Series([tuple(v[:6]) for v in x]).value_counts()
     assert all(len(of_head[h]) == 1 for h in few[few < 25].index)
+
+
+@pytest.mark.parametrize("held", [True, False])
+def test_search_by_heads_where_tasks_hold_the_heads_or_not(spark, monkeypatch, held):
+    x = repeated_heads(500, 4)
+    c = repeated_heads(600, 5, heads=70)
+    c[:7] = c[0]
+    data, index = frame(spark, x), search.build_index(frame(spark, c), 5, "euclidean", cells=6, block_rows=60, tail=2)
+    assert search._held_heads(index, 5, sent_bytes=100) is None
+    if not held:
+        monkeypatch.setattr(search, "_held_heads", lambda *a: None)
+    assert (found(search.knn(data, index, 5, "id", sent_bytes=0), 5) == brute(x, c, 5, "euclidean")).all()
+
+
+def test_second_round_asks_only_blocks_with_heads_that_are_near(spark, monkeypatch):
+    """Rows lie close around their heads, cells hold many heads: nearly no query has to leave its first block."""
+    rng = np.random.default_rng(6)
+    x = np.hstack([rng.normal(size=(100, 6))[rng.integers(0, 100, 1500)], rng.normal(size=(1500, 2)) / 10])
+    data = frame(spark, x)
+    index = search.build_index(data, 5, "euclidean", cells=10, block_rows=300, tail=2)
+    asked = []
+    made = search._units
+
+    def counted(*args):
+        asked.append(made(*args))
+        return asked[-1]
+
+    monkeypatch.setattr(search, "_units", counted)
+    assert (found(search.knn(data, index, 5, "id", sent_bytes=0), 5) == brute(x, x, 5, "euclidean")).all()
+    rows = [units.selectExpr("sum(size(keys))").first()[0] or 0 for units in asked]
+    assert rows[0] == 1500 and rows[1] < 300
+
+
+def test_held_heads_leave_no_block_out():
+    rng = np.random.default_rng(7)
+    c, q = repeated_heads(900, 8, 200) + 50, repeated_heads(200, 9, 200) + 50
+    block = rng.integers(0, 20, len(c))
+    parts = []
+    for b in range(20):
+        heads, of = heads_of(c[block == b], 2)
+        tails = [c[block == b][of == i, 6:] for i in range(len(heads))]
+        parts += [(h, t.min(0), t.max(0), b, False) for h, t in zip(heads, tails)]
+    held = HeldHeads.of(*(np.array(p) for p in zip(*parts)))
+    away = np.sqrt(((q[:, None] - c[None]) ** 2).sum(2))
+    worst = np.sort(away, axis=1)[:, 4]
+    worst[::20] = np.inf
+    row, of = held.within(q, 2, worst, "euclidean")
+    at, hit = np.nonzero(away <= worst[:, None])
+    assert set(zip(at, block[hit])) <= set(zip(row, of))
+    assert len(row) < 20 * len(q) / 2
