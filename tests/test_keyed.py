@@ -1,4 +1,7 @@
+import weakref
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +69,45 @@ def test_window_columns_do_not_depend_on_cuts():
         assert np.allclose(values.astype(float), np.concatenate([p[name] for p in parts]).astype(float))
 
 
+def test_rows_of_a_key_wait_on_disk(monkeypatch):
+    """Frames are let go as they come and given out again one by one, with the windows of the whole order."""
+    monkeypatch.setattr(keyed, "WAITING_BYTES", 10_000, raising=False)
+    rng = np.random.default_rng(2)
+    seq, score = rng.permutation(2000), rng.random(2000)
+    ts = pd.Series(pd.to_datetime(1_700_000_000 + seq, unit="s"))
+    alive, most = [], []
+
+    def frames():
+        for start in range(0, 2000, 100):
+            part = slice(start, start + 100)
+            pdf = pd.DataFrame({"seq": seq[part], "score": score[part], "ts": ts[part].to_numpy(), "text": [f"row {i}" * 20 for i in seq[part]]})
+            alive.append(weakref.ref(pdf))
+            yield pdf
+            del pdf
+            most.append(sum(r() is not None for r in alive))
+
+    class State:
+        rows = []
+
+        def get(self):
+            return iter(self.rows)
+
+        def put(self, rows):
+            self.rows = rows
+
+    windows_of = keyed._ScoreWindows("seq", "score", "ts", 100, 0.3)
+    windows_of.last = State()
+    got = list(windows_of.handleInputRows(("a",), frames(), None))
+    assert max(most) <= 2 and [len(g) for g in got] == [100] * 20
+    whole = pd.concat(got).sort_values("seq")
+    at = np.argsort(seq)
+    want = keyed.window_columns(score[at], ts.to_numpy("datetime64[us]").astype(np.int64)[at], np.zeros(0), np.zeros(0, np.int64))
+    assert (whole["text"] == [f"row {i}" * 20 for i in range(2000)]).all()
+    for name in ("temporal_weight", "time_adjusted_score", "is_burst"):
+        assert (whole[name].to_numpy() == want[name]).all()
+    assert [s for s, _ in windows_of.last.rows] == score[at][-100:].tolist()
+
+
 TREND = "ts timestamp, is_anomaly boolean"
 
 
