@@ -225,6 +225,29 @@ def test_all_similar_pairs(spark, monkeypatch, large):
     assert sorted((r.left_id, r.right_id) for r in found.pairs.collect()) == want and len(want) > 100
 
 
+@pytest.mark.parametrize("large", [False, True])
+def test_similar_pairs_are_neither_stored_nor_shuffled(spark, monkeypatch, large):
+    """Their number grows with the square of the rows; what is stored and dealt are vectors and counts."""
+    from oddline.operators import similarity
+
+    if large:
+        monkeypatch.setattr(similarity, "fits", lambda index: False)
+    x = clustered(400, seed=9, hot=30)
+    stored = []
+    write = similarity.durable
+    monkeypatch.setattr(similarity, "durable", lambda df, label: stored.append(write(df, label)) or stored[-1])
+    monkeypatch.setattr(search, "durable", lambda df, label: stored.append(write(df, label)) or stored[-1])
+    found = similarity.similar_pairs(frame(spark, x), 0.9, cells=5)
+    pairs = found.pairs.select("left_id", "left_rows", "right_id", "right_rows")
+    n = pairs.count()
+    assert n > 5000 and max(df.count() for df in stored) <= 400
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    head = plan[: plan.index("MapIn")]
+    assert "Exchange" not in head and "Join" not in head
+    counts = {r.class_id: r["count"] for r in found.members.groupBy("class_id").count().collect()}
+    assert all(counts[r.left_id] == r.left_rows and counts[r.right_id] == r.right_rows for r in pairs.collect())
+
+
 def test_columns_are_added_without_touching_the_others(spark):
     """Nulls in numbers and vectors, times and texts stay; a row without vector gets null lists."""
     from datetime import datetime
